@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, packing, urls, warc
+from . import chat, packing, simhash, urls, warc
 from .common import checkpointed, fresh_path, read_table
 
 URL_RULES = [
@@ -27,6 +27,14 @@ def vocab_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", simhash.hex_of([F.col("f0")]).alias("fingerprint"), "component_id",
+        F.col("class_size").alias("n_same"),
+    )
+
+
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(read_table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -51,6 +59,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash": op1_simhash,
     "op6_url_filters": op6_url_filters,
     "op7_chat_formatting": op7_chat_formatting,
     "op8_packing": op8_packing,
