@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, packing, simhash, urls, warc
+from . import chat, langid, ngram_lm, packing, simhash, urls, warc
 from .common import checkpointed, fresh_path, read_table
 
 URL_RULES = [
@@ -35,6 +35,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict(read_table(spark, sf_dir, "documents"))
+
+
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(read_table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -52,6 +56,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), vocab_path())
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.score_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "warc")
     warc.write_archives(warc.plan_records(read_table(spark, sf_dir, "pages")), path)
@@ -60,9 +68,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op3_language_id": op3_language_id,
     "op6_url_filters": op6_url_filters,
     "op7_chat_formatting": op7_chat_formatting,
     "op8_packing": op8_packing,
+    "op9_lm_scoring": op9_lm_scoring,
     "op10_warc": op10_warc,
 }
 
