@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, ngram_lm, packing, simhash, urls, warc
+from . import chat, decontam, langid, ngram_lm, packing, simhash, urls, warc
 from .common import checkpointed, fresh_path, read_table
 
 URL_RULES = [
@@ -39,6 +39,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(read_table(spark, sf_dir, "documents"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(read_table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -69,6 +73,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op3_language_id": op3_language_id,
+    "op4_decontamination": op4_decontamination,
     "op6_url_filters": op6_url_filters,
     "op7_chat_formatting": op7_chat_formatting,
     "op8_packing": op8_packing,
