@@ -14,9 +14,9 @@ from halyard.llm.common import fresh_path, read_table
 from halyard.llm.queries import vocab_path
 
 #: Five-word shingles; candidates share two of eight bit blocks of one of two
-#: fingerprint words and differ in at most 42 of 256 bits, about what texts do
+#: fingerprint words and differ in at most 88 of 512 bits, about what texts do
 #: whose shingles are alike by 0.8.
-NEAR = {"k": 5, "words": 4, "index_words": 2, "blocks": 8, "agree": 2, "radius": 14, "total": 42}
+NEAR = {"k": 5, "words": 8, "index_words": 2, "blocks": 8, "agree": 2, "radius": 14, "total": 88}
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
