@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, ngram_lm, packing, simhash, urls, warc
+from . import ann, chat, decontam, langid, ngram_lm, packing, simhash, urls, warc
 from .common import checkpointed, fresh_path, read_table
 
 URL_RULES = [
@@ -43,6 +43,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(read_table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op3_language_id": op3_language_id,
     "op4_decontamination": op4_decontamination,
+    "op5_nearest_neighbours": op5_nearest_neighbours,
     "op6_url_filters": op6_url_filters,
     "op7_chat_formatting": op7_chat_formatting,
     "op8_packing": op8_packing,
