@@ -34,43 +34,55 @@ from pyspark.sql import functions as F
 from .common import checkpointed
 
 END_ID = 0
-#: Words kept with their ids by each worker; longer words are encoded anew.
-CACHED_WORDS, CACHED_LENGTH = 400_000, 40
+#: Distinct words whose ids a worker keeps, over all its tasks; longer words are encoded anew.
+CACHED_WORDS, CACHED_LENGTH = 800_000, 40
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, pid int, local long"
 
 
-@lru_cache(maxsize=4)
-def _tokenizer(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path)
+@lru_cache(maxsize=2)
+def encoder_of(path: str) -> WordEncoder:
+    """The process's encoder: tasks that follow each other in a worker share its words."""
+    return WordEncoder(path)
 
 
 class WordEncoder:
     """Token ids of a text as little-endian 32-bit bytes.
 
-    The tokenizer never joins characters across white space, so a text's ids
-    are those of its words, and each distinct word is encoded once.
+    The tokenizer lower-cases and never joins characters across white space,
+    so a text's ids are those of its lower-case words, and each distinct word
+    is encoded once. A full stop or comma between a letter and white space is a
+    token of its own.
     """
 
     def __init__(self, path: str):
-        self.tokenizer, self.known = _tokenizer(path), {}
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+
+    def _learn(self, missing: set[bytes]) -> list[bytes]:
+        """Encode words; the overlong ones among them are returned."""
+        base = {w: w[:-1] for w in missing if w[-1:] in (b".", b",") and w[:-1].decode("utf-8", "replace")[-1:].isalpha()}
+        new = list(({base.get(w, w) for w in missing} | {b".", b","}).difference(self.known))
+        texts = [w.decode("utf-8", "replace") for w in new]
+        for w, e in zip(new, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            self.known[w] = np.array(e.ids, dtype="<u4").tobytes()
+        for w, b in base.items():
+            self.known[w] = self.known[b] + self.known[w[-1:]]
+        return [w for w in (*new, *base) if len(w) > CACHED_LENGTH]
 
     def ids(self, text: bytes) -> bytes:
-        words = text.split()
-        known = self.known
-        if missing := list(set(words).difference(known)):
+        if b"<|" not in text:  # special tokens are found before letters are lowered
+            text = text.lower()
+        words, known, long = text.split(), self.known, ()
+        if missing := set(words).difference(known):
             if len(known) > CACHED_WORDS:
                 known.clear()
-                missing = list(set(words))
-            found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in missing], add_special_tokens=False)
-            for w, e in zip(missing, found, strict=True):
-                known[w] = np.array(e.ids, dtype="<u4").tobytes()
+                missing = set(words)
+            long = self._learn(missing)
         out = b"".join(map(known.__getitem__, words))
-        for w in missing:
-            if len(w) > CACHED_LENGTH:
-                del known[w]
+        for w in long:
+            known.pop(w, None)
         return out
 
 
@@ -78,7 +90,7 @@ def tokenize_pieces(docs: DataFrame, vocab_path: str, capacity: int) -> DataFram
     """Pieces of every document, each with its partition and its rank among the partition's pieces of that length."""
 
     def pieces(batches):
-        encoder, pid = WordEncoder(vocab_path), TaskContext.get().partitionId()
+        encoder, pid = encoder_of(vocab_path), TaskContext.get().partitionId()
         seen: dict[int, int] = defaultdict(int)
         end, step = np.array([END_ID], dtype="<u4").tobytes(), 4 * capacity
         for batch in batches:
