@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontam, langid, ngram_lm, packing, simhash, urls, warc
+from . import ann, chat, decontam, html_extract, langid, ngram_lm, packing, simhash, urls, warc
 from .common import checkpointed, fresh_path, read_table
 
 URL_RULES = [
@@ -35,6 +35,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(read_table(spark, sf_dir, "pages"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(read_table(spark, sf_dir, "documents"))
 
@@ -76,6 +80,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_html_extraction": op2_html_extraction,
     "op3_language_id": op3_language_id,
     "op4_decontamination": op4_decontamination,
     "op5_nearest_neighbours": op5_nearest_neighbours,
