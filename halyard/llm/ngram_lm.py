@@ -4,7 +4,10 @@ Texts are dealt into blocks by a hash of doc_id. A block sends its distinct
 n-grams with their counts, once each, to the shards that add them up; a shard
 answers with the totals in the order it was asked, so a block can look up every
 n-gram of its own texts, and a frequent n-gram costs a shard one entry a block.
-N-grams travel as sorted 64-bit hashes packed in arrays.
+Words travel as sorted 64-bit hashes packed in arrays. Longer n-grams have
+shorter hashes, of 12 bits more than the corpus has n-grams need: one in 4096
+shares its count with another, at any size of the corpus. Texts are dealt out
+as compressed Arrow tables.
 
 A token's probability mixes the maximum-likelihood estimates of all orders and
 a uniform one. The weights depend on how often the context was seen (its
@@ -23,6 +26,8 @@ Defined results
 
 from __future__ import annotations
 
+import math
+import zlib
 from collections.abc import Iterable
 from dataclasses import dataclass
 
@@ -34,7 +39,7 @@ from xxhash import xxh64_intdigest
 
 from .common import checkpointed, crc_mod
 
-BLOCK_BYTES = 24_000_000
+BLOCK_BYTES = 12_000_000
 #: Logarithm steps of the held-out histogram; estimates below the last count as the last.
 STEPS, LOWEST = 8, 40
 CELLS = "ord int, shard int, block int, keys binary, counts binary"
@@ -44,20 +49,34 @@ BEGIN, END = np.uint64(0x5BD1E9955BD1E995), np.uint64(0x9E3779B185EBCA87)
 
 
 def pack(keys: np.ndarray) -> bytes:
-    """Sorted keys as differences in as few bytes as the largest needs; the first byte says how many."""
-    step = np.diff(keys, prepend=np.uint64(0))
+    """Sorted keys: the first, then differences in as few bytes as the largest needs, as the first byte says."""
+    step = np.diff(keys)
     width = max(1, (int(step.max(initial=0)).bit_length() + 7) // 8)
-    return bytes([width]) + np.ascontiguousarray(step.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+    small = np.ascontiguousarray(step.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width])
+    return bytes([width]) + keys[:1].astype("<u8").tobytes() + small.tobytes()
 
 
 def unpack(data: bytes) -> np.ndarray:
-    width = data[0]
-    small = np.frombuffer(data, np.uint8, offset=1).reshape(-1, width)
-    full = np.zeros((len(small), 8), np.uint8)
-    full[:, :width] = small
+    small = np.frombuffer(data, np.uint8, offset=9).reshape(-1, data[0])
+    full = np.zeros((len(small) + 1, 8), np.uint8)
+    full[0] = np.frombuffer(data, np.uint8, count=8, offset=1)
+    full[1:, : data[0]] = small
     return np.cumsum(full.view("<u8")[:, 0], dtype=np.uint64)
 
 
+def shrink(counts: np.ndarray) -> bytes:
+    return zlib.compress(counts.astype("<u4").tobytes(), 1)
+
+
+def grow(data: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data), "<u4")
+
+
+def gram_bits(size: int) -> int:
+    """Bits of the hashes of n-grams in a corpus of the given bytes."""
+    return min(64, 12 + max(24, math.ceil(math.log2(max(size, 1) / 4 + 1))))
+
+
 class Block:
     """The token sequences of a block's texts and their distinct n-grams.
 
@@ -66,7 +85,7 @@ class Block:
     its context among the n-grams one shorter.
     """
 
-    def __init__(self, texts: Iterable[bytes | None], order: int):
+    def __init__(self, texts: Iterable[bytes | None], order: int, bits: int):
         known: dict[bytes, int] = {}
         ids, sizes = [], []
         for text in texts:
@@ -109,7 +128,7 @@ class Block:
             gram = (ctx_hash * np.uint64(0x9E3779B97F4A7C15)) ^ (last + np.uint64(n))
             gram = (gram ^ (gram >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
             gram ^= gram >> np.uint64(32)
-            distinct, gram_at = np.unique(gram, return_inverse=True)
+            distinct, gram_at = np.unique(gram >> np.uint64(64 - bits), return_inverse=True)
             self.grams.append(distinct)
             self.at.append(gram_at)
             self.context.append(ctx_at)
@@ -184,19 +203,43 @@ def learn_weights(cells: np.ndarray, counts: np.ndarray, order: int, v: int, rou
     return w
 
 
-def _cells(order: int, shards: int, every: int):
-    edges = (np.arange(1, shards, dtype=object) * 2**64 // shards).astype(np.uint64)
+def _deal(batches):
+    """Each batch's documents by block, as compressed tables."""
+    write = pa.ipc.IpcWriteOptions(compression="zstd")
+    for batch in batches:
+        block = batch.column("block").to_numpy()
+        table = batch.drop_columns(["block"])
+        order = np.argsort(block, kind="stable")
+        numbers, starts = np.unique(block[order], return_index=True)
+        blobs = []
+        for a, b in zip(starts, [*starts[1:], len(order)], strict=True):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema, options=write) as out:
+                out.write_batch(table.take(pa.array(order[a:b])))
+            blobs.append(sink.getvalue().to_pybytes())
+        yield pa.RecordBatch.from_arrays([pa.array(numbers), pa.array(blobs, pa.binary())], ["block", "docs"])
+
+
+def _documents(table: pa.Table) -> pa.Table:
+    """The documents of a block's dealt tables; none without tables."""
+    parts = [pa.ipc.open_stream(x.as_buffer()).read_all() for x in table.column("docs")]
+    return pa.concat_tables(parts) if parts else None
+
+
+def _cells(order: int, shards: int, bits: int):
+    edges = {k: (np.arange(1, shards, dtype=object) * 2**k // shards).astype(np.uint64) for k in (64, bits)}
 
     def run(table: pa.Table) -> pa.Table:
-        block = Block((t.as_py() for t in table.column("text")), order)
+        docs = _documents(table)
+        block = Block((t.as_py() for t in docs.column("text")), order, bits)
         rows: list[tuple] = []
         number = table.column("block")[0].as_py()
-        for k, (keys, counts) in enumerate(zip(block.grams, block.counts(table.column("train").to_numpy()), strict=True)):
-            cuts = [0, *np.searchsorted(keys, edges), len(keys)]
+        for k, (keys, counts) in enumerate(zip(block.grams, block.counts(docs.column("train").to_numpy()), strict=True)):
+            cuts = [0, *np.searchsorted(keys, edges[bits if k else 64]), len(keys)]
             for s in range(shards):
                 a, b = cuts[s], cuts[s + 1]
                 if a < b:
-                    rows.append((k + 1, s, number, pack(keys[a:b]), counts[a:b].astype("<u4").tobytes()))
+                    rows.append((k + 1, s, number, pack(keys[a:b]), shrink(counts[a:b])))
         kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
         cols = zip(*rows, strict=True)
         names = ["ord", "shard", "block", "keys", "counts"]
@@ -209,7 +252,7 @@ def _answers(every: int):
     def run(table: pa.Table) -> pa.Table:
         block, order = table.column("block").to_numpy(), table.column("ord")[0].as_py()
         keys = [unpack(x.as_py()) for x in table.column("keys")]
-        counts = np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in table.column("counts")])
+        counts = np.concatenate([grow(x.as_py()) for x in table.column("counts")])
         sizes = np.array([len(k) for k in keys])
         distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
         held = np.repeat(block % every == 0, sizes)
@@ -223,8 +266,8 @@ def _answers(every: int):
         rows = []
         for i, b in enumerate(block):
             part = at[ends[i] - sizes[i] : ends[i]]
-            less = deleted[part].astype("<u4").tobytes() if b % every == 0 else None
-            rows.append((total[part].astype("<u4").tobytes(), less, *(x if i == 0 else 0 for x in sums)))
+            less = shrink(deleted[part]) if b % every == 0 else None
+            rows.append((shrink(total[part]), less, *(x if i == 0 else 0 for x in sums)))
         kinds = (pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
         cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
         return pa.Table.from_arrays(
@@ -240,15 +283,16 @@ def _looked_up(block: Block, answers: pa.Table, column: str) -> list[np.ndarray]
     data, out = answers.column(column), []
     for k in range(len(block.grams)):
         rows = sorted(np.flatnonzero(order == k + 1), key=lambda i: shard[i])
-        out.append(np.concatenate([np.frombuffer(data[int(i)].as_py(), "<u4") for i in rows]))
+        out.append(np.concatenate([grow(data[int(i)].as_py()) for i in rows]))
     return out
 
 
-def _held_out(order: int, n: int, v: int):
-    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+def _held_out(order: int, n: int, v: int, bits: int):
+    def run(dealt: pa.Table, answers: pa.Table) -> pa.Table:
         cells = counts = np.zeros(0, np.int64)
-        if docs.num_rows:
-            block = Block((t.as_py() for t in docs.column("text")), order)
+        if dealt.num_rows:
+            docs = _documents(dealt)
+            block = Block((t.as_py() for t in docs.column("text")), order, bits)
             est, bucket = estimates(block, _looked_up(block, answers, "deleted"), n, v)
             used = np.repeat(docs.column("train").to_numpy(), block.sizes)
             cells, counts = histogram(est[:, used], bucket[used])
@@ -257,13 +301,14 @@ def _held_out(order: int, n: int, v: int):
     return run
 
 
-def _scores(order: int, n: int, v: int, weights: np.ndarray):
-    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+def _scores(order: int, n: int, v: int, weights: np.ndarray, bits: int):
+    def run(dealt: pa.Table, answers: pa.Table) -> pa.Table:
         names = [x.split()[0] for x in SCORES.split(", ")]
-        if not docs.num_rows:
+        if not dealt.num_rows:
             kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
             return pa.Table.from_arrays([pa.array([], t) for t in kinds], names)
-        block = Block((t.as_py() for t in docs.column("text")), order)
+        docs = _documents(dealt)
+        block = Block((t.as_py() for t in docs.column("text")), order, bits)
         counts = _looked_up(block, answers, "totals")
         est, bucket = estimates(block, counts, n, v)
         score = np.zeros(est.shape[1])
@@ -291,24 +336,25 @@ def score_documents(
     held = crc_mod(F.col("doc_id"), fold) == test_fold
     text = F.col("text").cast("binary")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(held_out_every, -(-size // block_bytes))
-    dealt = docs.select(
+    blocks, bits = max(held_out_every, -(-size // block_bytes)), gram_bits(size)
+    rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), held.alias("held_out"), (~held).alias("train"),
         F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"),
     )
-    cells = dealt.groupBy("block").applyInArrow(_cells(order, blocks, held_out_every), CELLS)
+    dealt = rows.mapInArrow(_deal, "block int, docs binary")
+    cells = dealt.groupBy("block").applyInArrow(_cells(order, blocks, bits), CELLS)
     answers = checkpointed(cells.groupBy("ord", "shard").applyInArrow(_answers(held_out_every), ANSWERS))
     sums = answers.agg(*(F.sum(c).alias(c) for c in ("n", "v", "dn", "dv"))).first()
     n, v, dn, dv = (x or 0 for x in sums)
     wanted = answers.select("block", "ord", "shard", "totals", "deleted")
     first = F.col("block") % held_out_every == 0
     seen = (
-        dealt.filter(first).groupBy("block").cogroup(wanted.filter(first).drop("totals").groupBy("block"))
-        .applyInArrow(_held_out(order, dn, dv), "cell long, n long")
+        rows.filter(first).mapInArrow(_deal, "block int, docs binary").groupBy("block").cogroup(wanted.filter(first).drop("totals").groupBy("block"))
+        .applyInArrow(_held_out(order, dn, dv, bits), "cell long, n long")
         .groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     )
     weights = learn_weights(seen["cell"].to_numpy(np.int64), seen["n"].to_numpy(np.float64), order, dv, rounds)
     return (
         dealt.groupBy("block").cogroup(wanted.drop("deleted").groupBy("block"))
-        .applyInArrow(_scores(order, n, v, weights), SCORES)
+        .applyInArrow(_scores(order, n, v, weights, bits), SCORES)
     )
