@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import catalog, fingerprints
+from .plans import catalog, fingerprints, scalars
 
-_MODULES = (fingerprints, catalog)
+_MODULES = (fingerprints, catalog, scalars)
 QUERIES = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}

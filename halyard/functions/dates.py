@@ -77,6 +77,7 @@ def search_text(value: Column) -> Column:
 
 def central_timestamp(at: Column) -> Column:
     """yyyy-MM-ddTHH:mm:ss with the Chicago offset of an instant given as UTC wall time."""
+    at = at.cast("timestamp")
     local = F.from_utc_timestamp(at, DISPLAY_ZONE)
     offset = F.when(F.unix_seconds(local) - F.unix_seconds(at) == -18000, "-05:00").otherwise("-06:00")
     return F.concat(F.date_format(local, "yyyy-MM-dd'T'HH:mm:ss"), offset)

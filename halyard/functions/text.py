@@ -324,7 +324,7 @@ def target_bitrate(source: Column, most: int = 160, least: int = 96) -> Column:
 
 def ordered_distinct(values: Column) -> Column:
     """First spelling of each value, blanks dropped, case not counting."""
-    trimmed = F.filter(F.transform(F.coalesce(values, F.array().cast("array<string>")), F.trim), lambda v: v.isNotNull() & (v != ""))
+    trimmed = F.filter(F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda s: F.trim(s)), lambda v: v.isNotNull() & (v != ""))
     lowered = F.transform(trimmed, F.lower)
     return F.filter(trimmed, lambda v, i: F.array_position(lowered, F.lower(v)) == i + 1)
 
@@ -347,11 +347,15 @@ def genre(tags: Column, categories: Column, description: Column) -> Column:
     return F.coalesce(title_case(other), genre_of_text(F.concat_ws(" ", F.array_join(tags, " "), F.coalesce(description, F.lit("")))))
 
 
+def _lines_like(lines: Column, pattern: str) -> Column:
+    return F.filter(lines, lambda s: s.rlike(pattern))
+
+
 def description_credits(description: Column) -> Column:
     """struct<distributor, label, genre, credits: map<string, array<string>>> from the lines of a description."""
-    lines = F.filter(F.transform(F.split(F.coalesce(description, F.lit("")), r"\r?\n"), F.trim), lambda s: s != "")
+    lines = F.filter(F.transform(F.split(F.coalesce(description, F.lit("")), r"\r?\n"), lambda s: F.trim(s)), lambda s: s != "")
     patterns = {"distributor": r"(?i)^Provided to YouTube by\s+(.+)$", "label": r"^℗\s*(.+)$", "genre": r"(?i)^Genre:\s*(.+)$"}
-    first = {k: F.get(F.filter(lines, lambda s, p=p: s.rlike(p)), F.lit(0)) for k, p in patterns.items()}
+    first = {k: F.get(_lines_like(lines, p), F.lit(0)) for k, p in patterns.items()}
     # A line that gave one of the three isn't a credit; a second one of the kind is.
     where = {k: F.array_position(lines, first[k]) for k in patterns}
     spoken = lambda s, i: F.coalesce(F.array(*where.values()), F.array().cast("array<bigint>"))

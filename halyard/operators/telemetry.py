@@ -134,7 +134,7 @@ def first_milestones(events: DataFrame, key: str, kind: str, at: str, kinds: lis
 
 def duration_ms(start: Column, end: Column) -> Column:
     """Milliseconds between two times, 0 at least; null where either is missing."""
-    ms = F.unix_millis(end) - F.unix_millis(start)
+    ms = F.unix_millis(end.cast("timestamp")) - F.unix_millis(start.cast("timestamp"))
     return F.when(start.isNotNull() & end.isNotNull(), F.greatest(F.lit(0), ms))
 
 

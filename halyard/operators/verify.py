@@ -23,7 +23,7 @@ def duplicate_keys(df: DataFrame, key: str, name: str, order: str = "ord") -> Da
     rows = df.filter(F.col(key).isNotNull()).select(
         key, F.first(name).over(w).alias("existing"), F.col(name).alias("duplicate"), F.row_number().over(w).alias("k")
     )
-    return rows.filter("k > 1").drop("k")
+    return rows.filter("k > 1")
 
 
 def unmapped(tracks: DataFrame, concerts: DataFrame) -> DataFrame:
