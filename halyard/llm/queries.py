@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import ann, chat, decontam, html_extract, langid, ngram_lm, packing, simhash, urls, warc
 from .common import checkpointed, fresh_path, read_table
+from .oracles import ORACLE_SQL as ORACLE_SQL
 
 URL_RULES = [
     urls.Rule("allow", "com", "/"),
@@ -90,5 +91,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_lm_scoring": op9_lm_scoring,
     "op10_warc": op10_warc,
 }
-
-ORACLE_SQL: dict[str, str] = {}
