@@ -4,10 +4,11 @@ Texts become templates: numbers, units after numbers and names are replaced by
 typed placeholders, so a question with other values gives the same template.
 Windows of ``window`` template words are hash-joined with those of the
 benchmark items; a document that holds, close together, at least the given
-share of an item's windows is then checked for consistent slots: the same value
-of the item must stand for the same value of the document throughout.
+share of an item's windows is then checked for consistent slots: a value that
+occurs again must stand for the same value of the other side.
 
-Names are capitalised words inside sentences; a run of them is one name. Where
+Names are capitalised words inside sentences, and before such a word; a run of
+them is one name. Where
 a passage begins in a document decides whether its first word counts as one, so
 windows are also made with names left as words, and either may match. Windows
 with fewer than three words besides placeholders match nothing.
@@ -96,7 +97,9 @@ class Templates:
         unit = (kind & 2 > 0) & np.r_[False, number[:-1]]
         plain = np.where(number, NUM, np.where(unit, UNIT, value))
         yield plain, real, value, number | unit
-        name = (kind & 4 > 0) & ~number & ~unit & np.r_[False, ends[1:] == ends[:-1]]
+        capital = (kind & 4 > 0) & ~number & ~unit
+        inside = capital & np.r_[False, ends[1:] == ends[:-1]]
+        name = inside | capital & np.r_[inside[1:], False]
         if name.any():
             first = ~(name & np.r_[False, name[:-1]])
             run = np.add.reduceat(np.where(name, value * np.uint64(31) + np.uint64(7), value), np.flatnonzero(first))
@@ -157,16 +160,15 @@ class Index:
 
 
 def _consistent(pairs: list[tuple[int, int]], least: float) -> bool:
-    """Whether the slot values of an item and a document agree one to one in at least the given share of slots."""
-    if not pairs:
-        return True
+    """Whether values that repeat, in the item or the document, stand for one value of the other side in enough of their slots."""
     there, back = defaultdict(lambda: defaultdict(int)), defaultdict(lambda: defaultdict(int))
     for a, b in pairs:
         there[a][b] += 1
         back[b][a] += 1
     to = {a: max(sorted(v), key=v.get) for a, v in there.items()}
     of = {b: max(sorted(v), key=v.get) for b, v in back.items()}
-    return sum(to[a] == b and of[b] == a for a, b in pairs) >= least * len(pairs)
+    repeated = [(a, b) for a, b in pairs if sum(there[a].values()) > 1 or sum(back[b].values()) > 1]
+    return sum(to[a] == b and of[b] == a for a, b in repeated) >= least * len(repeated)
 
 
 def matches(index: Index, made: Templates, text: str, size: int, coverage: float, slots: float):

@@ -15,10 +15,11 @@ def _case(value: str) -> str:
 
 
 LOWER = "translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+HOST = r"coalesce(regexp_extract(url, '(?s)\A.*?://([^/?#]*)', 1), '')"
 HREF = r"""(?i)href\s*=\s*["'']?\s*(?:https?:)?//([^/?#"''>\s]+)"""
 
 URL_FILTERS = rf"""WITH RECURSIVE parsed AS (
-  SELECT page_id, html, {LOWER.format(x="coalesce(regexp_extract(url, '(?s)\A.*?://([^/?#]*)', 1), '')")} AS host,
+  SELECT page_id, html, {LOWER.format(x=HOST)} AS host,
     coalesce(regexp_extract(url, '(?s)\A.*?://[^/?#]*(/[^?#]*)', 1), '') AS path FROM pages
 ), judged AS (SELECT *, {_case('rule')} AS rule, {_case('verdict')} AS said FROM parsed
 ), seeds AS (
