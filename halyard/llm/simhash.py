@@ -39,6 +39,8 @@ SEED = 42
 CHUNK = 65_536
 #: A bucket of more fingerprints is compared as pairs of parts of about half this size.
 BUCKET = 4096
+#: A table of at most this many large buckets is broadcast; a longer one is joined by shuffle.
+BROADCAST_BUCKETS = 200_000
 ONES = np.uint64(0x0101010101010101)
 
 
@@ -261,8 +263,10 @@ def link_signatures(
     rows = sigs.select("node", *names, F.explode(F.array(*keys)).alias("k"))
     rows = rows.select("node", *names, F.col("k.key").alias("key"), F.col("k.tag").alias("tag"))
     large = rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > BUCKET)
-    large = large.select("key", F.ceil(F.col("n") / (BUCKET // 2)).cast("int").alias("parts"))
-    rows = rows.join(large, "key", "left")
+    large = checkpointed(large.select("key", F.ceil(F.col("n") / (BUCKET // 2)).cast("int").alias("parts")))
+    if (found := large.count()) <= BROADCAST_BUCKETS:
+        large = F.broadcast(large)
+    rows = rows.join(large, "key", "left") if found else rows.withColumn("parts", F.lit(None).cast("int"))
     # Of a large bucket each row goes to all pairs of parts that hold its own.
     part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     units = F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(
