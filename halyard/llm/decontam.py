@@ -218,20 +218,24 @@ def _parts(benchmark: DataFrame) -> int:
     return max(1, -(-words // PART_WORDS))
 
 
+def _indexes(benchmark: DataFrame, window: int):
+    """An index for each part of the benchmark."""
+    bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
+    parts = _parts(bench)
+    for part in range(parts):
+        of_part = F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part
+        yield Index(sorted((r[0] if r[0] is not None else -1, r[1] or "") for r in bench.filter(of_part).collect()), window)
+
+
 def find_contaminated(
     docs: DataFrame, benchmark: DataFrame, window: int = 5, coverage: float = 0.8, slots: float = 0.8
 ) -> DataFrame:
     """doc_id, item_id and how much of the item's windows the document holds, for contaminated documents only."""
-    bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
     texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     names = [x.split()[0] for x in FOUND.split(", ")]
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64())
-    parts = _parts(bench)
     found = None
-    for part in range(parts):
-        of_part = F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part
-        items = sorted((r[0] if r[0] is not None else -1, r[1] or "") for r in bench.filter(of_part).collect())
-        index = Index(items, window)
+    for index in _indexes(benchmark, window):
 
         def run(batches, index=index):
             made = Templates()
@@ -253,7 +257,21 @@ def find_contaminated(
     )
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """docs without the contaminated ones."""
-    bad = find_contaminated(docs, benchmark, **how).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+def drop_contaminated(
+    docs: DataFrame, benchmark: DataFrame, window: int = 5, coverage: float = 0.8, slots: float = 0.8
+) -> DataFrame:
+    """docs without the contaminated ones; no row moves."""
+    name, place = docs.columns.index("doc_id"), docs.columns.index("text")
+    for index in _indexes(benchmark, window):
+
+        def run(batches, index=index):
+            made = Templates()
+            for batch in batches:
+                clean = [
+                    doc_id is None or not matches(index, made, text or "", window, coverage, slots)
+                    for doc_id, text in zip(batch.column(name).to_pylist(), batch.column(place).to_pylist(), strict=True)
+                ]
+                yield batch.filter(pa.array(clean, pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

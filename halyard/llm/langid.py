@@ -31,6 +31,7 @@ UNKNOWN = "und"
 SAMPLE_DOCS, SAMPLE_WINDOWS, WINDOW = 400, 4, 96
 #: Bytes of a segment and segments read side by side.
 SEGMENT, LANES = 128, 2048
+LETTER = r"\p{L}"
 PREDICTED = "doc_id long, held_out boolean, lang_pred string, score double"
 
 
@@ -236,41 +237,55 @@ def sample_windows(
     return [(r["lang"], w.encode()) for r in rows for w in r["w"]]
 
 
-def predict(docs: DataFrame, fold: int = 5, test_fold: int = 0, **how) -> DataFrame:
-    """Learn from the documents outside the test fold and label every document."""
-    held = crc_mod(F.col("doc_id"), fold) == test_fold
-    windows = sample_windows(docs.filter(~held))
+def _labeller(windows: list[tuple[str, bytes]], **how):
+    """A function from texts and whether they have a letter to languages and scores."""
     model = train(windows, **how) if len({w[0] for w in windows}) > 1 else None
     only = windows[0][0] if windows else UNKNOWN
 
+    def label(texts: list[bytes | None], letter: list[bool]) -> tuple[list[str], np.ndarray]:
+        if model is None:
+            return [only if ok else UNKNOWN for ok in letter], np.array([float(ok and only != UNKNOWN) for ok in letter])
+        prob = document_probabilities(model, [t if ok else b"" for t, ok in zip(texts, letter, strict=True)])
+        names = [model.labels[k] if ok else UNKNOWN for k, ok in zip(prob.argmax(axis=1), letter, strict=True)]
+        return names, np.where(np.array(letter, bool), np.minimum(prob.max(axis=1, initial=0.0), 1.0), 0.0)
+
+    return label
+
+
+def _held(fold: int, test_fold: int):
+    return crc_mod(F.col("doc_id"), fold) == test_fold
+
+
+def predict(docs: DataFrame, fold: int = 5, test_fold: int = 0, **how) -> DataFrame:
+    """Learn from the documents outside the test fold and label every document."""
+    label = _labeller(sample_windows(docs.filter(~_held(fold, test_fold))), **how)
+
     def run(batches):
         for batch in batches:
-            text, letter = batch.column("text").to_pylist(), batch.column("letter").to_pylist()
-            if model is None:
-                lang = [only if ok else UNKNOWN for ok in letter]
-                score = [float(only != UNKNOWN and bool(ok)) for ok in letter]
-            else:
-                prob = document_probabilities(model, [t if ok else b"" for t, ok in zip(text, letter, strict=True)])
-                best = prob.argmax(axis=1)
-                lang = [model.labels[k] if ok else UNKNOWN for k, ok in zip(best, letter, strict=True)]
-                score = np.where([bool(x) for x in letter], np.minimum(prob.max(axis=1), 1.0), 0.0)
+            lang, score = label(batch.column("text").to_pylist(), batch.column("letter").to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("held_out"), pa.array(lang, pa.string()), pa.array(score, pa.float64())],
                 ["doc_id", "held_out", "lang_pred", "score"],
             )
 
     return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), F.col("text").cast("binary").alias("text"),
-        F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letter"),
+        F.col("doc_id").cast("long").alias("doc_id"), _held(fold, test_fold).alias("held_out"),
+        F.col("text").cast("binary").alias("text"), F.coalesce(F.col("text").rlike(LETTER), F.lit(False)).alias("letter"),
     ).mapInArrow(run, PREDICTED)
 
 
-def keep_identified(docs: DataFrame, least: float = 0.5, **how) -> DataFrame:
-    """docs without those whose language is not identified with at least the given score.
+def keep_identified(docs: DataFrame, least: float = 0.5, fold: int = 5, test_fold: int = 0, **how) -> DataFrame:
+    """docs without those whose language is not identified with at least the given score; no row moves."""
+    label = _labeller(sample_windows(docs.filter(~_held(fold, test_fold))), **how)
+    place, letter = docs.columns.index("text"), len(docs.columns)
 
-    Rows without doc_id stay only if their text has a letter.
-    """
-    bad = predict(docs, **how).filter(~((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)))
-    bad = bad.select("doc_id").filter("doc_id is not null").distinct()
-    kept = docs.join(bad, "doc_id", "left_anti")
-    return kept.filter(F.col("doc_id").isNotNull() | F.col("text").rlike(r"\p{L}")).select(*docs.columns)
+    def run(batches):
+        for batch in batches:
+            texts = [None if t is None else t.encode("utf-8", "replace") for t in batch.column(place).to_pylist()]
+            lang, score = label(texts, batch.column(letter).to_pylist())
+            keep = pa.array([x != UNKNOWN and s >= least for x, s in zip(lang, score, strict=True)], pa.bool_())
+            rows = batch.filter(keep)
+            yield pa.RecordBatch.from_arrays(rows.columns[:letter], rows.schema.names[:letter])
+
+    marked = docs.select("*", F.coalesce(F.col("text").rlike(LETTER), F.lit(False)).alias("_has_letter"))
+    return marked.mapInArrow(run, docs.schema)
