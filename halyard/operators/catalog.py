@@ -155,7 +155,7 @@ def normalize_catalog(concerts: DataFrame, band_key: Column | None = None) -> di
 
 def concerts_of_rows(rows: DataFrame, base: str, prefix: str, default_file: str, track: str = "track", placeholder: str = "placeholder") -> DataFrame:
     """Photo rows with structs of their track and of the placeholder track (fileName, songTitle, coverFile) as concerts."""
-    used = F.coalesce(track, placeholder)
+    used = {f: F.when(F.col(track).isNotNull(), F.col(track)[f]).otherwise(F.col(placeholder)[f]) for f in ("fileName", "songTitle", "coverFile")}
     url = lambda name: join_url(F.lit(base), F.lit(prefix), name)
     text = lambda c: F.coalesce(c, F.lit(""))
     return rows.select(

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 
 def _ordered(df: DataFrame, order: str, name: str) -> DataFrame:
-    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), F.struct(*[c for c in df.columns if c != "ord"]).alias("r"))))
+    pairs = F.collect_list(F.struct(F.col(order).alias("_o"), F.struct(*[c for c in df.columns if c != "ord"]).alias("r")))
+    # by the key alone: maps, which rows may hold, have no order
+    rows = F.array_sort(pairs, lambda a, b: F.when(a["_o"] < b["_o"], -1).when(a["_o"] > b["_o"], 1).otherwise(0))
     return df.groupBy().agg(F.transform(rows, lambda x: x["r"]).alias(name))
 
 
