@@ -48,6 +48,11 @@ CONTENT_TYPES = {
 }
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with the value computed once, also where it stands inside a lambda that runs many times."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def blank_to_null(x: Column) -> Column:
     return F.nullif(F.trim(x), F.lit(""))
 
@@ -325,8 +330,10 @@ def target_bitrate(source: Column, most: int = 160, least: int = 96) -> Column:
 def ordered_distinct(values: Column) -> Column:
     """First spelling of each value, blanks dropped, case not counting."""
     trimmed = F.filter(F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda s: F.trim(s)), lambda v: v.isNotNull() & (v != ""))
-    lowered = F.transform(trimmed, F.lower)
-    return F.filter(trimmed, lambda v, i: F.array_position(lowered, F.lower(v)) == i + 1)
+    keyed = F.array_sort(F.transform(trimmed, lambda v, i: F.struct(F.lower(v).alias("k"), i.alias("i"), v.alias("v"))))
+    first = let(keyed, lambda s: F.filter(s, lambda p, i: (i == 0) | (F.get(s, i - 1)["k"] != p["k"])))
+    places = F.array_sort(F.transform(first, lambda p: F.struct(p["i"].alias("i"), p["v"].alias("v"))))
+    return F.transform(places, lambda p: p["v"])
 
 
 def title_case(x: Column) -> Column:
@@ -354,6 +361,10 @@ def _lines_like(lines: Column, pattern: str) -> Column:
 def description_credits(description: Column) -> Column:
     """struct<distributor, label, genre, credits: map<string, array<string>>> from the lines of a description."""
     lines = F.filter(F.transform(F.split(F.coalesce(description, F.lit("")), r"\r?\n"), lambda s: F.trim(s)), lambda s: s != "")
+    return let(lines, _credits)
+
+
+def _credits(lines: Column) -> Column:
     patterns = {"distributor": r"(?i)^Provided to YouTube by\s+(.+)$", "label": r"^℗\s*(.+)$", "genre": r"(?i)^Genre:\s*(.+)$"}
     first = {k: F.get(_lines_like(lines, p), F.lit(0)) for k, p in patterns.items()}
     # A line that gave one of the three isn't a credit; a second one of the kind is.
@@ -365,13 +376,18 @@ def description_credits(description: Column) -> Column:
         F.trim(F.substring(s, F.instr(s, ":") + 1, F.length(s))).alias("v"),
     )
     pairs = F.filter(F.transform(rest, pair), lambda p: (p["k"] != "") & (p["v"] != ""))
-    keys = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
-    values = lambda k: F.array_distinct(F.transform(F.filter(pairs, lambda p: p["k"] == k), lambda p: p["v"]))
-    credits = F.map_from_entries(F.transform(keys, lambda k: F.struct(k, values(k))))
+    credits = let(pairs, _multi_map)
     found = [F.trim(F.regexp_extract(first[k], p, 1)).alias(k) for k, p in patterns.items()]
     return F.struct(*found, credits.alias("credits"))
 
 
+def _multi_map(pairs: Column) -> Column:
+    """Each key with its distinct values in order."""
+    keys = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
+    values = lambda k: F.array_distinct(F.transform(F.filter(pairs, lambda p: p["k"] == k), lambda p: p["v"]))
+    return F.map_from_entries(F.transform(keys, lambda k: F.struct(k, values(k))))
+
+
 def key_values(text: Column) -> Column:
     """map of ``key=value`` lines."""
     return F.str_to_map(F.trim(text), F.lit(r"\r?\n"), F.lit("="))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashes import hamming_halves
+from ..functions.text import let
 from ..presets import Preset
 
 #: Index entries compared at a time; an index of at most this many is broadcast.
@@ -53,6 +54,10 @@ def best_two_of_array(hi: Column, lo: Column, index: Column) -> Column:
             index, lambda e: F.struct(hamming_halves(hi, lo, e["hi"], e["lo"]).alias("d"), e["ord"].alias("ord"), e["group_id"].alias("group_id"))
         )
     )
+    return let(scored, _first_and_rival)
+
+
+def _first_and_rival(scored: Column) -> Column:
     best = F.get(scored, F.lit(0))
     rival = F.get(F.filter(scored, lambda e: e["group_id"] != best["group_id"]), F.lit(0))
     return F.struct(
