@@ -35,7 +35,7 @@ from .common import checkpointed
 
 END_ID = 0
 #: Distinct words whose ids a worker keeps, over all its tasks; longer words are encoded anew.
-CACHED_WORDS, CACHED_LENGTH = 800_000, 40
+CACHED_WORDS, CACHED_LENGTH = 500_000, 40
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, pid int, local long"
 
 
