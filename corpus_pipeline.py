@@ -9,13 +9,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from halyard.llm import decontam, langid, packing, simhash
+from halyard.llm import decontam, langid, near_copies, packing
 from halyard.llm.common import fresh_path, read_table
 from halyard.llm.queries import vocab_path
 
 #: Five-word shingles; candidates share one of five bit blocks of one of five
 #: fingerprint words and differ in at most 88 of 512 bits, about what texts do
-#: whose shingles are alike by 0.8.
+#: whose shingles are alike by 0.8. Their shingle sets decide.
 NEAR = {"k": 5, "words": 8, "index_words": 5, "blocks": 5, "agree": 1, "radius": 14, "total": 88}
 
 
@@ -26,7 +26,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of copies the document with the smallest doc_id stays."""
-    return simhash.deduplicate(docs, **NEAR)
+    return near_copies.drop_near_copies(docs, **NEAR)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -92,6 +92,12 @@ def signature(text: bytes, k: int, words: int = 1) -> list[int]:
     return [int(x) for x in np.packbits(bits, axis=1, bitorder="little").view("<u8")[:, 0]]
 
 
+def set_signature(h: np.ndarray, words: int) -> list[int]:
+    """Fingerprint words of hashes that count once each."""
+    counts = np.stack([bit_counts(_mixed(h, w)) for w in range(words)])
+    return [int(x) for x in np.packbits((counts * 2 > len(h)).astype(np.uint8), axis=1, bitorder="little").view("<u8")[:, 0]]
+
+
 def fingerprints(docs: DataFrame, k: int = 4, words: int = 1) -> DataFrame:
     """doc_id and f0, f1, ...: fingerprint words as signed numbers."""
     names = [f"f{w}" for w in range(words)]
