@@ -13,10 +13,10 @@ from halyard.llm import decontam, langid, near_copies, packing
 from halyard.llm.common import fresh_path, read_table
 from halyard.llm.queries import vocab_path
 
-#: Five-word shingles; candidates share one of five bit blocks of one of five
-#: fingerprint words and differ in at most 88 of 512 bits, about what texts do
+#: Five-word shingles; candidates share one of five bit blocks of one of eight
+#: fingerprint words and differ in at most 108 of 512 bits, four deviations above what texts do on average
 #: whose shingles are alike by 0.8. Their shingle sets decide.
-NEAR = {"k": 5, "words": 8, "index_words": 5, "blocks": 5, "agree": 1, "radius": 14, "total": 88}
+NEAR = {"k": 5, "words": 8, "index_words": 8, "blocks": 5, "agree": 1, "radius": 14, "total": 108}
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -74,3 +74,14 @@ def test_rows_that_share_a_doc_id_and_copies(spark):
     a, b = "one text of a few words that stands here", "another one that has nothing in common with it at all"
     rows = [(1, a, 1), (1, b, 1), (1, a, 2), (2, a, 1), (3, b + " ", 1), (4, None, 1), (5, "", 1)]
     assert kept(spark, rows) == [(1, b), (1, a), (4, None)] or kept(spark, rows) == sorted([(1, a), (1, b)]) + [(4, None)]
+
+
+def test_copies_at_the_threshold_go(spark):
+    rng = np.random.default_rng(7)
+    pairs = variants(rng, 100, 200, 0.8, 0.81)
+    for n in range(8, 24):  # n + 4 words in n shingles; the shorter one lacks as many as may differ
+        text = " ".join(f"s{n}x{i}" for i in range(n + 4))
+        pairs.append((text, " ".join(text.split()[: 4 + -(-n * 4 // 5)])))
+    pairs.append(("a b c d e f g h i", "a b c d e f g h"))
+    assert all(jaccard(*p) >= 0.8 for p in pairs)
+    assert len(kept(spark, [(i, t, 1) for i, t in enumerate(t for p in pairs for t in p)])) <= len(pairs) + 1
