@@ -7,11 +7,12 @@ benchmark items; a document that holds, close together, at least the given
 share of an item's windows is then checked for consistent slots: a value that
 occurs again must stand for the same value of the other side.
 
-Names are capitalised words inside sentences, and before such a word; a run of
-them is one name. Where
-a passage begins in a document decides whether its first word counts as one, so
-windows are also made with names left as words, and either may match. Windows
-with fewer than three words besides placeholders match nothing.
+Names are
+capitalised words that are no common words, wherever they stand, and common
+words inside sentences or before such a word; a run of them is one name. Where
+a passage begins in a document decides whether a common first word counts as
+one, so windows are also made with names left as words, and either may match.
+Windows with fewer than three words besides placeholders match nothing.
 
 The benchmark is joined in parts of a bounded number of windows, each shipped to
 the executors as sorted arrays; a larger benchmark takes more passes.
@@ -48,6 +49,31 @@ UNITS = (
     "day days week weeks month months year years km/h mph m/s degree degrees percent dollar dollars euro euros cent cents "
     "watt watts kw volt volts hz"
 ).split()
+#: Words that stay words at the start of a sentence.
+COMMON = frozenset((
+    "a about above after again all almost along also although always am among an and another any are around as assume at away "
+    "back be because been before began behind being below beside between beyond both but by calculate call can choose compare "
+    "complete compute consider could count decide define describe determine did do does done down draw during each either "
+    "enough estimate evaluate even every everyone everything evidently explain express far few finally find first for form from "
+    "further get give given go had half has have he her here hers herself hi him himself his how however i if imagine in "
+    "indeed initially inside instead into is it its itself just know last later least less let let's like list little long look "
+    "made make many may maybe me meanwhile might more moreover most much must my name near neither never new next no nobody "
+    "none nor not note nothing now of off often oh ok old on once only or other others otherwise our out outside over own part "
+    "people perhaps please prove rather read really recently round same see select several shall she should show simplify "
+    "simply since so solve some someone something sometimes soon start state still such suddenly suppose take tell than that "
+    "that's the their them then there therefore these they things think this those though through throughout thus to today "
+    "together tomorrow tonight too total toward true try under unless until up upon use using usually very want was we well were "
+    "what what's when whenever where whether which while who whoever whole whom whose why will with within without work would "
+    "write yes yesterday yet you your "
+    "der die das ein eine einen einem einer und oder aber in im am an auf aus bei mit nach von zu zum zur für wie was wer wo "
+    "wann warum wenn es er sie wir ihr ich ist sind war hat haben nicht kein keine dann da so als auch nur "
+    "le la les un une des du de et ou mais dans sur avec pour par il elle ils elles nous vous je ce cette ces qui que quoi quand "
+    "comment pourquoi où est sont si "
+    "el los las una unos unas y o pero en con por para ella ellos ellas nosotros yo este esta estos estas qué quién cuándo "
+    "cómo dónde cuánto cuántos cuántas es son"
+).split())
+#: Signs that count as words between numbers.
+SIGNS = frozenset("-–—*")
 NUM, UNIT, NAME = (np.uint64(xxh64_intdigest(x)) for x in (b"<num>", b"<unit>", b"<name>"))
 NUMBER = re.compile(r"[$€£]?[+-]?\d[\d.,:/]*(?:%|st|nd|rd|th)?")
 MULTIPLIERS = np.array([pow(0x9E3779B97F4A7C15, 2 * k + 1, 2**64) for k in range(64)], dtype=np.uint64)
@@ -58,12 +84,13 @@ class Templates:
     """Word sequences as arrays: hash of the lower-case core, and what kind the word is."""
 
     def __init__(self):
-        self.known: dict[str, tuple[int, int]] = {}
+        self.known: dict[str, tuple[int, ...]] = {}
 
-    def _word(self, w: str) -> tuple[int, int]:
-        """Hash of the core and flags: 1 number, 2 unit, 4 capitalised, 8 ends a sentence, 16 nothing but punctuation."""
+    def _word(self, w: str) -> tuple[int, ...]:
+        """Hash of the core and flags: 1 number, 2 unit, 4 capitalised, 8 ends a sentence, 16 nothing but punctuation,
+        32 spelled number, 64 common word, 128 sign between numbers, 256 hundred and the like; a number with a unit gives both in turn."""
         core = w.strip("\"'“”‘’«»()[]{}<>.,;:!?…|*_-–—")
-        low = core.lower()
+        low = core.lower() or w
         kind = 8 * w.rstrip("\"'”’»)]}").endswith((".", "!", "?", "…", ":"))
         if not core:
             kind |= 16
@@ -73,40 +100,63 @@ class Templates:
             kind |= 2
         if core[:1].isupper():
             kind |= 4
+        if low in COMMON:
+            kind |= 64
         return xxh64_intdigest(low.encode()), kind
 
-    def arrays(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+    def arrays(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes, flags and word numbers."""
         words, known = text.split(), self.known
         if len(known) > KNOWN_WORDS:
             known.clear()
         for w in set(words).difference(known):
             known[w] = self._word(w)
-        pairs = list(chain.from_iterable(map(known.__getitem__, words)))
-        both = np.array(pairs, dtype=np.uint64).reshape(-1, 2)
-        return both[:, 0], both[:, 1].astype(np.int64)
+        parts = list(map(known.__getitem__, words))
+        both = np.array(list(chain.from_iterable(parts)), dtype=np.uint64).reshape(-1, 2)
+        at = np.arange(len(words))
+        if len(both) > len(words):
+            at = np.repeat(at, np.fromiter(map(len, parts), np.int64, len(parts)) // 2)
+        return both[:, 0], both[:, 1].astype(np.int64), at
 
     def channels(self, text: str):
         """(template, word number, value, is a slot) of the plain template, and of that with names if it differs."""
-        value, kind = self.arrays(text)
-        real = np.flatnonzero(kind & 16 == 0)
+        value, kind, at = self.arrays(text)
+        number = kind & 1 > 0
+        sign = (kind & 128 > 0) & np.r_[False, number[:-1]] & np.r_[number[1:], False]
+        real = np.flatnonzero((kind & 16 == 0) | sign)
         ends = np.cumsum(np.r_[0, kind & 8 > 0])[:-1]  # sentences ended before each word
-        value, kind, ends = value[real], kind[real], ends[real]
+        value, kind, ends, at, number = value[real], kind[real], ends[real], at[real], number[real]
         if not len(real):
             return
-        number = kind & 1 > 0
+        same = np.r_[False, ends[1:] == ends[:-1]]  # in one sentence with the word before
         unit = (kind & 2 > 0) & np.r_[False, number[:-1]]
         plain = np.where(number, NUM, np.where(unit, UNIT, value))
-        yield plain, real, value, number | unit
+        more = (kind & 32 > 0) & np.r_[False, number[:-1]] & same & (np.r_[False, kind[:-1] & 32 > 0] | (kind & 256 > 0))  # "two hundred" and "5 million" are one number
+        part = number & (more | np.r_[more[1:], False])
+
+        def joined(template, more, part, slot):
+            if not more.any():
+                return template, at, value, slot
+            first = np.flatnonzero(~more)
+            run = np.add.reduceat(np.where(part, value * np.uint64(31) + np.uint64(7), value), first)
+            return template[first], at[first], run, slot[first]
+
+        slot = number | unit | (kind & 128 > 0)  # signs stay as they are, but are no words
+        yield joined(plain, more, part, slot)
         capital = (kind & 4 > 0) & ~number & ~unit
-        inside = capital & np.r_[False, ends[1:] == ends[:-1]]
-        name = inside | capital & np.r_[inside[1:], False]
+        inside = capital & same
+        name = capital & (kind & 64 == 0) | inside | capital & np.r_[inside[1:], False]
         if name.any():
-            first = ~(name & np.r_[False, name[:-1]])
-            run = np.add.reduceat(np.where(name, value * np.uint64(31) + np.uint64(7), value), np.flatnonzero(first))
-            yield np.where(name, NAME, plain)[first], real[first], run, (number | unit | name)[first]
+            more_names = more | name & np.r_[False, name[:-1]] & same
+            yield joined(np.where(name, NAME, plain), more_names, part | name, slot | name)
 
 
 _UNITS = frozenset(UNITS)
+_ATTACHED = re.compile(r"([$€£]?[+-]?\d[\d.,:/]*)[-–]?([^\W\d_]+(?:/[^\W\d_]+)?)")
+_ONES = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
+_TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
+_SCALES = frozenset(["hundred", "thousand", "million", "billion"])
+_SPELLED = frozenset([*_ONES, *_TENS, *_SCALES, *(f"{t}-{o}" for t in _TENS for o in _ONES[1:10])])
 
 
 def windows(template: np.ndarray, slot: np.ndarray, size: int) -> np.ndarray:

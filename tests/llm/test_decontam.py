@@ -60,3 +60,11 @@ def test_drop_keeps_the_rest(spark):
 
 def test_empty_tables(spark):
     assert found(spark, []) == set() and found(spark, [(1, FILL, "x")], []) == set()
+
+
+def test_single_names_at_sentence_starts(spark):
+    items = [(1, "Tom has 5 apples. Tom gives 2 to Mary. How many apples does Tom have left?")]
+    other = "Anna has 7 apples. Anna gives 3 to Peter. How many apples does Anna have left?"
+    broken = "Anna has 7 apples. Paul gives 3 to Peter. How many apples does Olga have left?"
+    docs = [(1, FILL + ". " + other, "x"), (2, "He met Smith. " + other + " " + FILL, "x"), (3, broken, "x"), (4, FILL + items[0][1], "x")]
+    assert found(spark, docs, items) == {(1, 1), (2, 1), (4, 1)}
