@@ -7,7 +7,7 @@ benchmark items; a document that holds, close together, at least the given
 share of an item's windows is then checked for consistent slots: a value that
 occurs again must stand for the same value of the other side.
 
-Names are
+Numbers may be spelled out, and units may be attached to them ("5km"). Names are
 capitalised words that are no common words, wherever they stand, and common
 words inside sentences or before such a word; a run of them is one name. Where
 a passage begins in a document decides whether a common first word counts as
@@ -96,6 +96,10 @@ class Templates:
             kind |= 16
         elif NUMBER.fullmatch(core):
             kind |= 1
+        elif (m := _ATTACHED.fullmatch(low)) and m[2] in _UNITS:
+            return xxh64_intdigest(m[1].encode()), 1, xxh64_intdigest(m[2].encode()), kind | 2
+        elif low in _SPELLED:
+            kind |= 1 | 32 | 256 * (low in _SCALES)
         elif low in _UNITS:
             kind |= 2
         if core[:1].isupper():

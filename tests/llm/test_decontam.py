@@ -68,3 +68,15 @@ def test_single_names_at_sentence_starts(spark):
     broken = "Anna has 7 apples. Paul gives 3 to Peter. How many apples does Olga have left?"
     docs = [(1, FILL + ". " + other, "x"), (2, "He met Smith. " + other + " " + FILL, "x"), (3, broken, "x"), (4, FILL + items[0][1], "x")]
     assert found(spark, docs, items) == {(1, 1), (2, 1), (4, 1)}
+
+
+def test_attached_units_and_spelled_numbers(spark):
+    items = [
+        (1, "A 5km run takes 30min for Ann. If she runs 10km at the same pace then how long does the run take her?"),
+        (2, "the baker puts five trays with twenty-four rolls each into the oven and sells two hundred rolls before the shop closes"),
+    ]
+    docs = [
+        (1, FILL + items[0][1].replace("5km", "7 km").replace("30min", "45min").replace("10km", "21km"), "x"),
+        (2, FILL + items[1][1].replace("five", "7").replace("twenty-four", "thirty").replace("two hundred", "150"), "x"),
+    ]
+    assert found(spark, docs, items) == {(1, 1), (2, 2)}
