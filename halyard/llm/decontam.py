@@ -12,14 +12,15 @@ capitalised words that are no common words, wherever they stand, and common
 words inside sentences or before such a word; a run of them is one name. Where
 a passage begins in a document decides whether a common first word counts as
 one, so windows are also made with names left as words, and either may match.
-Windows with fewer than three words besides placeholders match nothing.
+Windows with fewer than three words besides placeholders match nothing, but an
+item that has no others is matched by its literal words and values.
 
 The benchmark is joined in parts of a bounded number of windows, each shipped to
 the executors as sorted arrays; a larger benchmark takes more passes.
 
 Defined results
-    null or empty text: no windows; items shorter than a window: matched by the
-    whole template if it has three words or more, else never; repeated rows:
+    null or empty text: no windows; items shorter than a window: matched whole
+    if they have three words or placeholders or more, else never; repeated rows:
     reported once a doc_id and item; null doc_id: never reported, and kept by
     ``drop_contaminated``; empty tables: no rows; further columns: left out by
     ``find_contaminated``, kept by ``drop_contaminated``.
@@ -74,6 +75,7 @@ COMMON = frozenset((
 ).split())
 #: Signs that count as words between numbers.
 SIGNS = frozenset("-–—*")
+LITERAL = np.uint64(xxh64_intdigest(b"<literal>"))
 NUM, UNIT, NAME = (np.uint64(xxh64_intdigest(x)) for x in (b"<num>", b"<unit>", b"<name>"))
 NUMBER = re.compile(r"[$€£]?[+-]?\d[\d.,:/]*(?:%|st|nd|rd|th)?")
 MULTIPLIERS = np.array([pow(0x9E3779B97F4A7C15, 2 * k + 1, 2**64) for k in range(64)], dtype=np.uint64)
@@ -93,7 +95,7 @@ class Templates:
         low = core.lower() or w
         kind = 8 * w.rstrip("\"'”’»)]}").endswith((".", "!", "?", "…", ":"))
         if not core:
-            kind |= 16
+            kind |= 16 | 128 * (w in SIGNS)
         elif NUMBER.fullmatch(core):
             kind |= 1
         elif (m := _ATTACHED.fullmatch(low)) and m[2] in _UNITS:
@@ -178,19 +180,30 @@ def windows(template: np.ndarray, slot: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
+def literal_windows(value: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """Hash of the words and values of the windows that begin at the given places."""
+    out = np.full(len(at), LITERAL)
+    for k in range(size):
+        part = value[at + k]
+        out += (part ^ (part >> np.uint64(31))) * MULTIPLIERS[k % 64]
+    return out ^ (out >> np.uint64(29))
+
+
 class Index:
     """Windows of the benchmark items, sorted by hash."""
 
     def __init__(self, items: list[tuple[int, str]], size: int):
         made, self.items = Templates(), []
         hashes, item_of, at = [], [], []
-        self.sizes = {size}
+        self.sizes, self.literal = {size}, False
         for item_id, text in items:
-            for template, _, value, slot in made.channels(text or ""):
+            for channel, (template, _, value, slot) in enumerate(made.channels(text or "")):
                 own = min(size, len(template))
                 h = windows(template, slot, own)
                 if not h.any():
-                    continue
+                    if channel or own < 3:
+                        continue
+                    h, self.literal = literal_windows(value, np.arange(len(h)), own), True
                 self.sizes.add(own)
                 keep = np.flatnonzero(h)
                 hashes.append(h[keep] + np.uint64(own))
@@ -228,9 +241,11 @@ def _consistent(pairs: list[tuple[int, int]], least: float) -> bool:
 def matches(index: Index, made: Templates, text: str, size: int, coverage: float, slots: float):
     """(item_id, windows, matched, first word) of the items that a text holds."""
     best: dict[int, tuple] = {}
-    for template, word, value, slot in made.channels(text):
+    for channel, (template, word, value, slot) in enumerate(made.channels(text)):
         for own in index.sizes:
             h = windows(template, slot, own)
+            if index.literal and not channel and len(dense := np.flatnonzero(h == 0)):
+                h[dense] = literal_windows(value, dense, own)
             h = np.where(h > 0, h + np.uint64(own), 0).astype(np.uint64)
             where, place = index.hits(h)
             item = index.item_of[place]

@@ -80,3 +80,12 @@ def test_attached_units_and_spelled_numbers(spark):
         (2, FILL + items[1][1].replace("five", "7").replace("twenty-four", "thirty").replace("two hundred", "150"), "x"),
     ]
     assert found(spark, docs, items) == {(1, 1), (2, 2)}
+
+
+def test_items_of_numbers_match_as_they_are(spark):
+    items = [(1, "Compute 12 + 7 - 5 * 3"), (2, "12 7 9 4 5 6 1"), (3, "two 15 three")]
+    docs = [
+        (1, FILL + items[0][1] + " " + FILL, "x"), (2, FILL + "compute 12 + 8 - 5 * 3", "x"), (3, FILL + "compute 12 + 7 * 5 - 3", "x"),
+        (4, FILL + items[1][1] + ".", "x"), (5, FILL + "12 7 9 4 8 6 1", "x"), (6, FILL + items[2][1], "x"), (7, "two 16 three", "x"),
+    ]
+    assert found(spark, docs, items) == {(1, 1), (4, 2), (6, 3)}
