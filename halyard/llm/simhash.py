@@ -17,7 +17,8 @@ Defined results
     is 0; repeated rows: linked; empty table: no rows; further columns: left
     out by ``near_duplicates``, kept by ``deduplicate``. Rows without doc_id
     are fingerprinted and linked but never named as a component unless the
-    component has no other row.
+    component has no other row. Rows that share a doc_id: ``deduplicate`` drops
+    them only where linked by text.
 """
 
 from __future__ import annotations
@@ -309,14 +310,26 @@ def near_duplicates(
     return prints.join(named, names, "left").select("doc_id", *names, "component_id", "class_size")
 
 
-def deduplicate(docs: DataFrame, **how) -> DataFrame:
+def deduplicate(docs: DataFrame, k: int = 4, words: int = 1, **how) -> DataFrame:
     """docs with one row of each near-duplicate group: that with the smallest doc_id.
 
     Rows without doc_id can't be named and stay.
     """
-    keep = near_duplicates(docs, **how).filter("component_id = doc_id").select("doc_id").distinct()
-    kept = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id is null")).select(*docs.columns)
+    names = [f"f{w}" for w in range(words)]
+    version = F.xxhash64("text")
+    prints = fingerprints(docs.select(version.alias("doc_id"), "text"), k, words).distinct()
+    ids = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), version.alias("version"))
+    rows = ids.join(prints.withColumnRenamed("doc_id", "version"), "version")
+    # A doc_id may have several texts, so a class goes by its fingerprint.
+    classes = checkpointed(
+        rows.groupBy(*names).agg(F.min(F.struct("doc_id", "version")).alias("kept")).withColumn("node", F.xxhash64(*names))
+    )
+    found = connected_components(link_signatures(classes.select("node", *names), words, **how))
+    keep = classes.join(found, "node", "left").groupBy(F.coalesce("component", "node").alias("c")).agg(F.min("kept").alias("kept"))
+    keep = keep.select(F.col("kept.doc_id").alias("_kept_id"), F.col("kept.version").alias("_version"))
+    marked = docs.withColumn("_kept_id", F.col("doc_id").cast("long")).withColumn("_version", version)
+    kept = marked.join(keep, ["_kept_id", "_version"], "left_semi").dropDuplicates(["_kept_id", "_version"])
+    return kept.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
 
 
 def hex_of(words: list[Column]) -> Column:

@@ -104,6 +104,13 @@ def test_documents_with_nulls_repeats_and_clashing_columns(spark):
     assert sorted(i for i in ids if i is not None) == sorted(set(wanted.values())) and ids.count(None) == 1
 
 
+def test_distinct_texts_of_one_doc_id_stay(spark):
+    first, second, third = (" ".join(f"{w}{i}" for i in range(40)) for w in ("a", "b", "c"))
+    docs = spark.createDataFrame([(7, first), (7, second), (7, second), (3, second), (9, third), (7, third)], "doc_id long, text string")
+    kept = [(r["doc_id"], r["text"]) for r in simhash.deduplicate(docs).collect()]
+    assert sorted(kept) == [(3, second), (7, first), (7, third)]
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(docs).collect() == [] and simhash.deduplicate(docs).collect() == []
