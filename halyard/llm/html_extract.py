@@ -9,7 +9,9 @@ ascent on the exact likelihood (forward-backward), on labelled pages that
 
 Defined results
     null or empty html: empty text; unclosed or stray tags, comments, scripts
-    and attributes: parsed leniently, to the end of the page; repeated rows:
+    and attributes: parsed leniently, to the end of the page; svg, select,
+    template and canvas: skipped, if unclosed up to the next block-level tag;
+    math and object: their text counts; repeated rows:
     extracted each; ties between labellings: not text; null url or page_id:
     carried along; empty table: no rows; further columns: left out.
 """
@@ -34,7 +36,8 @@ TOKEN = re.compile(
 )
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 #: Elements of HTML by how they are parsed.
-SKIPPED = frozenset("script style noscript textarea title iframe xmp noembed noframes svg math select template object canvas".split())
+RAW = frozenset("script style noscript textarea title iframe xmp noembed noframes".split())
+SKIPPED = frozenset("svg select template canvas".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure "
@@ -82,6 +85,34 @@ class Leaf:
     leaf: str  # the innermost block element
 
 
+def skipped_to(page: str, tag: str, at: int) -> int:
+    """Where a skipped element that begins before at ends: after its close tag or, if it has none, at the next block-level tag.
+
+    It has none if what holds it is closed first.
+    """
+    depth, opened, block = 1, [], None
+    while (m := TOKEN.search(page, at)) is not None:
+        at = m.end()
+        end, name, attrs = (m[1], m[2], m[3]) if m[2] is not None else (m[4], m[5], m[6])
+        name = (name or "").lower()
+        if name in RAW and not end:
+            close = re.compile(f"</{name}(?=[\\s/>]|$)", re.I).search(page, at)
+            at = len(page) if close is None else close.start()
+        elif name == tag:
+            depth += -1 if end else not attrs.rstrip().endswith("/")
+            if not depth:
+                return at
+        elif name in BLOCK and name not in ("option", "hr"):
+            block = m.start() if block is None else block
+            if not end:
+                opened.append(name)
+            elif name in opened:
+                del opened[len(opened) - 1 - opened[::-1].index(name) :]
+            else:
+                break
+    return len(page) if block is None else block
+
+
 class Parser:
     """Cuts pages into leaf blocks; sets of ancestor features are numbered and shared by all pages."""
 
@@ -171,10 +202,13 @@ class Parser:
                     if tag not in BLOCK and stack[k][0] in SCOPE:
                         break
                 continue
+            if tag in RAW:
+                close = re.compile(f"</{re.escape(tag)}(?=[\\s/>]|$)", re.I).search(page, at)
+                at = n if close is None else (page.find(">", close.end()) + 1 or n)
+                continue
             if tag in SKIPPED:
-                if not attrs.rstrip().endswith("/") or tag not in ("svg", "math"):
-                    close = re.compile(f"</{re.escape(tag)}(?=[\\s/>]|$)", re.I).search(page, at)
-                    at = n if close is None else (page.find(">", close.end()) + 1 or n)
+                if not attrs.rstrip().endswith("/") or tag != "svg":
+                    at = skipped_to(page, tag, at)
                 continue
             if tag in BLOCK:
                 flush()

@@ -41,6 +41,21 @@ def test_any_markup_is_parsed(page):
         assert leaf.text == " ".join(leaf.text.split()) and leaf.text
 
 
+def texts(page):
+    return [b.text for b in H.Parser().leaves(page)]
+
+
+@pytest.mark.parametrize("tag", ["svg", "select", "template", "canvas", "object", "math"])
+def test_unclosed_element_does_not_take_the_rest(tag):
+    assert texts(f"<article><p>One <{tag}></p><p>Two</p></article><p>Three <{tag}></{tag}></p>") == ["One", "Two", "Three"]
+    assert texts(f"<article><{tag}><p>Two</p></article><p>Three</p>") == ["Two", "Three"]
+
+
+def test_text_of_math_and_object_counts_and_skipped_elements_end_at_their_own_close_tag():
+    assert texts("<p>Let <math><mi>x</mi></math> be <object>old</object> here.</p>") == ["Let x be old here."]
+    assert texts("<p>a<svg><svg></svg>no</svg>b</p><template><div>no</div></template><p>c<select><option>no</select>d</p>") == ["ab", "cd"]
+
+
 def test_viterbi_is_the_best_labelling():
     rng = np.random.default_rng(3)
     for n in (1, 2, 5):
