@@ -1,17 +1,24 @@
 """Main text of web pages by a linear-chain conditional random field over DOM leaf blocks.
 
 A page is cut into leaf blocks, the runs of text between block-level tags. Each
-block has features of its ancestors (tags, roles, words of classes and ids) and
-of its text (length, links, marks); the field scores labellings of the whole
-sequence as text or not and Viterbi finds the best. It is trained by gradient
-ascent on the exact likelihood (forward-backward), on labelled pages that
-``labelled_page`` writes in many layouts.
+block has features of its ancestors (tags, roles, classes and ids), of its text
+(length, links, marks) and of whether the page has an article or main element
+that it stands outside of; the field scores labellings of the whole sequence as
+text or not and Viterbi finds the best. It is trained by gradient ascent on the
+exact likelihood (forward-backward), on labelled pages that ``labelled_page``
+writes in many layouts, bare ones among them.
+
+A class or id is judged as a whole: "cookie-banner" is a notice, "has-sidebar"
+and "tag-news" say nothing. What html and body are called says nothing either,
+and main and article elements are no part of a menu, header or footer around them.
+Parsing takes time in proportion to the page, whatever is left unclosed.
 
 Defined results
     null or empty html: empty text; unclosed or stray tags, comments, scripts
     and attributes: parsed leniently, to the end of the page; svg, select,
     template and canvas: skipped, if unclosed up to the next block-level tag;
-    math and object: their text counts; repeated rows:
+    math and object: their text counts; html without markup: one block of
+    text; very long or deeply nested pages: parsed whole; repeated rows:
     extracted each; ties between labellings: not text; null url or page_id:
     carried along; empty table: no rows; further columns: left out.
 """
@@ -20,6 +27,8 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left, bisect_right
+from collections import defaultdict
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -69,11 +78,15 @@ WORDS = {
     "form": "form login signup signin search contact register input",
 }
 WORD_OF = {w: kind for kind, words in WORDS.items() for w in words.split()}
+#: First words of classes that tell a state, a layout or a topic, not what an element is.
+STATES = frozenset("has with no without is not show hide hidden tag category author date type format status layout js wp".split())
+#: Kinds of chrome that hold no main or article element.
+OUTER = frozenset(f"class:{k}" for k in ("menu", "top", "foot", "notice", "form", "share"))
 LEXICON = re.compile(
     r"©|\(c\)|copyright|all rights|cookie|subscrib|newsletter|sign (?:in|up)|log ?in|privacy|terms of|advert|sponsored|"
     r"comments?\b|repl(?:y|ies)|share|follow us|read more|click here", re.I,
 )
-TEXT_FEATURES = 24
+TEXT_FEATURES = 26
 LABEL_MARK = "\ue001"
 
 
@@ -85,12 +98,38 @@ class Leaf:
     leaf: str  # the innermost block element
 
 
-def skipped_to(page: str, tag: str, at: int) -> int:
-    """Where a skipped element that begins before at ends: after its close tag or, if it has none, at the next block-level tag.
+def class_kind(name: str) -> str | None:
+    """What a class or id speaks for, if anything: its last word that is known, chrome before content."""
+    words = re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", name).lower())
+    if len(words) > 1 and words[0] in STATES:
+        return None
+    for k, w in enumerate(words):
+        if w in ("has", "with", "no", "without"):
+            words = words[:k]
+            break
+    kinds = [WORD_OF[w] for w in words if w in WORD_OF]
+    return next((k for k in reversed(kinds) if k != "content"), kinds[-1] if kinds else None)
 
-    It has none if what holds it is closed first.
+
+def skipped_ends(page: str, at: int) -> dict[int, int]:
+    """For each skipped element that begins at or after the place: where what follows its open tag goes on.
+
+    That is after its close tag or, if it has none before what holds it is
+    closed, at the next block-level tag. Keys are the ends of the open tags.
     """
-    depth, opened, block = 1, [], None
+    ends: dict[int, int] = {}
+    lone: list[int] = []
+    blocks: list[int] = []
+    stack: list[tuple[str, int]] = []
+    where: dict[str, list[int]] = defaultdict(list)
+
+    def pop_to(k: int) -> None:
+        for name, place in stack[k:]:
+            where[name].pop()
+            if name in SKIPPED:
+                lone.append(place)
+        del stack[k:]
+
     while (m := TOKEN.search(page, at)) is not None:
         at = m.end()
         end, name, attrs = (m[1], m[2], m[3]) if m[2] is not None else (m[4], m[5], m[6])
@@ -98,19 +137,28 @@ def skipped_to(page: str, tag: str, at: int) -> int:
         if name in RAW and not end:
             close = re.compile(f"</{name}(?=[\\s/>]|$)", re.I).search(page, at)
             at = len(page) if close is None else close.start()
-        elif name == tag:
-            depth += -1 if end else not attrs.rstrip().endswith("/")
-            if not depth:
-                return at
+        elif name in SKIPPED:
+            if not end:
+                if not attrs.rstrip().endswith("/") or name != "svg":
+                    where[name].append(len(stack))
+                    stack.append((name, at))
+            elif where[name]:
+                k = where[name][-1]
+                ends[stack[k][1]] = at
+                pop_to(k)
         elif name in BLOCK and name not in ("option", "hr"):
-            block = m.start() if block is None else block
+            blocks.append(m.start())
             if not end:
-                opened.append(name)
-            elif name in opened:
-                del opened[len(opened) - 1 - opened[::-1].index(name) :]
+                where[name].append(len(stack))
+                stack.append((name, at))
             else:
-                break
-    return len(page) if block is None else block
+                pop_to(where[name][-1] if where[name] else 0)
+    pop_to(0)
+    for place in lone:
+        if place not in ends:
+            k = bisect_left(blocks, place)
+            ends[place] = blocks[k] if k < len(blocks) else len(page)
+    return ends
 
 
 class Parser:
@@ -126,18 +174,20 @@ class Parser:
         if (known := self.next.get(key)) is not None:
             return known
         new, hidden = set(self.sets[parent]), False
+        if tag == "main":
+            new = {x for x in new if not x.startswith("class:") or x == "class:content"}
+        elif tag == "article":
+            new -= OUTER
         if tag in TAGS:
             new.add("in:" + tag)
         for name, *values in ATTRIBUTE.findall(attrs):
-            value, name = "".join(values).lower(), name.lower()
-            if name == "hidden" or name == "aria-hidden" and value == "true":
-                hidden = hidden or name == "hidden"
+            value, name = "".join(values), name.lower()
+            if name == "hidden":
+                hidden = True
             elif name == "style":
-                hidden = hidden or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value))
-            else:
-                for w in re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", "".join(values)).lower()):
-                    if kind := WORD_OF.get(w):
-                        new.add("class:" + kind)
+                hidden = hidden or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value.lower()))
+            elif name != "aria-hidden" and tag not in ("html", "body"):
+                new.update(f"class:{kind}" for kind in map(class_kind, value.split()) if kind)
         fixed = frozenset(new)
         if fixed not in self.number:
             self.number[fixed] = len(self.sets)
@@ -149,18 +199,22 @@ class Parser:
 
     def leaves(self, page: str) -> list[Leaf]:
         out: list[Leaf] = []
-        stack: list[tuple[str, int, bool]] = [("", 0, False)]
+        stack: list[tuple[str, int, bool, str]] = [("", 0, False, "")]  # tag, set, hidden, innermost block
+        where: dict[str, list[int]] = defaultdict(list)  # places in the stack of each tag
+        scopes: list[int] = [0]
         parts: list[str] = []
-        links = anchors = 0
+        ends: dict[int, int] | None = None
+        links = 0
+        anchors = where["a"]
 
         def flush() -> None:
             nonlocal links
             if parts:
                 raw = "".join(parts)
                 text = " ".join((html.unescape(raw) if "&" in raw else raw).split())
-                if text and not stack[-1][2]:
-                    leaf = next((s[0] for s in reversed(stack) if s[0] in BLOCK), "")
-                    out.append(Leaf(text, stack[-1][1], min(links, len(text)), leaf))
+                _, path, hidden, leaf = stack[-1]
+                if text and not hidden:
+                    out.append(Leaf(text, path, min(links, len(text)), leaf))
                 parts.clear()
             links = 0
 
@@ -172,8 +226,10 @@ class Parser:
                     links += b - a
 
         def pop_to(k: int) -> None:
-            nonlocal anchors
-            anchors -= sum(s[0] == "a" for s in stack[k:])
+            for s in stack[k:]:
+                where[s[0]].pop()
+                if s[0] in SCOPE:
+                    scopes.pop()
             del stack[k:]
 
         at, n = 0, len(page)
@@ -195,12 +251,9 @@ class Parser:
             if end:
                 if tag in BLOCK:
                     flush()
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == tag:
-                        pop_to(k)
-                        break
-                    if tag not in BLOCK and stack[k][0] in SCOPE:
-                        break
+                # an inline element is not closed across the element that holds it
+                if (open_at := where[tag] if tag in where else None) and (tag in BLOCK or open_at[-1] >= scopes[-1]):
+                    pop_to(open_at[-1])
                 continue
             if tag in RAW:
                 close = re.compile(f"</{re.escape(tag)}(?=[\\s/>]|$)", re.I).search(page, at)
@@ -208,39 +261,35 @@ class Parser:
                 continue
             if tag in SKIPPED:
                 if not attrs.rstrip().endswith("/") or tag != "svg":
-                    at = skipped_to(page, tag, at)
+                    if ends is None:
+                        ends = skipped_ends(page, m.start())
+                    at = ends.get(at, at)
                 continue
             if tag in BLOCK:
                 flush()
-                if tag in CLOSES_P:
-                    for k in range(len(stack) - 1, 0, -1):
-                        if stack[k][0] == "p":
-                            pop_to(k)
-                            break
-                        if stack[k][0] in SCOPE:
-                            break
+                if tag in CLOSES_P and where["p"] and where["p"][-1] > scopes[-1]:
+                    pop_to(where["p"][-1])
                 if tag in CLOSED_BY:
                     closes, stops = CLOSED_BY[tag]
-                    low = None
-                    for k in range(len(stack) - 1, 0, -1):
-                        if stack[k][0] in stops:
-                            break
-                        if stack[k][0] in closes:
-                            low = k
-                    if low is not None:
-                        pop_to(low)
+                    stop = max((where[t][-1] for t in stops if where[t]), default=0)
+                    low = [places[k] for t in closes if (k := bisect_right(places := where[t], stop)) < len(places)]
+                    if low:
+                        pop_to(min(low))
             elif tag == "br":
                 parts.append(" ")
             if tag in VOID or attrs.rstrip().endswith("/") and tag not in BLOCK:
                 continue
-            path, hidden = self._enter(stack[-1][1], tag, attrs if "=" in attrs or "hidden" in attrs else "")
-            stack.append((tag, path, hidden or stack[-1][2]))
-            anchors += tag == "a"
+            _, path, hidden, leaf = stack[-1]
+            path, own = self._enter(path, tag, attrs if "=" in attrs or "hidden" in attrs else "")
+            where[tag].append(len(stack))
+            if tag in SCOPE:
+                scopes.append(len(stack))
+            stack.append((tag, path, hidden or own, tag if tag in BLOCK else leaf))
         flush()
         return out
 
 
-def text_features(leaf: Leaf, first: bool, last: bool) -> list[int]:
+def text_features(leaf: Leaf, first: bool, last: bool, page: int = 0) -> list[int]:
     """Numbers, below TEXT_FEATURES, of the features that the block's own text has."""
     text, n = leaf.text, len(leaf.text)
     words = text.count(" ") + 1
@@ -275,9 +324,32 @@ def text_features(leaf: Leaf, first: bool, last: bool) -> list[int]:
         f.append(22)
     if share > 0.5 and leaf.leaf == "li":
         f.append(23)
+    if page:
+        f.append(23 + page)
     return f
 
 
+def holds_text(names: frozenset[str]) -> bool:
+    """Whether ancestors are an article or main element that is no comment, teaser or advert."""
+    return ("in:article" in names or "in:main" in names) and not names & ASIDES
+
+
+def standing(sets: list[frozenset[str]], leaves: list[Leaf]) -> list[int]:
+    """Of each block: 1 if it stands outside the page's article or main element, 2 if the page has none and no content class."""
+    inside = [holds_text(sets[b.path]) for b in leaves]
+    if any(inside):
+        return [int(not x) for x in inside]
+    return [0 if any("class:content" in sets[b.path] for b in leaves) else 2] * len(leaves)
+
+
+def page_features(sets: list[frozenset[str]], leaves: list[Leaf]) -> list[list[int]]:
+    """Text features of each block of a page."""
+    last = len(leaves) - 1
+    return [text_features(b, t == 0, t == last, where) for t, (b, where) in enumerate(zip(leaves, standing(sets, leaves), strict=True))]
+
+
+#: What an article element may stand in, or be, without holding the page's text.
+ASIDES = frozenset(("in:aside", "in:nav", "in:footer", "class:talk", "class:side", "class:ad", "class:notice"))
 PATH_FEATURES = [f"in:{t}" for t in TAGS] + [f"class:{k}" for k in WORDS]
 #: Ancestor features also count together: what an article holds is not all text.
 PAIRS = [("in:article", x) for x in PATH_FEATURES if x != "in:article"] + [("in:main", x) for x in ("in:aside", "in:nav", "in:form", "class:talk", "class:ad")]
@@ -349,13 +421,13 @@ def likelihood(field: Field, x: np.ndarray, y: np.ndarray, size: np.ndarray) ->
         d_move -= np.exp(joint).sum(axis=0)
         np.add.at(d_move, (y[on, t - 1], y[on, t]), 1)
         total += field.move[y[on, t - 1], y[on, t]].sum()
-    d_emit = np.einsum("pt,ptf->f", picked[:, :, 1] - prob[:, :, 1], x)
+    d_emit = (picked[:, :, 1] - prob[:, :, 1]).ravel() @ x.reshape(-1, x.shape[2])
     d_begin = (np.eye(2)[y[:, 0]] - prob[:, 0]).sum(axis=0)
     d_end = (np.eye(2)[y[rows, size - 1]] - prob[rows, size - 1]).sum(axis=0)
     return float(total - whole.sum()) / pages, [g / pages for g in (d_emit, d_move, d_begin, d_end)]
 
 
-def fit(pages: list[str], rounds: int = 200, rate: float = 0.15, ridge: float = 0.003) -> Field:
+def fit(pages: list[str], rounds: int = 140, rate: float = 0.15, ridge: float = 0.003) -> Field:
     """Train on pages whose text blocks carry LABEL_MARK."""
     parser, made = Parser(), []
     for page in pages:
@@ -370,8 +442,8 @@ def fit(pages: list[str], rounds: int = 200, rate: float = 0.15, ridge: float =
     size = np.array([len(m[0]) for m in made])
     for i, (leaves, label) in enumerate(made):
         y[i, : len(label)] = label
-        for t, leaf in enumerate(leaves):
-            x[i, t, text_features(leaf, t == 0, t + 1 == len(leaves)) + path_features(parser.sets[leaf.path])] = 1
+        for t, (leaf, own) in enumerate(zip(leaves, page_features(parser.sets, leaves), strict=True)):
+            x[i, t, own + path_features(parser.sets[leaf.path])] = 1
     field = Field(np.zeros(FEATURES), np.zeros((2, 2)), np.zeros(2), np.zeros(2))
     params = [field.emit, field.move, field.begin, field.end]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
@@ -385,16 +457,20 @@ def fit(pages: list[str], rounds: int = 200, rate: float = 0.15, ridge: float =
     return field
 
 
+@lru_cache(maxsize=1)
+def _invented_words(n: int = 2000) -> list[str]:
+    syllables, rng = "ba ke li mo nu ra se ti vo za der ing al est un or em is ta no".split(), np.random.default_rng(5)
+    return ["".join(syllables[i] for i in rng.integers(len(syllables), size=rng.integers(1, 4))) for _ in range(n)]
+
+
 def labelled_page(rng: np.random.Generator) -> str:
     """A page in a random layout whose text blocks begin with LABEL_MARK."""
-    mark = LABEL_MARK
-    syllables = "ba ke li mo nu ra se ti vo za der ing al est un or em is ta no".split()
+    mark, made = LABEL_MARK, _invented_words()
     pick = lambda *options: options[rng.integers(len(options))]
     maybe = lambda chance, value: value if rng.random() < chance else ""
 
     def words(n: int) -> str:
-        out = ["".join(syllables[i] for i in rng.integers(len(syllables), size=rng.integers(1, 4))) for _ in range(n)]
-        return " ".join(out)
+        return " ".join(made[i] for i in rng.integers(len(made), size=n))
 
     def sentence(low: int = 3, high: int = 18) -> str:
         return words(int(rng.integers(low, high))).capitalize() + pick(".", ".", ".", "?", "!")
@@ -457,6 +533,17 @@ def labelled_page(rng: np.random.Generator) -> str:
         return f'<form>{maybe(0.6, "<p>" + sentence() + "</p>")}<label>{words(1)}</label><input name="q">{maybe(0.5, "<p>" + prose() + "</p>")}<button>{words(1)}</button></form>'
 
     parts = body()
+    bare = rng.random()
+    if bare < 0.03:
+        return f"{mark}{prose()}"
+    if bare < 0.25:  # no chrome, or nothing but a footer or menu
+        parts = [f"<p>{mark}{sentence(1, 4)}</p>"] if rng.random() < 0.2 else parts[: int(rng.integers(1, len(parts) + 1))]
+        text = maybe(0.5, f"<h1>{mark}{words(4)}</h1>") + "".join(parts)
+        text = pick(f"<article>{text}</article>", f"<main>{text}</main>", f"<div>{text}</div>", f'<div class="post">{text}</div>', text, text)
+        return pick(
+            f"<html><body>{text}</body></html>", f"<html><head><title>{words(3)}</title></head><body>{text}", text,
+            f"<body><ul>{links(4)}</ul>{text}</body>", f"<body>{text}<footer>{sentence()}</footer></body>", f"<body><nav>{links(3)}</nav>{text}</body>",
+        )
     for extra, chance in ((advert, 0.25), (form, 0.1), (side, 0.15), (notice, 0.1)):
         if rng.random() < chance:
             parts.insert(int(rng.integers(len(parts) + 1)), extra())
@@ -466,7 +553,7 @@ def labelled_page(rng: np.random.Generator) -> str:
     text = head_in + "".join(parts) + inner_talk
     kind = rng.random()
     if kind < 0.55:
-        text = f"<article>{text}</article>"
+        text = f"<article{maybe(0.3, ' class=\"post tag-news\"')}>{text}</article>"
     elif kind < 0.7:
         text = f"<main>{text}</main>"
     elif kind < 0.8:
@@ -475,10 +562,12 @@ def labelled_page(rng: np.random.Generator) -> str:
         text = f'<div {pick("class", "id")}="{pick("content", "post", "entry-content", "article-body", "story", "main-content")}">{text}</div>'
     else:
         text = f"<div>{text}</div>"
+    teaser = lambda: f'<section class="related">{"".join(f"<article><h3>{link(words(3))}</h3><p>{sentence()}</p></article>" for _ in range(2))}</section>'
+    text = pick(text, text, f'<div class="{pick("wrapper", "site-main has-sidebar", "container with-ads", "row no-comments")}">{text}{maybe(0.3, side())}</div>')
     nav = pick(f"<nav><ul>{links(5)}</ul></nav>", f"<nav>{link(words(1))} | {link(words(1))}</nav>", f'<ul class="menu">{links(5)}</ul>', f'<div id="nav"><ul>{links(4)}</ul></div>')
     top = pick("", "", f"<header>{maybe(0.5, '<h1>' + words(2) + '</h1>')}<p>{sentence()}</p></header>", f"<header>{nav}</header>", f'<div class="header">{words(3)}</div>')
     before = [x for x, chance in ((advert, 0.4), (notice, 0.2), (side, 0.2), (form, 0.15)) if rng.random() < chance]
-    after = [x for x, chance in ((talk, 0.35), (side, 0.3), (advert, 0.25), (form, 0.2), (notice, 0.15)) if rng.random() < chance]
+    after = [x for x, chance in ((talk, 0.35), (teaser, 0.08), (side, 0.3), (advert, 0.25), (form, 0.2), (notice, 0.15)) if rng.random() < chance]
     foot = pick(
         f"<footer>&copy; {words(1)} &middot; {sentence()}</footer>", f"<footer><p>{prose()}</p><ul>{links(3)}</ul></footer>",
         f'<div class="footer">{sentence()}</div>', f"<footer>{prose()}</footer>", "",
@@ -491,7 +580,7 @@ def labelled_page(rng: np.random.Generator) -> str:
 
 
 @lru_cache(maxsize=4)
-def trained_field(pages: int = 500, seed: int = 11) -> Field:
+def trained_field(pages: int = 700, seed: int = 11) -> Field:
     """The field, trained on the given number of labelled pages."""
     rng = np.random.default_rng(seed)
     return fit([labelled_page(rng) for _ in range(pages)])
@@ -509,10 +598,8 @@ class Extractor:
 
     def blocks(self, page: str) -> list[tuple[Leaf, bool]]:
         leaves = self.parser.leaves(page)
-        last = len(leaves) - 1
-        scores = [
-            self._path(b.path) + sum(self.emit[k] for k in text_features(b, t == 0, t == last)) for t, b in enumerate(leaves)
-        ]
+        own = page_features(self.parser.sets, leaves)
+        scores = [self._path(b.path) + sum(map(self.emit.__getitem__, f)) for b, f in zip(leaves, own, strict=True)]
         return list(zip(leaves, self.field.decode(scores), strict=True))
 
     def text(self, page: str | None) -> str:

@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -34,6 +36,50 @@ def test_page_with_all_kinds_of_boilerplate(extractor):
     assert extractor.text(page) == "A & B\n\nFirst paragraph, with bold words é.\n\nSecond one is here, and it is not closed.\n\nThird <ends>."
 
 
+PARAGRAPH = "This is a fairly long paragraph of an article, with enough words in it to be read."
+P = f"<p>{PARAGRAPH}</p>"
+NAV, FOOT = '<nav><ul><li><a href="/">Home</a></li><li><a href="/a">About</a></li></ul></nav>', "<footer>&copy; someone</footer>"
+
+
+@pytest.mark.parametrize(
+    "page,count",
+    [
+        (f'<html><body class="has-ads">{NAV}<article>{P * 3}</article>{FOOT}</body></html>', 3),
+        (f'<html class="no-js"><body class="single with-sidebar">{NAV}<article>{P * 5}</article>{FOOT}</body></html>', 5),
+        (f'<html><body><div class="site-main has-sidebar"><article class="post tag-news">{P * 4}</article></div></body></html>', 4),
+        (f"<article>{P}</article>", 1), (f"<article>{P * 2}</article>", 2), (f"<body>{P * 3}</body>", 3), (PARAGRAPH, 1), (P, 1),
+        (f'<article>{P}<p aria-hidden="true">{PARAGRAPH}</p></article>', 2),
+        (f'<body><div class="layout-sidebar-right">{NAV}<div class="entry-content">{P * 3}</div><div class="sidebar"><h3>More</h3>{P}</div></div>{FOOT}</body>', 3),
+        (f'<body>{NAV}<div class="post">{P * 2}</div><div class="comments"><article class="comment">{P}</article></div>{FOOT}</body>', 2),
+        (f"<body>{NAV}<div>{NAV}</div>{FOOT}</body>", 0),
+    ],
+)
+def test_ordinary_layouts(extractor, page, count):
+    assert extractor.text(page) == "\n\n".join([PARAGRAPH] * count)
+
+
+def test_page_of_two_words(extractor):
+    assert extractor.text("<body><p>Hi there.</p></body>") == "Hi there."
+
+
+@pytest.mark.parametrize(
+    "name,kind",
+    [
+        ("has-sidebar", None), ("tag-news", None), ("page-with-sidebar", "content"), ("entry-content", "content"), ("cookieNotice", "notice"),
+        ("article-comments", "talk"), ("site-header", "top"), ("heading", None), ("", None),
+    ],
+)
+def test_classes_are_judged_as_a_whole(name, kind):
+    assert H.class_kind(name) == kind
+
+
+@pytest.mark.parametrize("opened,closed", [("<b>", "</p>"), ("<b>", "</section>"), ("<svg><p>", "</svg>"), ("<li>", "<li>"), ("<b><div>", "</b>"), ("<td><p>", "</tr>")])
+def test_time_grows_with_the_page_only(extractor, opened, closed):
+    began = time.perf_counter()
+    extractor.text(opened * 50_000 + closed * 50_000)
+    assert time.perf_counter() - began < 15
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.text(alphabet="<>/ap \"'=!-&;divscrt\n", max_size=200))
 def test_any_markup_is_parsed(page):
