@@ -82,6 +82,40 @@ def test_scores_of_documents(spark, order):
     assert key(one) == key(out)
 
 
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_scores_are_those_of_plain_interpolation(spark, monkeypatch, order):
+    rng = np.random.default_rng(8)
+    weights = rng.dirichlet(np.ones(order + 1), L.Weights.buckets(order))
+    monkeypatch.setattr(L, "learn_weights", lambda *a: weights)
+    data = [(i, " ".join(f"w{j}" for j in rng.integers(0, 12, int(rng.integers(0, 25))))) for i in range(60)]
+    data += [(60, data[0][1]), (None, "w1 w2 w3"), (None, "w3 w2"), (61, None)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    grams, contexts = [Counter() for _ in range(order)], [Counter() for _ in range(order)]
+    padded = lambda text: ["<s>"] * (order - 1) + tokens(text)
+    for i, text in data:
+        if zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2:
+            continue
+        s = padded(text)
+        for at in range(order - 1, len(s)):
+            for k in range(order):
+                grams[k][tuple(s[at - k : at + 1])] += 1
+                contexts[k][tuple(s[at - k : at])] += 1
+    wanted = []
+    for i, text in data:
+        s, total = padded(text), 0.0
+        for at in range(order - 1, len(s)):
+            est, bucket = [1 / (len(grams[0]) + 1)], 0
+            for k in range(order):
+                seen = contexts[k][tuple(s[at - k : at])]
+                est.append(grams[k][tuple(s[at - k : at + 1])] / seen if seen else 0.0)
+                if k and seen:
+                    bucket = min(seen.bit_length() - 1, 31) + (k - 1) * 32 + 1
+            total += math.log10(float(weights[bucket] @ est[::-1]))
+        wanted.append((str(i), round(total, 7)))
+    got = [(str(r["doc_id"]), round(r["score"], 7)) for r in L.score_documents(df, order=order, block_bytes=300, shard_bytes=500).collect()]
+    assert sorted(got) == sorted(wanted)
+
+
 def test_no_training_text_and_empty(spark):
     held = [i for i in range(60) if zlib.crc32(str(i).encode()) % 7 == 2]
     out = L.score_documents(spark.createDataFrame([(i, "a b") for i in held], "doc_id long, text string")).collect()
