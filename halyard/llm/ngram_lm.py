@@ -71,11 +71,16 @@ def unpack(data: bytes) -> np.ndarray:
 
 
 def shrink(counts: np.ndarray) -> bytes:
-    return zlib.compress(counts.astype("<u4").tobytes(), 1)
+    """Counts in a byte each, those of 255 and more behind them in full, compressed."""
+    most = counts[counts >= 255].astype("<u4").tobytes()
+    return len(counts).to_bytes(4, "little") + zlib.compress(np.minimum(counts, 255).astype(np.uint8).tobytes() + most, 5)
 
 
 def grow(data: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(data), "<u4")
+    n, plain = int.from_bytes(data[:4], "little"), zlib.decompress(data[4:])
+    out = np.frombuffer(plain, np.uint8, count=n).astype(np.uint32)
+    out[out == 255] = np.frombuffer(plain, "<u4", offset=n)
+    return out
 
 
 def gram_bits(size: int) -> int:

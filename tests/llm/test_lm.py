@@ -21,6 +21,11 @@ def test_packed_keys():
             assert (L.unpack(L.pack(keys)) == keys).all()
 
 
+def test_packed_counts():
+    for counts in ([], [0, 1, 254, 255, 256, 2**32 - 1, 3], [255]):
+        assert L.grow(L.shrink(np.array(counts, np.uint32))).tolist() == counts
+
+
 @pytest.mark.parametrize("order", [1, 2, 3])
 def test_estimates_are_those_of_plain_counts(order):
     texts = ["a b a b c", "a b c a", "", "c c c c"]
