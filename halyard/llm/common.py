@@ -19,8 +19,8 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is read from ``spark.checkpoint.dir``; only where that is unset, as in
-    local tests, a temporary folder of this machine is used.
+    It is read from ``spark.checkpoint.dir``; only where that is unset and
+    Spark runs on this machine alone, as in tests, a temporary folder is used.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
@@ -28,6 +28,8 @@ def shared_folder(spark: SparkSession) -> str:
     if not named and current.isDefined():
         named = current.get()
     if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="shared-")
     if current.isEmpty():
         sc.setCheckpointDir(named)

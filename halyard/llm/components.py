@@ -26,9 +26,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     state = _state(e)
     while state[0]:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.filter("a <> b").distinct()
+        # only neighbours above a node move to its smallest one, and only if that is another than the node
+        low = both.groupBy("a").agg(F.min("b").alias("m")).filter("m < a").select(F.col("a").alias("b"), "m")
+        large = e.join(low, "b", "left").select("a", F.coalesce("m", "b").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
         e = checkpointed(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct())

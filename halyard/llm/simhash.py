@@ -14,11 +14,10 @@ Words are what lies between ASCII white space, after lower-casing A-Z.
 Defined results
     null, empty or blank text: fingerprint zero, linked like any other; fewer
     words than a shingle: one shingle of all; ties: a bit set in exactly half
-    is 0; repeated rows: linked; empty table: no rows; further columns: left
-    out by ``near_duplicates``, kept by ``deduplicate``. Rows without doc_id
-    are fingerprinted and linked but never named as a component unless the
-    component has no other row. Rows that share a doc_id: ``deduplicate`` drops
-    them only where linked by text.
+    is 0; very long texts: hashed in chunks; repeated rows and rows that share
+    a doc_id: fingerprinted and linked each; rows without doc_id: likewise, they
+    link others but name no component, and one that holds no other row has a
+    null component; empty table: no rows; further columns: left out.
 """
 
 from __future__ import annotations
@@ -39,7 +38,7 @@ SEED = 42
 #: Shingles hashed at a time, so that a very long text needs no more memory.
 CHUNK = 65_536
 #: A bucket of more fingerprints is compared as pairs of parts of about half this size.
-BUCKET = 4096
+BUCKET = 16_384
 #: A table of at most this many large buckets is broadcast; a longer one is joined by shuffle.
 BROADCAST_BUCKETS = 200_000
 ONES = np.uint64(0x0101010101010101)
@@ -286,50 +285,34 @@ def link_signatures(
     return rows.mapInArrow(_compare(words, radius, total), "a long, b long").distinct()
 
 
-def near_duplicates(
-    docs: DataFrame, k: int = 4, words: int = 1, index_words: int = 1, blocks: int = 6, agree: int = 2,
-    radius: int = 4, total: int | None = None,
-) -> DataFrame:
-    """doc_id, f0, ..., component_id, class_size: one row per document.
+def key_shape(n: int, radius: int) -> tuple[int, int]:
+    """Blocks of a fingerprint and how many of them a key joins, for n fingerprints.
 
-    component_id is the smallest doc_id reachable over links, class_size the
-    number of documents with the same fingerprint.
+    A pair within the radius differs in at most so many blocks, so the others
+    agree whatever the shape; longer keys keep buckets small in a larger corpus.
     """
-    names = [f"f{w}" for w in range(words)]
-    prints = checkpointed(fingerprints(docs, k, words))
-    sigs = checkpointed(
-        prints.groupBy(*names).agg(F.min("doc_id").alias("node"), F.count("*").alias("class_size"))
-    )
-    edges = link_signatures(
-        sigs.filter("node is not null").select("node", *names), words, index_words, blocks, agree, radius, total
-    )
-    found = connected_components(edges)
-    named = sigs.join(found, "node", "left").select(
-        *names, "class_size", F.coalesce("component", "node").alias("component_id")
-    )
-    return prints.join(named, names, "left").select("doc_id", *names, "component_id", "class_size")
+    for agree in (1, 2, 3, 4):
+        if 64 * agree // (radius + agree) >= n.bit_length() - 4:
+            return radius + agree, agree
+    return radius + 4, 4
 
 
-def deduplicate(docs: DataFrame, k: int = 4, words: int = 1, **how) -> DataFrame:
-    """docs with one row of each near-duplicate group: that with the smallest doc_id.
+def near_duplicates(docs: DataFrame, k: int = 4, radius: int = 4) -> DataFrame:
+    """doc_id, f0, component_id, class_size: one row per document.
 
-    Rows without doc_id can't be named and stay.
+    component_id is the smallest doc_id reachable over links of at most radius
+    bits, class_size the number of documents with the same fingerprint.
     """
-    names = [f"f{w}" for w in range(words)]
-    version = F.xxhash64("text")
-    prints = fingerprints(docs.select(version.alias("doc_id"), "text"), k, words).distinct()
-    ids = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), version.alias("version"))
-    rows = ids.join(prints.withColumnRenamed("doc_id", "version"), "version")
-    # A doc_id may have several texts, so a class goes by its fingerprint.
-    classes = checkpointed(
-        rows.groupBy(*names).agg(F.min(F.struct("doc_id", "version")).alias("kept")).withColumn("node", F.xxhash64(*names))
-    )
-    found = connected_components(link_signatures(classes.select("node", *names), words, **how))
-    keep = classes.join(found, "node", "left").groupBy(F.coalesce("component", "node").alias("c")).agg(F.min("kept").alias("kept"))
-    keep = keep.select(F.col("kept.doc_id").alias("_kept_id"), F.col("kept.version").alias("_version"))
-    marked = docs.withColumn("_kept_id", F.col("doc_id").cast("long")).withColumn("_version", version)
-    kept = marked.join(keep, ["_kept_id", "_version"], "left_semi").dropDuplicates(["_kept_id", "_version"])
-    return kept.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    prints = checkpointed(fingerprints(docs, k))
+    # a fingerprint is its own node, whether or not a document that has it has an id
+    sigs = checkpointed(prints.groupBy("f0").agg(F.min("doc_id").alias("least"), F.count("*").alias("class_size")))
+    blocks, agree = key_shape(sigs.count(), radius)
+    edges = link_signatures(sigs.select(F.col("f0").alias("node"), "f0"), blocks=blocks, agree=agree, radius=radius)
+    found = connected_components(edges).withColumnRenamed("node", "f0")
+    groups = sigs.join(found, "f0", "left").withColumn("component", F.coalesce("component", "f0"))
+    least = groups.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = groups.join(least, "component").select("f0", "class_size", "component_id")
+    return prints.join(named, "f0", "left").select("doc_id", "f0", "component_id", "class_size")
 
 
 def hex_of(words: list[Column]) -> Column:

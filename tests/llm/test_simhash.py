@@ -98,22 +98,36 @@ def test_documents_with_nulls_repeats_and_clashing_columns(spark):
     wanted = brute_components(prints, 4)
     assert {r["doc_id"]: r["component_id"] for r in found if r["doc_id"] is not None} == wanted
     assert {r["doc_id"]: r["f0"] % 2**64 for r in found if r["doc_id"] is not None} == prints
-    kept = simhash.deduplicate(docs)
-    assert kept.columns == docs.columns
-    ids = [r["doc_id"] for r in kept.collect()]
-    assert sorted(i for i in ids if i is not None) == sorted(set(wanted.values())) and ids.count(None) == 1
 
 
-def test_distinct_texts_of_one_doc_id_stay(spark):
-    first, second, third = (" ".join(f"{w}{i}" for i in range(40)) for w in ("a", "b", "c"))
-    docs = spark.createDataFrame([(7, first), (7, second), (7, second), (3, second), (9, third), (7, third)], "doc_id long, text string")
-    kept = [(r["doc_id"], r["text"]) for r in simhash.deduplicate(docs).collect()]
-    assert sorted(kept) == [(3, second), (7, first), (7, third)]
+def test_rows_without_or_with_repeated_ids_link_others(spark):
+    rng = np.random.default_rng(11)
+    base = [f"w{i}" for i in rng.integers(0, 500, 300)]
+    prints, texts = {}, [" ".join(base)]
+    for _ in range(400):  # texts a, m, b: m near both, a and b apart
+        words = list(base)
+        for at in rng.integers(0, 300, int(rng.integers(1, 12))):
+            words[at] = "other%d" % rng.integers(9)
+        texts.append(" ".join(words))
+    prints = [brute_print(t) for t in texts]
+    near = lambda i, j: (prints[i] ^ prints[j]).bit_count() <= 4
+    a, m, b = next((i, j, k) for i in range(400) for j in range(400) if i != j and near(i, j) for k in range(i) if near(j, k) and not near(i, k))
+    for middle in (None, 5, 9):
+        rows = [(5, texts[a]), (middle, texts[m]), (9, texts[b]), (5, "a text of quite another kind, alone")]
+        found = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        of = {(r["doc_id"], r["f0"] % 2**64): r["component_id"] for r in found}
+        assert of == {(5, prints[a]): 5, (middle, prints[m]): 5, (9, prints[b]): 5, (5, brute_print(rows[3][1])): 5}
+
+
+@pytest.mark.parametrize("n", [0, 10, 10**6, 10**9, 10**13])
+def test_key_shapes_meet_every_pair(n):
+    blocks, agree = simhash.key_shape(n, 4)
+    assert blocks - agree == 4 and 64 * agree // blocks >= min(32, n.bit_length() - 4)
 
 
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
-    assert simhash.near_duplicates(docs).collect() == [] and simhash.deduplicate(docs).collect() == []
+    assert simhash.near_duplicates(docs).collect() == []
 
 
 def test_components(spark):
@@ -136,5 +150,7 @@ def test_near_copies_of_longer_signatures(spark):
         rows.append((3 * d + 1, " ".join(text)))
         rows.append((3 * d + 2, " ".join(rng.choice(words, 400))))
         groups |= {3 * d: 3 * d, 3 * d + 1: 3 * d, 3 * d + 2: 3 * d + 2}
-    found = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), **NEAR)
-    assert {r["doc_id"]: r["component_id"] for r in found.collect()} == groups
+    how = dict(NEAR)
+    prints = simhash.fingerprints(spark.createDataFrame(rows, "doc_id long, text string"), how.pop("k"), how["words"])
+    found = {r["node"]: r["component"] for r in connected_components(simhash.link_signatures(prints.withColumnRenamed("doc_id", "node"), **how)).collect()}
+    assert {i: found.get(i, i) for i in groups} == groups
