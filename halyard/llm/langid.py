@@ -10,7 +10,9 @@ Defined results
     null text or one without a letter: ``und`` with score 0; null lang: not
     learned from, but predicted; no labelled row: everything ``und``; one
     label: that one with score 1; ties: the first label in text order;
-    repeated rows: predicted each; null doc_id: held_out as for empty text;
+    repeated rows: predicted each, learned from once; rows that share a doc_id:
+    like any others; very long texts: read whole, in segments; null doc_id:
+    held_out as for empty text;
     empty table: no rows; further columns: left out by ``predict``, kept by
     ``keep_identified``.
 """
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import crc_mod
 
 UNKNOWN = "und"
-#: Labelled documents of each language that are learned from, windows taken from each and their characters.
+#: Labelled rows of each language that are learned from, windows taken from each and their characters.
 SAMPLE_DOCS, SAMPLE_WINDOWS, WINDOW = 400, 4, 96
 #: Bytes of a segment and segments read side by side.
 SEGMENT, LANES = 128, 2048
@@ -214,27 +216,31 @@ def document_probabilities(model: Model, texts: list[bytes]) -> np.ndarray:
 def sample_windows(
     labelled: DataFrame, docs_per_label: int = SAMPLE_DOCS, windows: int = SAMPLE_WINDOWS, width: int = WINDOW
 ) -> list[tuple[str, bytes]]:
-    """Windows of at most docs_per_label texts of each lang, chosen by a hash of doc_id."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = (
-        labelled.filter("lang is not null and text is not null and doc_id is not null").select("lang", "doc_id")
-        .withColumn("k", F.row_number().over(order)).filter(F.col("k") <= docs_per_label)
-        .select("doc_id").distinct().collect()
-    )
-    if not ids:
+    """Windows of at most docs_per_label distinct rows of each lang, those with the smallest hashes of doc_id and text.
+
+    A share by hash, three times as many as wanted, is cut out before rows are
+    ranked, so that what meets of a language is bounded too.
+    """
+    rows = labelled.filter("lang is not null and text is not null")
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).collect()
+    if not counts:
         return []
-    chosen = labelled.sparkSession.createDataFrame([(r[0],) for r in ids], "doc_id long")
+    pairs = [F.lit(x) for r in counts for x in (r["lang"], min(1.0, 3.0 * docs_per_label / r["n"]))]
     room = F.greatest(F.char_length("text") - width, F.lit(0)) + 1
     cuts = [
-        F.substring(F.col("text"), (F.pmod(F.xxhash64("doc_id", F.lit(j)), room) + 1).cast("int"), F.lit(width))
+        F.substring(F.col("text"), (F.pmod(F.xxhash64("h", F.lit(j)), room) + 1).cast("int"), F.lit(width))
         for j in range(windows)
     ]
-    rows = (
-        labelled.filter("lang is not null and text is not null").join(F.broadcast(chosen), "doc_id", "left_semi")
-        .select("lang", "doc_id", F.array(*cuts).alias("w")).distinct().collect()
+    share = F.pmod(F.col("h"), F.lit(1_000_000)) / 1_000_000
+    few = (
+        rows.select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
+        .filter(share < F.element_at(F.create_map(*pairs), F.col("lang"))).select("lang", "h", F.array(*cuts).alias("w"))
+        .groupBy("lang", "h").agg(F.first("w").alias("w"))
     )
-    rows.sort(key=lambda r: (r["lang"], r["doc_id"]))
-    return [(r["lang"], w.encode()) for r in rows for w in r["w"]]
+    order = Window.partitionBy("lang").orderBy("h")
+    taken = few.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= docs_per_label).collect()
+    taken.sort(key=lambda r: (r["lang"], r["k"]))
+    return [(r["lang"], w.encode()) for r in taken for w in r["w"]]
 
 
 def _labeller(windows: list[tuple[str, bytes]], **how):

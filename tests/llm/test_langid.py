@@ -71,3 +71,13 @@ def test_no_labels_one_label_and_empty(spark):
     one = langid.predict(spark.createDataFrame([(1, "abc", "en"), (2, "12", "en"), (3, "x", "en")], schema)).collect()
     assert [r["lang_pred"] for r in sorted(one, key=lambda r: r["doc_id"])] == ["en", "und", "en"]
     assert langid.predict(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_sample_is_bounded(spark):
+    many = spark.range(4000).selectExpr("7L as doc_id", "concat('text ', id) as text", "if(id % 4 = 0, 'a', 'b') as lang", "'c' as w", "1 as h")
+    same = spark.range(3000).selectExpr("9L as doc_id", "'all the same' as text", "'a' as lang", "'c' as w", "1 as h")
+    taken = langid.sample_windows(many.unionByName(same), docs_per_label=50)
+    counts = {k: sum(lang == k for lang, _ in taken) for k in ("a", "b")}
+    assert 0 < counts["a"] <= 200 and counts["b"] == 200
+    assert sum(w == b"all the same" for _, w in taken) in (0, 4)
+    assert taken == langid.sample_windows(many.unionByName(same), docs_per_label=50)
