@@ -21,9 +21,11 @@ the executors as sorted arrays; a larger benchmark takes more passes.
 Defined results
     null or empty text: no windows; items shorter than a window: matched whole
     if they have three words or placeholders or more, else never; repeated rows:
-    reported once a doc_id and item; null doc_id: never reported, and kept by
-    ``drop_contaminated``; empty tables: no rows; further columns: left out by
-    ``find_contaminated``, kept by ``drop_contaminated``.
+    reported once a doc_id and item_id, by the best match; null item_id: one of
+    its own; null doc_id: never reported, and kept by ``drop_contaminated``;
+    ties: the match that begins first; very long texts: whole; empty tables: no
+    rows; further columns: left out by ``find_contaminated``, kept by
+    ``drop_contaminated``.
 """
 
 from __future__ import annotations
@@ -293,7 +295,8 @@ def _indexes(benchmark: DataFrame, window: int):
     parts = _parts(bench)
     for part in range(parts):
         of_part = F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part
-        yield Index(sorted((r[0] if r[0] is not None else -1, r[1] or "") for r in bench.filter(of_part).collect()), window)
+        items = [(r[0], r[1] or "") for r in bench.filter(of_part).collect()]
+        yield Index(sorted(items, key=lambda r: (r[0] is None, r[0] or 0, r[1])), window)
 
 
 def find_contaminated(

@@ -89,3 +89,10 @@ def test_items_of_numbers_match_as_they_are(spark):
         (4, FILL + items[1][1] + ".", "x"), (5, FILL + "12 7 9 4 8 6 1", "x"), (6, FILL + items[2][1], "x"), (7, "two 16 three", "x"),
     ]
     assert found(spark, docs, items) == {(1, 1), (4, 2), (6, 3)}
+
+
+def test_null_and_repeated_item_ids(spark):
+    first, second, third = (f"the quick {w} fox jumps over the lazy {w} dog near the {w} river bank" for w in ("brown", "green", "yellow"))
+    items = [(None, first), (-1, second), (5, "an item of one id with another text that no document holds"), (5, third), (5, third)]
+    docs = [(1, FILL + first, "x"), (2, FILL + second, "x"), (3, third, "x")]
+    assert found(spark, docs, items) == {(1, None), (2, -1), (3, 5)}
