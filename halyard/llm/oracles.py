@@ -58,7 +58,7 @@ FROM s GROUP BY conv_id"""
 
 WARC = """WITH p AS (SELECT page_id, sha1(coalesce(html, '')) AS payload_digest, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes FROM pages),
 o AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS first FROM p)
-SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN payload_bytes >= 1000 AND page_id <> first THEN first END AS refers_to FROM o"""
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND first IS NOT NULL AND page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM first THEN first END AS refers_to FROM o"""
 
 ORACLE_SQL = {"op6_url_filters": URL_FILTERS, "op7_chat_formatting": CHAT_FORMATTING, "op10_warc": WARC}

@@ -2,14 +2,19 @@
 
 Headers are shuffled by payload digest; of records with equal payloads of at
 least ``min_bytes`` bytes that with the largest page_id is written as a
-response and the others as revisit records that refer to it. Archives are
-written by Spark's text writer, gzip-compressed, in the shared folder, and read
-back record by record.
+response and the others as revisit records that refer to it. Payloads meet
+their originals by a broadcast of the repeated digests where these take at most
+``BROADCAST_BYTES``, else by a shuffle on page_id and digest, so that a payload
+which a third of all pages hold is no hot key. Archives are written by Spark's
+text writer as gzip files of about ``file_bytes`` payload, in the shared folder,
+and read back record by record.
 
 Defined results
     null html: an empty payload; null url: no target header; null page_id:
-    never an original, read back as null; repeated rows: each written, those
-    with the original's page_id as responses; empty table: no archive, no rows;
+    never an original, but a revisit like others, read back as null; repeated
+    rows: each written under the same record id, those with the original's
+    page_id as responses; ties: none, equal page_ids are one original; very
+    long payloads: written and read whole; empty table: no archive, no rows;
     further columns: left out. Line breaks and blanks in urls are
     percent-encoded.
 """
@@ -24,7 +29,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import checkpointed
+
 NL = "\r\n"
+#: Repeated digests of at most this size are broadcast.
+BROADCAST_BYTES = 64_000_000
 SCHEMA = "page_id long, record_type string, refers_to long, header_digest string, payload_bytes long, payload_digest string"
 
 
@@ -35,17 +44,22 @@ def plan_records(pages: DataFrame, min_bytes: int = 1000) -> DataFrame:
         "page_id", "url", "payload", F.octet_length("payload").cast("long").alias("size"),
         F.sha1(F.col("payload").cast("binary")).alias("digest"),
     )
-    heads = body.select("page_id", "url", "size", "digest").filter(
-        (F.col("size") >= min_bytes) & F.col("page_id").isNotNull()
-    )
+    heads = body.select("page_id", "url", "size", "digest").filter(F.col("size") >= min_bytes)
     first = heads.groupBy("digest", "size").agg(
         F.max(F.struct("page_id", "url")).alias("original"), F.count("*").alias("n")
     )
-    first = first.filter("n > 1").select(
+    first = checkpointed(first.filter("n > 1 and original.page_id is not null").select(
         "digest", "size", F.col("original.page_id").alias("to_id"), F.col("original.url").alias("to_url")
-    )
-    out = body.join(first, ["digest", "size"], "left")
-    repeated = F.col("to_id").isNotNull() & F.col("page_id").isNotNull() & (F.col("page_id") != F.col("to_id"))
+    ))
+    took = first.agg(F.sum(F.lit(120) + F.coalesce(F.octet_length("to_url"), F.lit(0)))).first()[0] or 0
+    if took <= BROADCAST_BYTES:
+        out = body.join(F.broadcast(first), ["digest", "size"], "left")
+    else:
+        seen = heads.join(first, ["digest", "size"]).select(
+            F.col("page_id").alias("_id"), F.col("digest").alias("_digest"), "to_id", "to_url"
+        ).distinct()
+        out = body.join(seen, F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), "left")
+    repeated = F.col("to_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("to_id"))
     return out.select(
         "page_id", "url", "payload", "size", "digest",
         F.when(repeated, F.col("to_id")).alias("to_id"), F.when(repeated, F.col("to_url")).alias("to_url"),
@@ -61,7 +75,8 @@ def _uri(url: Column) -> Column:
 def record_text(date: str) -> Column:
     """A record without the two line breaks that end it."""
     line = lambda name, value: F.coalesce(F.concat(F.lit(name + ": "), value, F.lit(NL)), F.lit(""))
-    urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit(">"))
+    urn = lambda c: F.concat(F.lit("<urn:page:"), F.col(c).cast("string"), F.lit(">"))
+    nameless = F.concat(F.lit("<urn:sha1:"), F.col("digest"), F.lit(">"))
     revisit = F.col("to_id").isNotNull()
     http = F.concat(
         F.lit("HTTP/1.1 200 OK" + NL + "Content-Type: text/html; charset=utf-8" + NL + "Content-Length: "),
@@ -70,7 +85,7 @@ def record_text(date: str) -> Column:
     return F.concat(
         F.lit("WARC/1.1" + NL),
         line("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
-        line("WARC-Record-ID", urn("page_id")),
+        line("WARC-Record-ID", F.coalesce(urn("page_id"), nameless)),
         line("WARC-Date", F.lit(date)),
         line("WARC-Target-URI", _uri(F.col("url"))),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
@@ -90,9 +105,11 @@ def record_text(date: str) -> Column:
 
 
 def write_archives(
-    records: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", records_per_file: int = 20_000
+    records: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", file_bytes: int = 256_000_000
 ) -> None:
-    """Write planned records as .warc.gz content under path."""
+    """Write planned records as gzip-compressed WARC files under path, of so many records as hold about file_bytes on average."""
+    sizes = records.agg(F.avg(F.col("size") + 600)).first()[0] or 600
+    records_per_file = max(1, int(file_bytes / sizes))
     (
         records.select(record_text(date).alias("value"))
         .write.option("lineSep", NL + NL).option("compression", "gzip")
@@ -138,8 +155,8 @@ def _records(blob: bytes) -> Iterator[tuple[dict[bytes, bytes], memoryview]]:
 
 
 def _id(head: dict[bytes, bytes], name: bytes) -> int | None:
-    value = head.get(name, b"").removeprefix(b"<urn:page:").removesuffix(b">")
-    return int(value) if value else None
+    value = head.get(name, b"")
+    return int(value[10:-1]) if value.startswith(b"<urn:page:") else None
 
 
 def _read(batches):
