@@ -10,15 +10,18 @@ vectors in double precision. Where fewer than wanted lie within the radius it
 grows until enough do.
 
 Every vector is indexed. Base and queries meet block by block, queries being a
-stated set. Equal vectors are searched once: of each only the smallest ids can
+stated set. Vectors of different dimensions have no inner product, so each
+dimension is searched on its own. Equal vectors are searched once: of each only the smallest ids can
 be among a query's nearest. Vectors of unequal norm are mapped to unit norm
 with one further dimension, which keeps the order of inner products.
 
 Defined results
-    null, zero or non-finite vectors, those of another than the most frequent
-    dimension and rows without vec_id: take no part; a repeated vec_id: its
-    smallest vector counts; ties: the smaller vec_id; fewer candidates than
-    wanted: all of them; empty table: no rows; further columns: left out.
+    null, zero or non-finite vectors and rows without vec_id: take no part;
+    vectors of several dimensions: each among those of its own; a repeated
+    vec_id: its smallest vector counts; ties: the smaller vec_id; fewer
+    candidates than wanted: all of them; very long vectors: like any others, 64
+    principal components are coded; empty table: no rows; further columns: left
+    out.
 """
 
 from __future__ import annotations
@@ -192,9 +195,6 @@ def valid_vectors(table: DataFrame) -> DataFrame:
     rows = table.filter(
         F.col("vec_id").isNotNull() & x.isNotNull() & (F.size(x) > 0) & fine & F.exists(x, lambda v: v != 0)
     ).select(F.col("vec_id").cast("long").alias("vec_id"), x.cast("array<double>").alias("embedding"))
-    usual = rows.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
-    if usual is not None:
-        rows = rows.filter(F.size("embedding") == usual["d"])
     rows = rows.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     return rows.select("vec_id", "embedding", F.xxhash64("embedding").alias("k1"), F.xxhash64(F.lit(1), "embedding").alias("k2"))
 
@@ -204,8 +204,20 @@ def nearest(
     block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the wanted nearest found of each query row, without itself."""
-    spark = table.sparkSession
     rows = checkpointed(valid_vectors(table))
+    dims = [r[0] for r in rows.select(F.size("embedding").alias("d")).distinct().orderBy("d").collect()]
+    found = table.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for d in dims:
+        of = rows if len(dims) == 1 else rows.filter(F.size("embedding") == d)
+        one = _nearest(of, is_query, wanted, bits, sample, block_rows, query_rows)
+        found = one if len(dims) == 1 else found.unionByName(one)
+    return found
+
+
+def _nearest(
+    rows: DataFrame, is_query: Column, wanted: int, bits: int, sample: int, block_rows: int, query_rows: int
+) -> DataFrame:
+    """The nearest among valid vectors of one dimension, of which there is one at least."""
     few = Window.partitionBy("k1", "k2").orderBy("vec_id")
     base = (
         rows.withColumn("n", F.row_number().over(few)).filter(F.col("n") <= wanted + 1)
@@ -214,8 +226,6 @@ def nearest(
     base = checkpointed(base)
     asked = rows.filter(is_query).groupBy("k1", "k2").agg(F.first("embedding").alias("embedding"))
     total = base.count()
-    if not total:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v * v))
     longest = base.agg(F.max(norm)).first()[0] * (1 + 1e-12)
     taken = base.select("k1", "k2", "embedding").orderBy("k1", "k2").limit(sample).collect()

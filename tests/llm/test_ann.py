@@ -56,3 +56,10 @@ def test_rows_that_take_no_part(spark):
     out = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in ann.nearest(df, F.col("vec_id") % 20 == 0).collect()]
     assert sorted(out) == [(0, 1, 20, 1.0), (0, 2, 7, 0.5), (0, 3, 8, 0.0), (20, 1, 0, 1.0), (20, 2, 7, 0.5), (20, 3, 8, 0.0)]
     assert ann.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_each_dimension_is_searched_on_its_own(spark):
+    rows = [(i, [float(i + 1), 1.0, 0.5]) for i in range(8)] + [(20, [1.0, 2.0]), (21, [2.0, 1.0]), (22, [0.0, 1.0]), (40, [3.0])]
+    out = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0).collect()
+    of = lambda q: [r["vec_id"] for r in sorted(out, key=lambda r: r["rank"]) if r["query_id"] == q]
+    assert of(0) == [7, 6, 5, 4, 3, 2, 1] and of(20) == [21, 22] and of(40) == []
