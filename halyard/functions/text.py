@@ -43,9 +43,18 @@ PLACEHOLDERS = (
 )
 #: Media types by file extension.
 CONTENT_TYPES = {
-    "opus": "audio/ogg; codecs=opus", "ogg": "audio/ogg", "mp3": "audio/mpeg", "m4a": "audio/mp4", "wav": "audio/wav",
-    "jpg": "image/jpeg", "jpeg": "image/jpeg", "png": "image/png", "webp": "image/webp", "json": "application/json",
+    "opus": "audio/ogg; codecs=opus", "m4a": "audio/mp4", "webp": "image/webp", "jpg": "image/jpeg", "jpeg": "image/jpeg",
+    "png": "image/png", "avif": "image/avif", "json": "application/json; charset=utf-8", "md": "text/markdown; charset=utf-8",
+    "markdown": "text/markdown; charset=utf-8",
 }
+#: How long media and other files may be kept.
+CACHE_MEDIA, CACHE_OTHER = "public, max-age=31536000, immutable", "public, max-age=300"
+#: The numbers of a loudness report.
+LOUDNESS = (
+    "input_i", "input_tp", "input_lra", "input_thresh", "output_i", "output_tp", "output_lra", "output_thresh", "target_offset",
+)
+#: White space of all kinds, with the byte order mark, as a class of a pattern.
+BLANKS = r"[\s\u000b\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
 
 
 def let(value: Column, use) -> Column:
@@ -53,8 +62,13 @@ def let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def strip(x: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(x, f"^{BLANKS}+|{BLANKS}+$", "")
+
+
 def blank_to_null(x: Column) -> Column:
-    return F.nullif(F.trim(x), F.lit(""))
+    return F.nullif(strip(x), F.lit(""))
 
 
 # --- names ---------------------------------------------------------------------------------------
@@ -99,8 +113,8 @@ def clean_band(name: Column) -> Column:
     x = name
     for cut in BAND_CUTS:
         x = F.regexp_replace(x, cut, "")
-    x = F.trim(x)
-    first = F.trim(F.element_at(F.split(x, ","), 1))
+    x = strip(x)
+    first = strip(F.element_at(F.split(x, ","), 1))
     x = F.when(x.contains(",") & (F.instr(x, ",") > 1), first).otherwise(x)
     x = F.regexp_replace(F.regexp_replace(x, "&", " and "), r"[^a-zA-Z0-9\s-]", "")
     return F.nullif(F.trim(F.regexp_replace(x, r"\s+", " ")), F.lit(""))
@@ -140,7 +154,7 @@ def similarity_score(a: Column, b: Column) -> Column:
 
 
 def strip_slashes(x: Column) -> Column:
-    return F.trim(F.regexp_replace(F.coalesce(x, F.lit("")), r"^/+|/+$", ""))
+    return strip(F.regexp_replace(F.coalesce(x, F.lit("")), r"^/+|/+$", ""))
 
 
 def strip_trailing_slash(x: Column) -> Column:
@@ -223,10 +237,68 @@ def accessible(status: Column) -> Column:
     return (status >= 200) & (status < 400)
 
 
+def extension(path: Column) -> Column:
+    """Lower-case ending of a file name without its dot; none for names that begin with their only dot."""
+    return F.lower(F.regexp_extract(path, r"[^/]\.([^./]*)$", 1))
+
+
 def content_type(path: Column) -> Column:
-    ending = F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
     pairs = [F.lit(x) for kv in CONTENT_TYPES.items() for x in kv]
-    return F.coalesce(F.element_at(F.create_map(*pairs), ending), F.lit("application/octet-stream"))
+    return F.coalesce(F.element_at(F.create_map(*pairs), extension(path)), F.lit("application/octet-stream"))
+
+
+def cache_control(path: Column) -> Column:
+    """Media are kept for a year, all else for five minutes."""
+    return F.when(content_type(path).rlike("^(audio|image)/"), CACHE_MEDIA).otherwise(CACHE_OTHER)
+
+
+def quoted_etag(tag: Column) -> Column:
+    """An entity tag in quotes; weak and quoted ones stay; an empty one is null."""
+    x = strip(tag)
+    return F.when(F.coalesce(tag, F.lit("")) != "", F.when(x.rlike('^("|W/)'), x).otherwise(F.concat(F.lit('"'), x, F.lit('"'))))
+
+
+def byte_range(header: Column, size: Column) -> Column:
+    """struct<valid, first, length> of a ``bytes=a-b`` header; null if there is none or it is of another form."""
+    form = r"(?i)^bytes=(\d*)-(\d*)$"
+    x = strip(header)
+    part = lambda n: F.nullif(F.regexp_extract(x, form, n), F.lit("")).try_cast("bigint")
+    first, last = F.coalesce(part(1), F.lit(0)), F.coalesce(part(2), size - 1)
+    fine = (first <= last) & (last < size)
+    return F.when(
+        x.rlike(form), F.struct(fine.alias("valid"), F.when(fine, first).alias("first"), F.when(fine, last - first + 1).alias("length"))
+    )
+
+
+def object_key(path: Column, prefixes: list[str]) -> Column:
+    """The key that a url path names, dots resolved; null outside the prefixes or above the root."""
+    decoded = F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+    parts = F.filter(F.split(decoded, "/"), lambda p: ~p.isin("", "."))
+    up = lambda kept: F.when(F.size(kept) > 0, F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0))))
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda acc, p: F.when(p == "..", up(acc)).otherwise(F.concat(acc, F.array(p))))
+    key = F.array_join(kept, "/")
+    begins = lambda x, tail: F.coalesce(*(F.when(x.startswith(p + tail), True) for p in prefixes), F.lit(False))
+    inside = (key.isin(*prefixes)) | begins(key, "/")
+    return F.when(F.coalesce(*(F.when(decoded.startswith("/" + p), True) for p in prefixes), F.lit(False)) & inside, key)
+
+
+def allowed_origin(origin: Column, allowed: list[str]) -> Column:
+    """The origin in normal form if it is among those allowed; ``https://*.host`` and ``https://pre*.host`` allow what a star stands for."""
+    low = F.lower(F.regexp_extract(origin, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+)", 1))
+    shown = F.regexp_replace(F.regexp_replace(low, r"^(http://.*):80$", "$1"), r"^(https://.*):443$", "$1")
+    host = F.regexp_replace(F.regexp_replace(shown, r"^[^/]*//", ""), r":\d+$", "")
+    hit = F.lit(False)
+    for a in allowed:
+        scheme, _, rest = a.strip().lower().partition("://")
+        head, star, tail = rest.partition("*")
+        tail = tail.removeprefix(".")
+        if not star:
+            hit = hit | (shown == f"{scheme}://{rest.split('/')[0]}")
+        elif scheme in ("http", "https") and tail and "*" not in tail:
+            hit = hit | (
+                shown.startswith(scheme + "://") & host.endswith(tail) & host.startswith(head) & (F.length(host) > len(head) + len(tail))
+            )
+    return F.when((shown != "") & hit, shown)
 
 
 def slug(x: Column) -> Column:
@@ -259,7 +331,7 @@ def to_fixed(x: Column, digits: int) -> Column:
 
 def unwrap_excel(x: Column) -> Column:
     """Without the ="..." that keeps spreadsheets from reading a date."""
-    x = F.trim(F.coalesce(x, F.lit("")))
+    x = strip(F.coalesce(x, F.lit("")))
     return F.when(x.rlike('^=".*"$') & (F.length(x) > 2), F.substring(x, F.lit(3), F.length(x) - 3)).otherwise(x)
 
 
@@ -272,7 +344,7 @@ def format_shutter(seconds: Column) -> Column:
 
 
 def format_camera(make: Column, model: Column) -> Column:
-    return F.array_join(F.filter(F.array(*(F.trim(F.coalesce(c, F.lit(""))) for c in (make, model))), lambda x: x != ""), " ")
+    return F.array_join(F.filter(F.array(*(strip(F.coalesce(c, F.lit(""))) for c in (make, model))), lambda x: x != ""), " ")
 
 
 def format_aperture(f_number: Column) -> Column:
@@ -296,11 +368,11 @@ def parse_iso(x: Column) -> Column:
 
 
 def parse_aperture(x: Column) -> Column:
-    return _positive(F.nullif(F.regexp_extract(F.trim(x), r"(?i)^f?/?(\d+(?:\.\d+)?)", 1), F.lit("")).cast("double"))
+    return _positive(F.nullif(F.regexp_extract(strip(x), r"(?i)^f?/?(\d+(?:\.\d+)?)", 1), F.lit("")).cast("double"))
 
 
 def parse_shutter(x: Column) -> Column:
-    x = F.trim(x)
+    x = strip(x)
     part = lambda n: F.nullif(F.regexp_extract(x, r"^(\d+)/(\d+)", n), F.lit("")).cast("double")
     plain = F.nullif(F.regexp_extract(x, r"^(\d+(?:\.\d+)?)s?$", 1), F.lit("")).cast("double")
     return _positive(F.when(x.rlike(r"^\d+/\d+"), F.try_divide(part(1), part(2))).otherwise(plain))
@@ -329,7 +401,7 @@ def target_bitrate(source: Column, most: int = 160, least: int = 96) -> Column:
 
 def ordered_distinct(values: Column) -> Column:
     """First spelling of each value, blanks dropped, case not counting."""
-    trimmed = F.filter(F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda s: F.trim(s)), lambda v: v.isNotNull() & (v != ""))
+    trimmed = F.filter(F.transform(F.coalesce(values, F.array().cast("array<string>")), strip), lambda v: v.isNotNull() & (v != ""))
     keyed = F.array_sort(F.transform(trimmed, lambda v, i: F.struct(F.lower(v).alias("k"), i.alias("i"), v.alias("v"))))
     first = let(keyed, lambda s: F.filter(s, lambda p, i: (i == 0) | (F.get(s, i - 1)["k"] != p["k"])))
     places = F.array_sort(F.transform(first, lambda p: F.struct(p["i"].alias("i"), p["v"].alias("v"))))
@@ -388,9 +460,41 @@ def _multi_map(pairs: Column) -> Column:
     return F.map_from_entries(F.transform(keys, lambda k: F.struct(k, values(k))))
 
 
+def _key_value_pairs(text: Column) -> Column:
+    """array<struct<k, v>> of the ``key=value`` lines; keys in lower case, what follows a second sign is left out."""
+    lines = F.transform(F.split(F.coalesce(text, F.lit("")), r"\r?\n"), strip)
+    cut = lambda s: F.split(s, "=")
+    pair = lambda s: F.struct(F.lower(strip(F.get(cut(s), F.lit(0)))).alias("k"), strip(F.get(cut(s), F.lit(1))).alias("v"))
+    return F.filter(F.transform(F.filter(lines, lambda s: s.contains("=")), pair), lambda p: p["k"] != "")
+
+
 def key_values(text: Column) -> Column:
-    """map of ``key=value`` lines."""
-    return F.str_to_map(F.trim(text), F.lit(r"\r?\n"), F.lit("="))
+    """map of ``key=value`` lines; of a repeated key the last line counts."""
+    return let(_key_value_pairs(text), lambda pairs: F.map_from_entries(F.transform(
+        F.array_distinct(F.transform(pairs, lambda p: p["k"])),
+        lambda k: F.struct(k, F.element_at(F.transform(F.filter(pairs, lambda p: p["k"] == k), lambda p: p["v"]), -1)),
+    )))
+
+
+def number(x: Column) -> Column:
+    """The number that a whole text is, else null; a blank one is 0."""
+    x = strip(x)
+    return F.when(x == "", 0.0).when(x.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), x.try_cast("double"))
+
+
+def format_stats(text: Column) -> Column:
+    """struct<bit_rate, size, duration>: the last positive number of each in ``key=value`` lines."""
+    def last(pairs: Column, key: str) -> Column:
+        good = F.filter(F.transform(F.filter(pairs, lambda p: p["k"] == key), lambda p: number(p["v"])), lambda v: v > 0)
+        return F.when(F.size(good) > 0, F.element_at(good, -1)).alias(key)
+
+    return let(_key_value_pairs(text), lambda pairs: F.struct(*(last(pairs, k) for k in ("bit_rate", "size", "duration"))))
+
+
+def loudness(text: Column) -> Column:
+    """struct of the numbers of the loudness report that a log holds as JSON; null where there is none."""
+    found = F.from_json(json_in_text(text), ", ".join(f"{k} string" for k in LOUDNESS))
+    return let(found, lambda s: F.when(s.isNotNull(), F.struct(*(number(s[k]).alias(k) for k in LOUDNESS))))
 
 
 def json_in_text(text: Column) -> Column:
@@ -406,11 +510,18 @@ def matches_any(text: Column, patterns: list[str]) -> Column:
 
 
 def fnv1a(name: Column) -> Column:
-    """32-bit FNV-1a of the lower-case, trimmed text."""
-    chars = F.split(F.trim(F.lower(name)), "")
-    step = lambda h, c: F.pmod(h.bitwiseXOR(F.ascii(c).cast("bigint")) * 16777619, F.lit(4294967296))
+    """32-bit FNV-1a of the UTF-16 units of the lower-case text without white space around it."""
+    return let(strip(F.lower(name)), _fnv1a)
+
+
+def _fnv1a(text: Column) -> Column:
     start = F.lit(2166136261).cast("bigint")
-    return F.when(F.trim(name) == "", start).otherwise(F.aggregate(chars, start, step))
+    step = lambda h, c: F.pmod(h.bitwiseXOR(c) * 16777619, F.lit(4294967296))
+    plain = F.aggregate(F.split(text, ""), start, lambda h, c: step(h, F.ascii(c).cast("bigint")))
+    units = F.hex(F.encode(text, "UTF-16BE"))
+    unit = lambda i: F.conv(F.substring(units, F.lit(4) * i - 3, F.lit(4)), 16, 10).cast("bigint")
+    wide = F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(units) / 4, F.lit(1)).cast("int")), start, lambda h, i: step(h, unit(i)))
+    return F.when(text == "", start).when(F.octet_length(text) == F.char_length(text), plain).otherwise(wide)
 
 
 def palette(name: Column, day_of_week: Column) -> Column:

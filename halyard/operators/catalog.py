@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashes import has_hashes, valid_hashes
-from ..functions.text import blank_to_null, build_url, join_url, normalize_band, parse_int, unwrap_excel
+from ..functions.text import blank_to_null, build_url, join_url, normalize_band, parse_int, strip, unwrap_excel
 
 
 def last_of_each(df: DataFrame, key: str | list[str], order: str = "ord") -> DataFrame:
@@ -75,7 +75,7 @@ def enabled(flag: Column) -> Column:
 def index_entries(index: DataFrame) -> DataFrame:
     """concertId, ord, hash of a recognition index, in its order."""
     rows = index.select(F.posexplode("entries").alias("entry", "e")).select("entry", "e.concertId", F.posexplode("e.phash").alias("place", "hash"))
-    return rows.withColumn("ord", F.col("entry") * 1000 + F.col("place")).select("concertId", "ord", "hash")
+    return rows.withColumn("ord", F.shiftleft(F.col("entry").cast("bigint"), 32) + F.col("place")).select("concertId", "ord", "hash")
 
 
 def index_of_catalog(index: DataFrame, concerts: DataFrame) -> DataFrame:
@@ -108,7 +108,7 @@ def normalize_catalog(concerts: DataFrame, band_key: Column | None = None) -> di
     hashes of a photo are filled from the first later row that has some. Tracks
     are numbered in the order in which they are first seen.
     """
-    band = F.trim(F.coalesce("band", F.lit("")))
+    band = strip(F.coalesce("band", F.lit("")))
     key = normalize_band(band) if band_key is None else band_key
     text_id = F.col("id").cast("string")
     rows = concerts.select(
@@ -122,7 +122,7 @@ def normalize_catalog(concerts: DataFrame, band_key: Column | None = None) -> di
     )
     rows = rows.join(artists.select("_key", "artistId"), "_key")
     image, title = blank_to_null(F.col("imageFile")), blank_to_null(F.col("songTitle"))
-    audio = F.trim(F.coalesce("audioFile", F.lit("")))
+    audio = strip(F.coalesce("audioFile", F.lit("")))
     rows = rows.select("*", image.alias("_image"), audio.alias("_audio"), title.alias("_title"))
     details = ["photoUrl", "camera", "aperture", "focalLength", "shutterSpeed", "iso"]
     filled = F.col("photoHashes").isNotNull() & (F.col("photoHashes.phash").isNotNull() | F.col("photoHashes.cropPhashes").isNotNull())
@@ -159,7 +159,7 @@ def concerts_of_rows(rows: DataFrame, base: str, prefix: str, default_file: str,
     url = lambda name: join_url(F.lit(base), F.lit(prefix), name)
     text = lambda c: F.coalesce(c, F.lit(""))
     return rows.select(
-        "id", F.trim(text(F.col("band"))).alias("band"),
+        "id", strip(text(F.col("band"))).alias("band"),
         F.coalesce(blank_to_null(F.col("songTitle")), F.nullif(used["songTitle"], F.lit(""))).alias("songTitle"),
         text(F.col("venue")).alias("venue"), text(F.col("date")).alias("date"),
         url(F.coalesce(used["fileName"], F.lit(default_file))).alias("audioFile"),

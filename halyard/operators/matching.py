@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashes import hamming_halves
@@ -11,6 +11,8 @@ from ..presets import Preset
 
 #: Index entries compared at a time; an index of at most this many is broadcast.
 BLOCK_ENTRIES = 50_000
+#: Entry numbers below this fit into one number together with a distance.
+PACKED_ORD = 1 << 48
 
 
 def best_two(frames: DataFrame, index: DataFrame, block_entries: int = BLOCK_ENTRIES, not_own: bool = False) -> DataFrame:
@@ -19,30 +21,38 @@ def best_two(frames: DataFrame, index: DataFrame, block_entries: int = BLOCK_ENT
     frames: frame_id, hi, lo; index: group_id, ord, hi, lo. The smallest
     distance wins, then the smallest ord. Frames without any entry are kept
     with nulls. Up to ``block_entries`` entries are broadcast; a larger index
-    is dealt into blocks that meet all frames by a shuffle on the block. With
-    not_own an entry whose ord is the frame's id is passed over.
+    is dealt into blocks that meet all frames by a shuffle on the block. Frames
+    are dealt out by their id first, so that all that follows a broadcast stays
+    where it is. With not_own an entry whose ord is the frame's id is passed over.
     """
+    spark = frames.sparkSession
     f = frames.select("frame_id", F.col("hi").alias("f_hi"), F.col("lo").alias("f_lo"))
-    blocks = max(1, -(-index.count() // block_entries))
+    known = index.agg(F.count("*").alias("n"), F.min("ord").alias("low"), F.max("ord").alias("high")).first()
+    packed = known["n"] and 0 <= known["low"] and known["high"] < PACKED_ORD
+    blocks = max(1, -(-known["n"] // block_entries))
     i = index.select("group_id", "ord", "hi", "lo")
     if blocks == 1:
-        pairs = f.crossJoin(F.broadcast(i))
+        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+        pairs = f.repartition(tasks, "frame_id").crossJoin(F.broadcast(i))
     else:
         i = i.withColumn("block", F.pmod(F.xxhash64("ord"), F.lit(blocks)).cast("int"))
         pairs = f.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(i, "block")
     if not_own:
         pairs = pairs.filter(F.col("ord") != F.col("frame_id"))
     distance = hamming_halves(F.col("f_hi"), F.col("f_lo"), F.col("hi"), F.col("lo"))
-    near = pairs.groupBy("frame_id", "group_id").agg(F.min(F.struct(distance.alias("d"), "ord")).alias("m"))
-    # the two smallest of a frame by aggregation, so that it is combined before the shuffle
-    both = near.groupBy("frame_id").agg(
-        F.min(F.struct("m.d", "m.ord", "group_id")).alias("best"),
-        F.array_sort(F.collect_list(F.struct("m.d", "m.ord", "group_id"))).alias("all"),
-    )
-    second = F.get("all", F.lit(1))
-    both = both.select(
-        "frame_id", F.col("best.group_id").alias("best_id"), F.col("best.ord").alias("best_ord"),
-        F.col("best.d").alias("best_distance"), second["group_id"].alias("second_id"), second["d"].alias("second_distance"),
+    if packed:  # one number is combined by hashing, a struct would be sorted
+        m = F.min(distance.cast("bigint") * PACKED_ORD + F.col("ord"))
+        d, ord_ = F.shiftright("m", 48).cast("int"), F.col("m") % PACKED_ORD
+    else:
+        m = F.min(F.struct(distance.alias("d"), "ord"))
+        d, ord_ = F.col("m.d"), F.col("m.ord")
+    near = pairs.groupBy("frame_id", "group_id").agg(m.alias("m")).select("frame_id", "group_id", d.alias("d"), ord_.alias("ord"))
+    place = F.row_number().over(Window.partitionBy("frame_id").orderBy("d", "ord", "group_id"))
+    two = near.withColumn("k", place).filter("k <= 2")
+    of = lambda k, c: F.max(F.when(F.col("k") == k, F.col(c)))
+    both = two.groupBy("frame_id").agg(
+        of(1, "group_id").alias("best_id"), of(1, "ord").alias("best_ord"), of(1, "d").alias("best_distance"),
+        of(2, "group_id").alias("second_id"), of(2, "d").alias("second_distance"),
     )
     return frames.select("frame_id").join(both, "frame_id", "left")
 

@@ -174,6 +174,47 @@ def q44(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.reuse_existing(parts, old, "p_partkey")
 
 
+ENDINGS = ["opus", "OPUS", "m4a", "webp", "jpg", "Jpeg", "png", "avif", "json", "md", "markdown", "mp3", "tar.gz", "d/x"]
+
+
+def q45(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Media types, cache rules, object keys, tags and ranges of files named after parts."""
+    ending = F.element_at(F.array(*map(F.lit, ENDINGS)), (F.col("p_partkey") % len(ENDINGS) + 1).cast("int"))
+    path = F.concat(F.lit("/audio/./x/../"), F.regexp_replace("p_name", " ", "%20"), F.when(F.col("p_size") % 2 == 0, "/.").otherwise("."), ending)
+    size = F.col("p_size").cast("bigint")
+    header = F.concat(F.lit(" bytes="), F.when(F.col("p_partkey") % 3 == 0, "").otherwise("5"), F.lit("-"), F.when(F.col("p_partkey") % 4 == 0, "").otherwise("20"))
+    r = X.byte_range(header, size)
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", X.content_type(path).alias("kind"), X.cache_control(path).alias("cache"), X.object_key(path, ["audio", "photos"]).alias("key"),
+        X.object_key(F.concat(F.lit("/audio/../"), F.when(F.col("p_partkey") % 2 == 0, "photos/").otherwise("other/"), "p_brand"), ["audio", "photos"]).alias("moved"),
+        X.quoted_etag(F.concat(F.when(F.col("p_partkey") % 5 == 0, 'W/"').otherwise(" "), "p_brand", F.when(F.col("p_partkey") % 5 == 0, '"').otherwise(" "))).alias("etag"),
+        r["valid"].alias("range_ok"), r["first"].alias("range_first"), r["length"].alias("range_length"),
+        X.allowed_origin(F.concat(F.lit("https://S"), "p_partkey", F.when(F.col("p_partkey") % 3 == 0, ".example.net:443/x").otherwise(".example.org")), ["https://*.example.net", "https://s1.example.org"]).alias("origin"),
+    )
+
+
+def q46(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Key-value lines with repeated keys and loudness reports in logs, numbers from events."""
+    e, n = table(spark, sf_dir, "events"), F.col("event_id").cast("string")
+    lines = F.concat(F.lit("BIT_RATE=12\r\n bit_rate = "), n, F.lit("\nbit_rate=N/A\nsize="), F.when(F.col("event_id") % 2 == 0, "0").otherwise(n), F.lit("\n\nnone\nduration=1e3=2"))
+    log = F.concat(F.lit("[x] {\n\"input_i\" : \"-"), n, F.lit(".5\", \"output_tp\": -1, \"target_offset\": \"inf\", \"mode\": \"dynamic\"}\nend"))
+    s, k, loud = X.format_stats(lines), X.key_values(lines), X.loudness(log)
+    return e.select(
+        "event_id", s["bit_rate"].alias("bit_rate"), s["size"].alias("size"), s["duration"].alias("duration"), k["bit_rate"].alias("last"), F.size(k).alias("n"),
+        loud["input_i"].alias("input_i"), loud["output_tp"].alias("output_tp"), loud["target_offset"].alias("target_offset"), X.loudness(lines).isNull().alias("none"),
+    )
+
+
+def q47(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hashes of names with signs beyond the basic plane and white space of all kinds around, and texts that are blank."""
+    around = F.element_at(F.array(*map(F.lit, ["\t", "\u00a0", "\u3000 ", ""])), (F.col("c_custkey") % 4 + 1).cast("int"))
+    mark = F.when(F.col("c_custkey") % 3 == 0, "\U0001f3b8").when(F.col("c_custkey") % 3 == 1, "é").otherwise("")
+    return table(spark, sf_dir, "customer").select(
+        "c_custkey", X.fnv1a(F.concat(around, "c_name", mark, F.lit("\n"))).alias("hash"), X.blank_to_null(F.concat(around, around)).alias("blank"),
+        X.blank_to_null(F.concat("c_name", F.lit(" "))).alias("kept"), X.normalize_plain(F.concat("c_name", mark)).alias("plain"),
+    )
+
+
 SLUG = "trim(regexp_replace(regexp_replace(regexp_replace(lower({x}), '[^a-z0-9\\s-]', '', 'g'), '\\s+', '-', 'g'), '-+', '-', 'g'), '-')"
 FNV = "list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(lower({x}), ''), lambda c: ascii(c)::BIGINT)), lambda h, c: (xor(h, c)::HUGEINT * 16777619 % 4294967296)::BIGINT)"
 LOCAL = "(timezone('America/Chicago', timezone('UTC', o_orderdate::TIMESTAMP)))"
@@ -184,6 +225,7 @@ QUERIES = {
     "q16_url_shape": q16, "q17_url_build": q17, "q18_success_rate": q18, "q19_date_display": q19, "q20_day_palette": q20, "q21_exif_parse": q21,
     "q22_first_milestones": q22, "q23_last_n_ring": q23, "q24_ema": q24, "q25_adaptive_thresholds": q25, "q27_ordered_distinct_tags": q27,
     "q28_genre_keywords": q28, "q40_frame_regions": q40, "q41_credits": q41, "q42_upload_decision": q42, "q43_duplicate_keys": q43, "q44_reuse_existing": q44,
+    "q45_media_headers": q45, "q46_key_lines": q46, "q47_text_edges": q47,
 }
 ORACLE_SQL = {
     "q16_url_shape": f"""WITH p AS (SELECT page_id, url, {PATH} AS path FROM pages), k AS (SELECT *, regexp_replace(path, '^/+', '') AS key FROM p),
@@ -238,5 +280,20 @@ ORACLE_SQL = {
         role IN ('user', 'system') AS "any" FROM conversations""",
     "q42_upload_decision": """SELECT s_suppkey AS key, CASE WHEN s_suppkey % 3 <> 0 AND s_suppkey % 5 <> 0 AND (s_suppkey % 2 <> 0 OR s_suppkey % 4 <> 0) THEN 'skipped' ELSE 'uploaded' END AS status FROM supplier""",
     "q43_duplicate_keys": """SELECT l_orderkey, existing, l_partkey AS duplicate, k::INT AS k FROM (SELECT l_orderkey, l_partkey, first_value(l_partkey) OVER w AS existing, row_number() OVER w AS k FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey)) WHERE k > 1""",
+    "q45_media_headers": f"""WITH x AS (SELECT *, {ENDINGS}[p_partkey % {len(ENDINGS)} + 1] AS e, p_size % 2 = 0 AS dot,
+          CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE 5 END AS a, CASE WHEN p_partkey % 4 = 0 THEN p_size - 1 ELSE 20 END::BIGINT AS b FROM part),
+        y AS (SELECT *, CASE WHEN NOT dot OR contains(e, 'tar') THEN lower(string_split(e, '.')[-1]) ELSE '' END AS t, p_name || CASE WHEN dot THEN '/.' ELSE '.' END || e AS n FROM x),
+        z AS (SELECT *, CASE WHEN t = 'opus' THEN 'audio/ogg; codecs=opus' WHEN t = 'm4a' THEN 'audio/mp4' WHEN t IN ('webp', 'png', 'avif', 'jpeg') THEN 'image/' || t WHEN t = 'jpg' THEN 'image/jpeg'
+          WHEN t = 'json' THEN 'application/json; charset=utf-8' WHEN t IN ('md', 'markdown') THEN 'text/markdown; charset=utf-8' ELSE 'application/octet-stream' END AS kind FROM y)
+        SELECT p_partkey, kind, CASE WHEN kind[1:5] IN ('audio', 'image') THEN 'public, max-age=31536000, immutable' ELSE 'public, max-age=300' END AS cache, 'audio/' || n AS key,
+          CASE WHEN p_partkey % 2 = 0 THEN 'photos/' || p_brand END AS moved, CASE WHEN p_partkey % 5 = 0 THEN 'W/"' ELSE '"' END || p_brand || '"' AS etag,
+          a <= b AND b < p_size AS range_ok, CASE WHEN a <= b AND b < p_size THEN a END::BIGINT AS range_first, CASE WHEN a <= b AND b < p_size THEN b - a + 1 END AS range_length,
+          CASE WHEN p_partkey % 3 = 0 THEN 'https://s' || p_partkey || '.example.net' WHEN p_partkey = 1 THEN 'https://s1.example.org' END AS origin FROM z""",
+    "q46_key_lines": """SELECT event_id, CASE WHEN event_id > 0 THEN event_id ELSE 12 END::DOUBLE AS bit_rate, CASE WHEN event_id % 2 = 1 THEN event_id END::DOUBLE AS size, 1000::DOUBLE AS duration, 'N/A' AS last, 3 AS n,
+        ('-' || event_id || '.5')::DOUBLE AS input_i, -1::DOUBLE AS output_tp, NULL::DOUBLE AS target_offset, true AS none FROM events""",
+    "q47_text_edges": f"""WITH x AS (SELECT c_custkey, c_name, lower(c_name) || CASE c_custkey % 3 WHEN 0 THEN chr(127928) WHEN 1 THEN 'é' ELSE '' END AS t FROM customer),
+        u AS (SELECT *, flatten(list_transform(string_split(t, ''), lambda c: CASE WHEN unicode(c) > 65535 THEN [55296 + (unicode(c) - 65536) // 1024, 56320 + (unicode(c) - 65536) % 1024] ELSE [unicode(c)] END)) AS u FROM x)
+        SELECT c_custkey, list_reduce(list_prepend(2166136261::BIGINT, list_transform(u, lambda c: c::BIGINT)), lambda h, c: (xor(h, c)::HUGEINT * 16777619 % 4294967296)::BIGINT) AS hash, NULL::VARCHAR AS blank,
+          c_name AS kept, trim(regexp_replace(lower(c_name) || CASE WHEN c_custkey % 3 = 1 THEN 'e' ELSE '' END, '[^a-z0-9]+', ' ', 'g')) AS plain FROM u""",
     "q44_reuse_existing": "SELECT p_partkey, CASE WHEN p_size < 20 THEN upper(p_name) ELSE p_name END AS p_name, p_size FROM part",
 }
