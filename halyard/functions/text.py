@@ -301,6 +301,16 @@ def allowed_origin(origin: Column, allowed: list[str]) -> Column:
     return F.when((shown != "") & hit, shown)
 
 
+def with_retry_hint(message: Column, hint: Column, said: str = "tap play to retry.") -> Column:
+    """The message with the hint behind it, unless it says so itself."""
+    return F.when(F.contains(F.lower(message), F.lit(said)), message).otherwise(F.concat(message, F.lit(" "), hint))
+
+
+def audio_sources(url: Column) -> Column:
+    """The url and, for opus files, the m4a file beside it to fall back on."""
+    return F.when(url.endswith(".opus"), F.array(url, F.regexp_replace(url, r"\.opus$", ".m4a"))).otherwise(F.array(url))
+
+
 def slug(x: Column) -> Column:
     x = F.regexp_replace(F.lower(x), r"[^a-z0-9\s-]", "")
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r"\s+", "-"), "-+", "-"), "^-|-$", "")

@@ -88,6 +88,29 @@ def eligible(concerts: DataFrame, index: DataFrame) -> DataFrame:
     return concerts.join(index_entries(index).select(F.col("concertId").alias("id")).distinct(), "id", "left_semi")
 
 
+def with_hashes(tables: dict[str, DataFrame], index: DataFrame) -> DataFrame:
+    """id, band, imageFile and hashes, the valid ones of the recognition index, of every entry with an artist."""
+    a = last_of_each(tables["artists"], "id").select(F.col("id").alias("artistId"), F.col("name").alias("band"))
+    p = last_of_each(tables["photos"], "id").select(F.col("id").alias("photoId"), "imageFile")
+    entries = index.select(F.posexplode("entries").alias("ord", "e")).select("ord", F.col("e.concertId").alias("id"), "e.phash")
+    r = last_of_each(entries, "id").select("id", "phash")
+    rows = tables["entries"].join(a, "artistId").join(p, "photoId", "left").join(r, "id", "left")
+    none = F.array().cast("array<string>")
+    return rows.select("id", "band", "imageFile", F.coalesce(valid_hashes(F.col("phash")), none).alias("hashes"))
+
+
+def cover_stats(tracks: DataFrame) -> DataFrame:
+    """One row: tracks without a cover file and the largest id, 0 without tracks."""
+    return tracks.agg(
+        F.count_if(F.coalesce("coverFile", F.lit("")) == "").alias("missing_covers"), F.coalesce(F.max("id"), F.lit(0)).alias("max_id")
+    )
+
+
+def shuffled(df: DataFrame, key: str, seed: int) -> DataFrame:
+    """Rows in an order that looks random and depends on key and seed only."""
+    return df.orderBy(F.xxhash64(F.lit(seed), key), key)
+
+
 def build_recognition_index(concerts: DataFrame) -> DataFrame:
     """concertId, phash, cropPhashes of enabled concerts that have hashes."""
     full = lambda hs: F.filter(hs, lambda h: h.isNotNull() & (F.length(h) > 0))

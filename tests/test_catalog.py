@@ -144,3 +144,14 @@ def test_small_operators(spark):
     assert verify.page(t, [F.col("id")], 1, 1).first()["id"] == "y"
     p = spark.createDataFrame([], "accessible boolean")
     assert tuple(verify.probe_stats(p).first()) == (0, 0, 0, 0.0)
+
+
+def test_hashes_covers_and_order(spark, tables):
+    ids = [r["id"] for r in tables["entries"].select("id").collect()]
+    index = spark.createDataFrame([(2, [(ids[0], ["0" * 16, "bad"], None)])], "version int, entries array<struct<concertId:int,phash:array<string>,cropPhashes:map<string,array<string>>>>")
+    rows = {r["id"]: r for r in catalog.with_hashes(tables, index).collect()}
+    assert set(rows) <= set(ids) and rows[ids[0]]["hashes"] == ["0" * 16] and all(r["hashes"] == [] for k, r in rows.items() if k != ids[0])
+    tracks = spark.createDataFrame([(3, None), (9, ""), (4, "c.png")], "id int, coverFile string")
+    assert tuple(catalog.cover_stats(tracks).first()) == (2, 9) and tuple(catalog.cover_stats(tracks.limit(0)).first()) == (0, 0)
+    orders = [[r["id"] for r in catalog.shuffled(spark.range(50), "id", seed).collect()] for seed in (1, 1, 2)]
+    assert orders[0] == orders[1] != orders[2] and sorted(orders[2]) == list(range(50)) != orders[0]

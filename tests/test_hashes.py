@@ -106,3 +106,23 @@ def test_telemetry_pieces(spark):
     bins = [one(spark, telemetry.margin_bin(F.lit(m).cast("int")))["c0"] for m in (None, 0, 1, 2, 3, 4, 5)]
     assert bins == ["unknown", "0-1", "0-1", "2", "3-4", "3-4", "5+"]
     assert one(spark, telemetry.histogram_peak(hexes(0, 3, 3)))["c0"] == 1 and one(spark, telemetry.histogram_peak(hexes(0, 0)))["c0"] is None
+
+
+def test_best_two_by_numbers_and_by_structs(spark):
+    rng = np.random.default_rng(4)
+    rows = [(int(g), int(o), int(h), int(x)) for g, o, h, x in zip(rng.integers(0, 5, 60), rng.permutation(60), rng.integers(0, 2**32, 60), rng.integers(0, 2**32, 60), strict=True)]
+    index = spark.createDataFrame(rows, "group_id int, ord long, hi long, lo long")
+    frames = index.select(F.col("ord").alias("frame_id"), "hi", "lo").limit(20)
+    shift = lambda df, c: df.withColumn(c, F.col(c) - 1000)
+    one = sorted(map(tuple, matching.best_two(frames, index, not_own=True).collect()))
+    for other in (matching.best_two(shift(frames, "frame_id"), shift(index, "ord"), not_own=True), matching.best_two(shift(frames, "frame_id"), shift(index, "ord"), 7, True)):
+        assert sorted((f + 1000, b, o + 1000, d, s, e) for f, b, o, d, s, e in other.collect()) == one
+    of = {o: (g, h, x) for g, o, h, x in rows}
+    for f, best, o, d, second, e in one:
+        near = {}
+        for k, (g, h, x) in of.items():
+            if k != f:
+                near[g] = min(near.get(g, (99, 0)), ((h ^ of[f][1]).bit_count() + (x ^ of[f][2]).bit_count(), k))
+        first, then = sorted((m, g) for g, m in near.items())[:2]
+        assert (best, d, o, second, e) == (first[1], *first[0], then[1], then[0][0])
+    assert matching.best_two(frames, index.limit(0)).filter("best_id is null").count() == 20

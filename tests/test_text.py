@@ -100,3 +100,46 @@ def test_geometry(spark):
     t = one(spark, G.adaptive_thresholds(F.lit(60.0), F.lit(10.0)))
     assert tuple(t) == pytest.approx((23.75, 193.75, 34.5))
     assert one(spark, G.smoothed(F.array(F.lit(100.0), F.lit(0.0)))) == [100.0, 85.0]
+
+
+def test_media_types_and_headers(spark):
+    kinds = {
+        "a.opus": "audio/ogg; codecs=opus", "b/A.M4A": "audio/mp4", "c.webp": "image/webp", "c.jpeg": "image/jpeg", "c.avif": "image/avif",
+        "d.json": "application/json; charset=utf-8", "README.md": "text/markdown; charset=utf-8", "x.markdown": "text/markdown; charset=utf-8",
+        "x.mp3": "application/octet-stream", ".opus": "application/octet-stream", "a.opus/b": "application/octet-stream",
+    }
+    for path, kind in kinds.items():
+        assert one(spark, X.content_type(F.lit(path))) == kind
+    assert "immutable" in one(spark, X.cache_control(F.lit("a.png"))) and "300" in one(spark, X.cache_control(F.lit("a.json")))
+    assert [one(spark, X.quoted_etag(F.lit(t))) for t in ("ab ", '"q"', 'W/"x"', "")] == ['"ab"', '"q"', 'W/"x"', None]
+    r = lambda h: one(spark, X.byte_range(F.lit(h), F.lit(100).cast("bigint")))
+    assert tuple(r("bytes=0-9")) == (True, 0, 10) and tuple(r("Bytes=5-")) == (True, 5, 95) and not r("bytes=90-100")["valid"] and not r("bytes=9-1")["valid"] and r("lines=1-2") is None
+    key = lambda p: one(spark, X.object_key(F.lit(p), ["audio", "photos"]))
+    assert key("/audio/./a/../b.opus") == "audio/b.opus" and key("/audio/../../x") is None and key("/audio/%2e%2e/photos/a%20b+c") == "photos/a b+c"
+    assert key("/other/x") is None and key("/audiox/y") is None and key("/audio") == "audio"
+    o = lambda u: one(spark, X.allowed_origin(F.lit(u), ["https://a.example", "https://*.b.example", "https://pre-*.c.example", "https://*"]))
+    assert o("https://A.example:443") == "https://a.example" and o("https://x.b.example/p") == "https://x.b.example" and o("https://pre-1.c.example") == "https://pre-1.c.example"
+    assert [o(u) for u in ("https://b.example", "http://x.b.example", "https://q.c.example", "none", "https://zb.example.evil")] == [None] * 5
+    assert one(spark, X.with_retry_hint(F.lit("No. Tap play to retry."), F.lit("x"))) == "No. Tap play to retry." and one(spark, X.with_retry_hint(F.lit("No."), F.lit("x"))) == "No. x"
+    assert one(spark, X.audio_sources(F.lit("a.opus"))) == ["a.opus", "a.m4a"] and one(spark, X.audio_sources(F.lit("a.mp3"))) == ["a.mp3"]
+
+
+def test_key_lines_and_loudness(spark):
+    assert one(spark, X.key_values(F.lit("A=1\r\n a = 2 \nb==3\n\n=x\nq"))) == {"a": "2", "b": ""}
+    s = one(spark, X.format_stats(F.lit("bit_rate=128\nbit_rate=N/A\nSIZE=0\nduration= 1.5 ")))
+    assert tuple(s) == (128.0, None, 1.5)
+    got = one(spark, X.loudness(F.lit('log {"input_i":"-14.2","output_tp":-1,"target_offset":"x","normalization_type":"d"} end')))
+    assert got["input_i"] == -14.2 and got["output_tp"] == -1 and got["target_offset"] is None and one(spark, X.loudness(F.lit("no report"))) is None
+    assert one(spark, X.loudness(F.lit(None).cast("string"))) is None and one(spark, X.format_stats(F.lit(None).cast("string")))["size"] is None
+
+
+def test_white_space_and_hashes_of_utf16(spark):
+    def plain(name):
+        h, units = 2166136261, name.lower().strip().encode("utf-16-be")
+        for i in range(0, len(units), 2):
+            h = ((h ^ int.from_bytes(units[i : i + 2], "big")) * 16777619) % 2**32
+        return h
+
+    for name in ("abc", "\tAbc\u00a0", "\U0001f3b8 Band", "é", ""):
+        assert one(spark, X.fnv1a(F.lit(name))) == plain(name)
+    assert one(spark, X.blank_to_null(F.lit("\t\u00a0\n\ufeff"))) is None and one(spark, X.blank_to_null(F.lit(" a "))) == " a "
