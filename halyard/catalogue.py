@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import catalog, fingerprints, scalars, sessions
+from .plans import catalog, fingerprints, scalars, sessions, upkeep
 
-_MODULES = (fingerprints, catalog, scalars, sessions)
+_MODULES = (fingerprints, catalog, scalars, sessions, upkeep)
 QUERIES = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}

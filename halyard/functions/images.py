@@ -376,6 +376,35 @@ def crop_hashes_column(h: Column, w: Column, d: Column, **how) -> Column:
     return _per_image(lambda p: list(crop_hash_variants(p, **how).items()), "array<struct<region:string,hashes:array<string>>>")(h, w, d)
 
 
+def adjusted_column(h: Column, w: Column, d: Column, delta: int = 0, exponent: float = 1.0) -> Column:
+    """The pixels made brighter by an amount, then by a gamma curve, as bytes."""
+    return _per_image(lambda p: gamma(brightness(p, delta), exponent).tobytes(), "binary")(h, w, d)
+
+
+def crop_column(h: Column, w: Column, d: Column, key: str) -> Column:
+    return _per_image(lambda p: crop(p, key).tobytes(), "binary")(h, w, d)
+
+
+def rgba_of_bgr(channels: Column, data: Column) -> Column:
+    """RGBA bytes of grey, BGR or BGRA bytes; null for other layouts."""
+
+    def run(n: pd.Series, d: pd.Series) -> pd.Series:
+        out = []
+        for k, raw in zip(n, d, strict=True):
+            if k not in (1, 3, 4) or raw is None:
+                out.append(None)
+                continue
+            p = np.frombuffer(raw, np.uint8).reshape(-1, int(k))
+            rgba = np.full((len(p), 4), 255, np.uint8)
+            rgba[:, :3] = p[:, [0, 0, 0] if k == 1 else [2, 1, 0]]
+            if k == 4:
+                rgba[:, 3] = p[:, 3]
+            out.append(rgba.tobytes())
+        return pd.Series(out, dtype=object)
+
+    return F.pandas_udf(run, "binary")(channels, data)
+
+
 def with_content_hash(files: DataFrame) -> DataFrame:
     """Add the sha256 of the content, by which unchanged files are known."""
     return files.withColumn("sha256", F.sha2("content", 256))

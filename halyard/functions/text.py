@@ -335,8 +335,8 @@ def parse_int(x: Column) -> Column:
 
 
 def to_fixed(x: Column, digits: int) -> Column:
-    """The exact value of a double rounded half up, as text."""
-    return F.format_string(f"%.{digits}f", x)
+    """The exact value of a double rounded half up, as text; null of null."""
+    return F.when(x.isNotNull(), F.format_string(f"%.{digits}f", x))
 
 
 def unwrap_excel(x: Column) -> Column:

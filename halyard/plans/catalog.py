@@ -45,8 +45,10 @@ def q07(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q08(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    return table(spark, sf_dir, "customer").join(orders, "c_custkey", "left_semi").select("c_custkey", "c_name")
+    entry = F.struct(F.col("o_custkey").alias("concertId"), F.array(F.col("o_orderstatus")).alias("phash"))
+    index = table(spark, sf_dir, "orders").select(F.array(entry).alias("entries"))
+    concerts = table(spark, sf_dir, "customer").withColumnRenamed("c_custkey", "id")
+    return catalog.eligible(concerts, index).select(F.col("id").alias("c_custkey"), "c_name")
 
 
 def q09(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..functions import text as X
+from ..functions.dates import central_timestamp
+from ..functions.exif import exif
+from ..functions.images import rgba_of_bgr
 from ..functions.text import blank_to_null, normalize_band, parse_int
 
 IMAGE_NAME = r"(?i)\.(jpg|jpeg|png|webp)$"
@@ -66,10 +70,31 @@ def files(spark: SparkSession, paths: str | list[str], name: str | None = None,
 
 
 def images(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Image files with content; decoding them is a plug-in's task."""
+    """Image files with content, as they are."""
     return files(spark, paths, IMAGE_NAME, content=True)
 
 
+def decoded_images(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """image_id (the path), height, width, data (RGBA) of the images that Spark's image source decodes; others are left out."""
+    read = spark.read.format("image").option("dropInvalid", True).load(paths).select("image.*")
+    return read.select(F.col("origin").alias("image_id"), "height", "width", rgba_of_bgr(F.col("nChannels"), F.col("data")).alias("data"))
+
+
+def photo_metadata(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """file_name and what the camera wrote, formatted, of ``.jpg`` files; empty texts where a file says nothing.
+
+    A time without zone is taken as UTC. Files of no bytes don't show, as Spark's readers skip them.
+    """
+    rows = files(spark, paths, r"(?i)\.jpg$", content=True).select(F.element_at(F.split("path", "/"), -1).alias("file_name"), exif(F.col("content")).alias("x"))
+    taken = F.try_to_timestamp("x.taken", F.lit("yyyy:MM:dd HH:mm:ss"))
+    text = lambda c: F.coalesce(c, F.lit(""))
+    return rows.select(
+        "file_name", text(central_timestamp(taken)).alias("date"), text(X.format_shutter(F.col("x.exposure"))).alias("shutterSpeed"),
+        X.format_camera(F.col("x.make"), F.col("x.model")).alias("camera"), text(X.format_aperture(F.col("x.f_number"))).alias("aperture"),
+        text(X.format_focal_length(F.col("x.focal"), F.col("x.focal35"))).alias("focalLength"), text(X.format_iso(F.col("x.iso"))).alias("iso"),
+    ).orderBy(F.collate("file_name", "UNICODE"))
+
+
 def sidecars(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Metadata documents: ``*.metadata.json``, or ``*.info.json`` only if there are none; bad documents are skipped."""
     def read(suffix: str) -> DataFrame:

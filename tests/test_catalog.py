@@ -1,4 +1,6 @@
 import json
+import struct
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -155,3 +157,55 @@ def test_hashes_covers_and_order(spark, tables):
     assert tuple(catalog.cover_stats(tracks).first()) == (2, 9) and tuple(catalog.cover_stats(tracks.limit(0)).first()) == (0, 0)
     orders = [[r["id"] for r in catalog.shuffled(spark.range(50), "id", seed).collect()] for seed in (1, 1, 2)]
     assert orders[0] == orders[1] != orders[2] and sorted(orders[2]) == list(range(50)) != orders[0]
+
+
+def _png(pixels: list[list[tuple[int, int, int, int]]]) -> bytes:
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    raw = b"".join(b"\0" + bytes(v for p in row for v in p) for row in pixels)
+    head = struct.pack(">IIBBBBB", len(pixels[0]), len(pixels), 8, 6, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+
+
+def test_images_are_decoded(spark, tmp_path):
+    rows = [[(1, 2, 3, 255), (40, 50, 60, 128)], [(7, 8, 9, 255), (255, 0, 128, 255)]]
+    (tmp_path / "a.png").write_bytes(_png(rows))
+    (tmp_path / "b.png").write_bytes(b"no image")
+    (found,) = readers.decoded_images(spark, str(tmp_path)).collect()
+    assert (found["height"], found["width"]) == (2, 2) and found["image_id"].endswith("a.png")
+    assert bytes(found["data"]) == bytes(v for row in rows for p in row for v in p)
+
+
+def _jpeg(order: str, tags: list[tuple[int, int, object]]) -> bytes:
+    """A file of a head with make and model in the first directory and the rest in the second."""
+    def directory(start, entries):
+        extra, out = b"", struct.pack(order + "H", len(entries))
+        base = start + 2 + 12 * len(entries) + 4
+        for tag, kind, value in entries:
+            data = value.encode() + b"\0" if kind == 2 else struct.pack(order + "II", *value) if kind == 5 else struct.pack(order + ("H" if kind == 3 else "I"), value)
+            count = len(data) if kind == 2 else 1
+            where = data.ljust(4, b"\0") if len(data) <= 4 else struct.pack(order + "I", base + len(extra))
+            extra += data if len(data) > 4 else b""
+            out += struct.pack(order + "HHI", tag, kind, count) + where
+        return out + struct.pack(order + "I", 0) + extra
+
+    first = [t for t in tags if t[0] < 0x8000]
+    size = len(directory(8, [*first, (0x8769, 4, 0)]))
+    body = directory(8, [*first, (0x8769, 4, 8 + size)]) + directory(8 + size, [t for t in tags if t[0] >= 0x8000])
+    block = b"Exif\0\0" + {"<": b"II", ">": b"MM"}[order] + struct.pack(order + "HI", 42, 8) + body
+    return b"\xff\xd8\xff\xe0\0\x04ab\xff\xe1" + struct.pack(">H", len(block) + 2) + block + b"\xff\xda\0\x02\xff\xd9"
+
+
+@pytest.mark.parametrize("order", ["<", ">"])
+def test_photo_metadata(spark, tmp_path, order):
+    tags = [(0x010F, 2, "NIKON"), (0x0110, 2, "Z 6"), (0x829A, 5, (1, 200)), (0x829D, 5, (28, 10)), (0x8827, 3, 3200),
+            (0x9003, 2, "2024:05:01 20:10:05"), (0x920A, 5, (70, 1)), (0xA405, 3, 105)]
+    data = _jpeg(order, tags)
+    for name, content in {"a.jpg": data, "B.JPG": b"\xff\xd8\xff\xd9", "c.jpg": data[:60], "d.jpg": b"x", "e.png": data}.items():
+        (tmp_path / name).write_bytes(content)
+    rows = {r["file_name"]: r for r in readers.photo_metadata(spark, str(tmp_path)).collect()}
+    assert sorted(rows) == ["B.JPG", "a.jpg", "c.jpg", "d.jpg"]
+    assert rows["a.jpg"].asDict() == {
+        "file_name": "a.jpg", "date": "2024-05-01T15:10:05-05:00", "shutterSpeed": '="1/200"', "camera": "NIKON Z 6", "aperture": "f/2.8",
+        "focalLength": "70.0mm 105mm eq", "iso": "3200",
+    }
+    assert all(v == "" for n in ("B.JPG", "d.jpg", "c.jpg") for k, v in rows[n].asDict().items() if k != "file_name")
