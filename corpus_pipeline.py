@@ -18,6 +18,10 @@ from halyard.llm.queries import vocab_path
 #: whose shingles are alike by 0.8. Their shingle sets decide.
 NEAR = {"k": 5, "words": 8, "index_words": 8, "blocks": 5, "agree": 1, "radius": 14, "total": 108}
 
+#: A sequence holds 16 documents and three quarters of the attention cost of one full-length document at most,
+#: so that steps take about as long as each other; the bounds count as much as tokens when a sequence is chosen.
+PACK = {"capacity": 2048, "max_docs": 16, "max_attention": 3 * 2048 * 2048 // 4, "weights": (1.0, 1.0, 1.0)}
+
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or of no language that is known with at least even odds, go."""
@@ -36,7 +40,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per piece with its sequence and place there."""
-    return packing.pack_documents(docs, vocab_path())
+    return packing.pack_documents(docs, vocab_path(), **PACK)
 
 
 STAGES = [

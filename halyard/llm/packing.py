@@ -12,10 +12,11 @@ says which ranks of a length go where; pieces are ranked in their partitions
 and find their place by rank, so that no group of pieces meets in one task.
 
 Defined results
-    null or empty text: the end token alone; repeated rows and repeated
-    doc_ids: packed each; ties: by class age; empty table: no rows; further
-    columns: left out. Texts longer than a sequence are cut into full pieces
-    and a last one.
+    null or empty text: the end token alone; null doc_id: packed as it is;
+    repeated rows and repeated doc_ids: packed each; ties: by class age; empty
+    table: no rows; further columns, also those named like the result's: left
+    out. Texts longer than a sequence, or than its attention cost allows, are
+    cut into pieces of that length and a last one, however many they are.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ import os
 import zlib
 from collections import defaultdict
 from functools import lru_cache
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -86,13 +88,13 @@ class WordEncoder:
         return out
 
 
-def tokenize_pieces(docs: DataFrame, vocab_path: str, capacity: int) -> DataFrame:
+def tokenize_pieces(docs: DataFrame, vocab_path: str, longest: int) -> DataFrame:
     """Pieces of every document, each with its partition and its rank among the partition's pieces of that length."""
 
     def pieces(batches):
         encoder, pid = encoder_of(vocab_path), TaskContext.get().partitionId()
         seen: dict[int, int] = defaultdict(int)
-        end, step = np.array([END_ID], dtype="<u4").tobytes(), 4 * capacity
+        end, step = np.array([END_ID], dtype="<u4").tobytes(), 4 * longest
         for batch in batches:
             cols: list[list] = [[] for _ in range(7)]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -222,7 +224,8 @@ def pack_documents(
     max_attention: int | None = None, weights: tuple[float, float, float] = (1.0, 0.01, 0.01), rule: str = "norm",
 ) -> DataFrame:
     """Pack doc_id, text: one row per piece with its sequence and offset."""
-    pieces = checkpointed(tokenize_pieces(docs, vocab_path, capacity))
+    longest = min(capacity, isqrt(max_attention)) if max_attention else capacity
+    pieces = checkpointed(tokenize_pieces(docs, vocab_path, longest))
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     placements, _ = plan_bins(counts, capacity, max_docs, max_attention, weights, rule)
     return assign(pieces, placements)

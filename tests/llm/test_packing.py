@@ -93,3 +93,25 @@ def test_pieces_of_documents(spark):
         assert at <= 16
     assert len(bins) == -(-sum(r["length"] for r in out) // 16)
     assert packing.pack_documents(spark.createDataFrame([], "doc_id long, text string"), vocab_path()).count() == 0
+
+
+def test_the_residual_norm_chooses_by_every_capacity():
+    # 50 and 45 cost 4525, 50 and 40 cost 4100
+    dense = Counter({50: 1, 45: 1, 40: 1})
+    plans = [unpack(packing.plan_bins(dense, 100, 2, attention, weights=w)[0]) for attention, w in ((None, (1.0, 0.0, 0.0)), (4200, (1.0, 0.0, 0.0)))]
+    assert [sorted(sorted(le for _, le, _ in p) for p in bins.values()) for bins in plans] == [[[40], [45, 50]], [[40, 50], [45]]]
+    # before the 20 is placed, the bin of 70 has 30 tokens and 5100 of attention left, that of two 40s has 20 and 6800
+    mixed, cap = Counter({70: 1, 40: 2, 20: 1}), {"capacity": 100, "max_docs": 50}
+    first, second = (packing.plan_bins(mixed, **cap, weights=w)[0] for w in ((1.0, 0.01, 0.01), (0.0, 0.0, 1.0)))
+    place = lambda plan: next(p[3] for p in plan if p[0] == 20)
+    assert place(first) == 1 and place(second) == 0
+
+
+def test_attention_cost_bounds_the_pieces(spark):
+    docs = spark.createDataFrame([(1, "word " * 100), (2, "a b c")], "doc_id long, text string")
+    out = packing.pack_documents(docs, vocab_path(), capacity=16, max_docs=3, max_attention=150, weights=(1.0, 1.0, 1.0)).collect()
+    assert max(r["length"] for r in out) == 12 and sum(r["length"] for r in out if r["doc_id"] == 1) == 101
+    bins = {}
+    for r in out:
+        bins.setdefault(r["sequence_id"], []).append(r["length"])
+    assert all(sum(v) <= 16 and len(v) <= 3 and sum(n * n for n in v) <= 150 for v in bins.values())
