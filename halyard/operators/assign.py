@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import similarity_score
+from .ranks import global_rank
 
 #: Names compared at a time; at most this many are broadcast.
 BLOCK_NAMES = 50_000
@@ -93,5 +94,5 @@ def extra_tracks(rows: DataFrame, tracks: DataFrame, group: str, row_order: list
 
 
 def number_from(df: DataFrame, start: Column | int, order: list[Column], name: str = "id") -> DataFrame:
-    """Consecutive numbers in the given order; a global rank, meant for the few rows that are new."""
-    return df.withColumn(name, F.row_number().over(Window.orderBy(*order)) - 1 + start)
+    """Consecutive numbers from a start in the given order."""
+    return global_rank(df, order, name).withColumn(name, F.col(name) + start)

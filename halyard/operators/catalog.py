@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashes import has_hashes, valid_hashes
 from ..functions.text import blank_to_null, build_url, join_url, normalize_band, parse_int, strip, unwrap_excel
+from .ranks import global_rank
 
 
 def last_of_each(df: DataFrame, key: str | list[str], order: str = "ord") -> DataFrame:
@@ -160,10 +161,9 @@ def normalize_catalog(concerts: DataFrame, band_key: Column | None = None) -> di
     tracks = rows.groupBy("artistId", "_audio", "_title").agg(
         F.min("id").alias("_first"), F.min_by(F.struct(blank_to_null(F.col("albumCoverUrl")).alias("c")), "id").alias("c")
     )
-    # as many rows as there are tracks; the number is their rank among all
-    ranked = tracks.withColumn("n", F.row_number().over(Window.orderBy("_first", "artistId", "_audio", "_title")))
+    ranked = global_rank(tracks, [F.col(c) for c in ("_first", "artistId", "_audio", "_title")], "n")
     tracks = ranked.select(
-        F.concat(F.lit("track-"), F.col("n").cast("string")).alias("id"), "artistId", F.col("_title").alias("songTitle"),
+        F.concat(F.lit("track-"), (F.col("n") + 1).cast("string")).alias("id"), "artistId", F.col("_title").alias("songTitle"),
         F.col("_audio").alias("audioFile"), F.col("c.c").alias("albumCoverUrl"),
     )
     entries = (

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from .catalog import enabled
+from .ranks import global_rank
 
 #: Kinds of findings that make a verification fail.
 CRITICAL = ("url", "mapping", "duplicate-photo-id", "missing-in-csv", "missing-in-data")
@@ -112,7 +113,7 @@ def upload_decision(local: DataFrame, remote: DataFrame, dry_run: bool = False)
 
 def chunks(df: DataFrame, order: list[Column], size: int = 1000) -> DataFrame:
     """Rows numbered into chunks of a size, for requests that take so many keys."""
-    return df.withColumn("chunk", F.floor((F.row_number().over(Window.orderBy(*order)) - 1) / size))
+    return global_rank(df, order, "chunk").withColumn("chunk", F.floor(F.col("chunk") / size))
 
 
 def search(df: DataFrame, column: str, wanted: Column) -> DataFrame:
