@@ -70,7 +70,7 @@ def q73(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.col("o_orderdate").cast("date")
     version = F.when(F.col("o_orderkey") % 3 == 0, F.date_format(day, "yyyy-MM-dd")).otherwise(F.concat(F.date_format(day, "yyyy.MM.dd"), F.lit(" ")))
     age = status.freshness(version, F.lit("1998-08-02").cast("date"), 900)
-    return table(spark, sf_dir, "orders").select("o_orderkey", age.alias("a")).select("o_orderkey", "a.age_days", "a.ok")
+    return table(spark, sf_dir, "orders").select("o_orderkey", age.alias("a")).select("o_orderkey", F.coalesce("a.age_days", F.lit(-1)).alias("age_days"), "a.ok")
 
 
 QUERIES = {
@@ -89,6 +89,6 @@ ORACLE_SQL = {
     "q70_key_chunks": "SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey DESC) - 1) // 100 AS chunk FROM orders",
     "q71_id_lists": "SELECT 'sizes' AS kind, array_to_string(list_sort(list(DISTINCT p_size)), ',') AS ids FROM part UNION ALL SELECT 'none', NULL",
     "q72_saved_flags": "SELECT c_mktsegment AS id, c_custkey % 3 = 0 AS enabled FROM customer WHERE c_custkey % 3 <> 2 AND c_mktsegment IN ('BUILDING', 'MACHINERY')",
-    "q73_version_age": """SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 THEN date_diff('day', o_orderdate::DATE, DATE '1998-08-02') END::INT AS age_days,
+    "q73_version_age": """SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 THEN date_diff('day', o_orderdate::DATE, DATE '1998-08-02') ELSE -1 END::INT AS age_days,
         o_orderkey % 3 <> 0 AND date_diff('day', o_orderdate::DATE, DATE '1998-08-02') <= 900 AS ok FROM orders""",
 }
