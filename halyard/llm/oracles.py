@@ -61,4 +61,32 @@ o AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) A
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND first IS NOT NULL AND page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM first THEN first END AS refers_to FROM o"""
 
-ORACLE_SQL = {"op6_url_filters": URL_FILTERS, "op7_chat_formatting": CHAT_FORMATTING, "op10_warc": WARC}
+#: Every term of every group, present or not, without supports or histograms.
+SOURCE_DIVERGENCE = r"""WITH d AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    unnest(regexp_extract_all({text}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents
+), kept AS (SELECT lang, term FROM d GROUP BY ALL HAVING count(DISTINCT id) >= 10
+), groups AS (
+  SELECT DISTINCT coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents
+), n AS (SELECT lang, source, term, count(*) AS n FROM d JOIN kept USING (lang, term) GROUP BY ALL
+), cells AS (
+  SELECT g.lang, g.source, k.term, coalesce(n.n, 0) AS n, sum(coalesce(n.n, 0)) OVER t AS lang_n,
+    sum(coalesce(n.n, 0)) OVER s AS total, count(*) OVER s AS v
+  FROM groups g JOIN kept k USING (lang) LEFT JOIN n USING (lang, source, term)
+  WINDOW t AS (PARTITION BY g.lang, k.term), s AS (PARTITION BY g.lang, g.source)
+), shares AS (
+  SELECT lang, source, term, n, (1 + (1000000000::HUGEINT * (n + 2)) // (total + 2 * v)::HUGEINT)::BIGINT AS p,
+    (1 + (1000000000::HUGEINT * (lang_n + 2)) // (sum(n) OVER (PARTITION BY lang) + 2 * v)::HUGEINT)::BIGINT AS q FROM cells
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), said AS (
+  SELECT g.lang, g.source, 'pair' AS part, h.source AS item, coalesce(p.value, 0)::BIGINT AS value
+  FROM groups g JOIN groups h ON g.lang = h.lang AND g.source <> h.source LEFT JOIN pairs p ON p.lang = g.lang AND p.source = g.source AND p.item = h.source
+  UNION ALL SELECT lang, source, 'term', term, (((p - q) * (p - q)) // (p + q))::BIGINT FROM shares WHERE n > 0 AND p > q
+), placed AS (SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank FROM said)
+SELECT * FROM placed WHERE part = 'pair' OR rank <= 10""".replace("{text}", LOWER.format(x="coalesce(text, '')"))
+
+ORACLE_SQL = {
+    "op6_url_filters": URL_FILTERS, "op7_chat_formatting": CHAT_FORMATTING, "op10_warc": WARC, "op11_source_divergence": SOURCE_DIVERGENCE,
+}

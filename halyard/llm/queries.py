@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontam, html_extract, langid, ngram_lm, packing, simhash, urls, warc
+from . import ann, chat, decontam, divergence, html_extract, langid, ngram_lm, packing, simhash, urls, warc
 from .common import checkpointed, fresh_path, read_table
 from .oracles import ORACLE_SQL as ORACLE_SQL
 
@@ -79,6 +79,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.resolve(checkpointed(warc.read_archives(spark, path)))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_html_extraction": op2_html_extraction,
@@ -90,4 +94,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_warc": op10_warc,
+    "op11_source_divergence": op11_source_divergence,
 }
