@@ -87,6 +87,44 @@ SOURCE_DIVERGENCE = r"""WITH d AS (
 ), placed AS (SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank FROM said)
 SELECT * FROM placed WHERE part = 'pair' OR rank <= 10""".replace("{text}", LOWER.format(x="coalesce(text, '')"))
 
+#: crc32 of the decimal doc_id, bit by bit.
+CRC = """xor(list_reduce([4294967295::UBIGINT] || list_transform(range(8 * length({x})), lambda k: k::UBIGINT), lambda c, k:
+    CASE WHEN (CASE WHEN k % 8 = 0 THEN xor(c, ascii({x}[(k // 8 + 1)::INTEGER])::UBIGINT) ELSE c END) % 2 = 1
+    THEN xor((CASE WHEN k % 8 = 0 THEN xor(c, ascii({x}[(k // 8 + 1)::INTEGER])::UBIGINT) ELSE c END) >> 1, 3988292384::UBIGINT)
+    ELSE (CASE WHEN k % 8 = 0 THEN xor(c, ascii({x}[(k // 8 + 1)::INTEGER])::UBIGINT) ELSE c END) >> 1 END), 4294967295::UBIGINT)"""
+
+#: Two places with the same word q apart are a pair; consecutive pairs of one q are a stretch of period q. A stretch that
+#: lies in one of a smaller period has that one.
+PERIODIC_RUNS = r"""WITH d AS (
+  SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws, {crc}::BIGINT AS h
+  FROM documents
+), s AS (
+  SELECT *, len(ws) AS n, CASE WHEN h % 10 = 0 AND len(ws) > 0 THEN (h // 10) % len(ws) END AS a, h // 10 AS g FROM d
+), w AS (
+  SELECT id, i, CASE WHEN i < a OR a IS NULL THEN ws[i + 1] ELSE ws[a + (i - a) % (1 + (n - a) // (3 + g % 8)) + 1] END AS word
+  FROM (SELECT *, unnest(range(n)) AS i FROM s)
+), sized AS (SELECT *, count(*) OVER (PARTITION BY id) AS n FROM w
+), pairs AS (
+  SELECT x.id, x.i, y.i - x.i AS q, x.i - row_number() OVER (PARTITION BY x.id, y.i - x.i ORDER BY x.i) AS island
+  FROM sized x JOIN sized y ON x.id = y.id AND x.word = y.word AND x.i < y.i AND (y.i - x.i) * 4 <= x.n
+), stretches AS (
+  SELECT id, q AS period, min(i) AS start, count(*) + q AS length FROM pairs GROUP BY id, q, island HAVING count(*) + q >= greatest(6, 4 * q)
+), runs AS (
+  SELECT * FROM stretches r WHERE NOT EXISTS (SELECT 1 FROM stretches o WHERE o.id = r.id AND o.period < r.period AND o.start <= r.start AND o.start + o.length >= r.start + r.length)
+), told AS (
+  SELECT id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS said FROM runs GROUP BY id
+), best AS (
+  SELECT * FROM runs r WHERE NOT EXISTS (SELECT 1 FROM runs o WHERE o.id = r.id AND (o.length * r.period > r.length * o.period
+    OR o.length * r.period = r.length * o.period AND (o.start < r.start OR o.start = r.start AND o.period < r.period)))
+), kept AS (
+  SELECT id, string_agg(word, ' ' ORDER BY i) AS text FROM w
+  WHERE NOT EXISTS (SELECT 1 FROM runs r WHERE r.id = w.id AND w.i >= r.start + r.period AND w.i < r.start + r.length) GROUP BY id
+)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, start::BIGINT AS start, length::BIGINT AS length, period::BIGINT AS period,
+  (1000 * length // period)::BIGINT AS exponent_milli, sha256(coalesce(said, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
+FROM s LEFT JOIN told USING (id) LEFT JOIN best USING (id) LEFT JOIN kept USING (id)""".replace("{crc}", CRC.format(x="(doc_id::VARCHAR)"))
+
 ORACLE_SQL = {
     "op6_url_filters": URL_FILTERS, "op7_chat_formatting": CHAT_FORMATTING, "op10_warc": WARC, "op11_source_divergence": SOURCE_DIVERGENCE,
+    "op12_periodic_runs": PERIODIC_RUNS,
 }

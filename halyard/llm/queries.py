@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontam, divergence, html_extract, langid, ngram_lm, packing, simhash, urls, warc
+from . import ann, chat, decontam, divergence, html_extract, langid, ngram_lm, packing, periodic, simhash, urls, warc
 from .common import checkpointed, fresh_path, read_table
 from .oracles import ORACLE_SQL as ORACLE_SQL
 
@@ -83,6 +83,11 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(read_table(spark, sf_dir, "documents"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return periodic.detect(docs.withColumn("text", periodic.with_periods(F.col("doc_id"), F.col("text"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_html_extraction": op2_html_extraction,
@@ -95,4 +100,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_lm_scoring": op9_lm_scoring,
     "op10_warc": op10_warc,
     "op11_source_divergence": op11_source_divergence,
+    "op12_periodic_runs": op12_periodic_runs,
 }
