@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontam, divergence, html_extract, langid, ngram_lm, packing, periodic, simhash, urls, warc
+from . import ann, chat, decontam, divergence, html_extract, langid, ngram_lm, packing, periodic, simhash, urls, vector_packing, warc
 from .common import checkpointed, fresh_path, read_table
 from .oracles import ORACLE_SQL as ORACLE_SQL
 
@@ -88,6 +88,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.detect(docs.withColumn("text", periodic.with_periods(F.col("doc_id"), F.col("text"))))
 
 
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_packing.pack_examples(read_table(spark, sf_dir, "documents"), vocab_path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_html_extraction": op2_html_extraction,
@@ -101,4 +105,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_warc": op10_warc,
     "op11_source_divergence": op11_source_divergence,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_packing": op13_packing,
 }
