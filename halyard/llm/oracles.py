@@ -15,12 +15,13 @@ def _case(value: str) -> str:
 
 
 LOWER = "translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-HOST = r"coalesce(regexp_extract(url, '(?s)\A.*?://([^/?#]*)', 1), '')"
+#: The url after its first ://, the query and the fragment cut off by position.
+REST = "CASE WHEN strpos(coalesce(url, ''), '://') > 0 THEN split_part(split_part(url[strpos(url, '://') + 3:], '?', 1), '#', 1) ELSE '' END"
 HREF = r"""(?i)href\s*=\s*["'']?\s*(?:https?:)?//([^/?#"''>\s]+)"""
 
 URL_FILTERS = rf"""WITH RECURSIVE parsed AS (
-  SELECT page_id, html, {LOWER.format(x=HOST)} AS host,
-    coalesce(regexp_extract(url, '(?s)\A.*?://[^/?#]*(/[^?#]*)', 1), '') AS path FROM pages
+  SELECT page_id, html, {LOWER.format(x="split_part(rest, '/', 1)")} AS host, rest[length(split_part(rest, '/', 1)) + 1:] AS path
+  FROM (SELECT *, {REST} AS rest FROM pages)
 ), judged AS (SELECT *, {_case('rule')} AS rule, {_case('verdict')} AS said FROM parsed
 ), seeds AS (
   SELECT host, avg(CASE WHEN said = 'allow' THEN 1.0::DOUBLE ELSE 0 END) AS trust, avg(CASE WHEN said = 'block' THEN 1.0::DOUBLE ELSE 0 END) AS distrust

@@ -40,12 +40,20 @@ class Rule:
         return self.host + self.path
 
 
+def _authority_and_path(url: Column) -> Column:
+    """What follows the first ``://``, up to the first ? or #; empty without ``://``."""
+    at = F.instr(url, "://")
+    rest = F.when(at > 0, F.substr(url, at + 3))
+    return F.coalesce(F.substring_index(F.substring_index(rest, "?", 1), "#", 1), F.lit(""))
+
+
 def host_of(url: Column) -> Column:
-    return lower_ascii(F.coalesce(F.regexp_extract(url, r"(?s)\A.*?://([^/?#]*)", 1), F.lit("")))
+    return lower_ascii(F.substring_index(_authority_and_path(url), "/", 1))
 
 
 def path_of(url: Column) -> Column:
-    return F.coalesce(F.regexp_extract(url, r"(?s)\A.*?://[^/?#]*(/[^?#]*)", 1), F.lit(""))
+    whole = _authority_and_path(url)
+    return F.substr(whole, F.char_length(F.substring_index(whole, "/", 1)) + 1)
 
 
 def _fits(rule: Rule, host: Column, path: Column) -> Column:
