@@ -72,14 +72,15 @@ def unpack(data: bytes) -> np.ndarray:
 
 def shrink(counts: np.ndarray) -> bytes:
     """Counts in a byte each, those of 255 and more behind them in full, compressed."""
-    most = counts[counts >= 255].astype("<u4").tobytes()
+    most = counts[counts >= 255].astype("<u8").tobytes()
     return len(counts).to_bytes(4, "little") + zlib.compress(np.minimum(counts, 255).astype(np.uint8).tobytes() + most, 5)
 
 
 def grow(data: bytes) -> np.ndarray:
     n, plain = int.from_bytes(data[:4], "little"), zlib.decompress(data[4:])
-    out = np.frombuffer(plain, np.uint8, count=n).astype(np.uint32)
-    out[out == 255] = np.frombuffer(plain, "<u4", offset=n)
+    small, most = np.frombuffer(plain, np.uint8, count=n), np.frombuffer(plain, "<u8", offset=n)
+    out = small.astype(np.uint64 if most.max(initial=0) >> 32 else np.uint32)
+    out[small == 255] = most
     return out
 
 
@@ -268,8 +269,8 @@ def _answers(every: int):
         sizes = np.array([len(k) for k in keys])
         distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
         held = np.repeat(block % every == 0, sizes)
-        total = np.bincount(at, weights=counts).astype(np.uint32)
-        deleted = total - np.bincount(at, weights=counts * held).astype(np.uint32)
+        total = np.bincount(at, weights=counts).astype(np.uint64)
+        deleted = total - np.bincount(at, weights=counts * held).astype(np.uint64)
         sums = [0, 0, 0, 0]
         if order == 1:
             real = distinct != BEGIN

@@ -24,6 +24,19 @@ def test_packed_keys():
 def test_packed_counts():
     for counts in ([], [0, 1, 254, 255, 256, 2**32 - 1, 3], [255]):
         assert L.grow(L.shrink(np.array(counts, np.uint32))).tolist() == counts
+    big = [2**32, 0, 6 * 10**9, 255, 7, 2**50]
+    assert L.grow(L.shrink(np.array(big, np.uint64))).tolist() == big
+
+
+def test_totals_beyond_32_bits():
+    import pyarrow as pa
+
+    keys, counts = L.pack(np.array([5, 9], np.uint64)), L.shrink(np.array([3_000_000_000, 4], np.uint32))
+    cells = pa.table({"ord": pa.array([1] * 3, pa.int32()), "shard": pa.array([0] * 3, pa.int32()), "block": pa.array([0, 1, 2], pa.int32()), "keys": [keys] * 3, "counts": [counts] * 3})
+    got = L._answers(8)(cells).to_pydict()
+    assert [L.grow(x).tolist() for x in got["totals"]] == [[9_000_000_000, 12]] * 3
+    assert L.grow(got["deleted"][0]).tolist() == [6_000_000_000, 8] and got["deleted"][1:] == [None, None]
+    assert (sum(got["n"]), sum(got["v"]), sum(got["dn"]), sum(got["dv"])) == (9_000_000_012, 2, 6_000_000_008, 2)
 
 
 @pytest.mark.parametrize("order", [1, 2, 3])
