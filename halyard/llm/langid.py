@@ -218,11 +218,13 @@ def sample_windows(
 ) -> list[tuple[str, bytes]]:
     """Windows of at most docs_per_label distinct rows of each lang, those with the smallest hashes of doc_id and text.
 
-    A share by hash, three times as many as wanted, is cut out before rows are
-    ranked, so that what meets of a language is bounded too.
+    A share of the distinct rows by hash, three times as many as wanted, is cut
+    out before rows are ranked, so that what meets of a language is bounded too.
+    Rows that repeat don't count, or a language of few rows repeated often would
+    have no share; the number of distinct rows is estimated within some 5 %.
     """
-    rows = labelled.filter("lang is not null and text is not null")
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).collect()
+    rows = labelled.filter("lang is not null and text is not null").select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()
     if not counts:
         return []
     pairs = [F.lit(x) for r in counts for x in (r["lang"], min(1.0, 3.0 * docs_per_label / r["n"]))]
@@ -231,9 +233,9 @@ def sample_windows(
         F.substring(F.col("text"), (F.pmod(F.xxhash64("h", F.lit(j)), room) + 1).cast("int"), F.lit(width))
         for j in range(windows)
     ]
-    share = F.pmod(F.col("h"), F.lit(1_000_000)) / 1_000_000
+    share = F.pmod(F.col("h"), F.lit(1 << 50)) / (1 << 50)
     few = (
-        rows.select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
+        rows
         .filter(share < F.element_at(F.create_map(*pairs), F.col("lang"))).select("lang", "h", F.array(*cuts).alias("w"))
         .groupBy("lang", "h").agg(F.first("w").alias("w"))
     )

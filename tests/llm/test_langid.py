@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from halyard.llm import langid
 
@@ -81,3 +82,14 @@ def test_sample_is_bounded(spark):
     assert 0 < counts["a"] <= 200 and counts["b"] == 200
     assert sum(w == b"all the same" for _, w in taken) in (0, 4)
     assert taken == langid.sample_windows(many.unionByName(same), docs_per_label=50)
+
+
+def test_a_language_of_rows_that_repeat_is_learned(spark):
+    few = spark.range(40).selectExpr("id AS doc_id", "concat('zu pa li ', id % 7, ' ko mu ta zu li') AS text", "'xx' AS lang")
+    few = few.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(2000)))).drop("k")
+    more = spark.range(3000).selectExpr("1000 + id AS doc_id", "concat('the and of that ', id, ' with this') AS text", "'yy' AS lang")
+    docs = few.unionByName(more)
+    taken = langid.sample_windows(docs, docs_per_label=100)
+    assert sum(lang == "xx" for lang, _ in taken) == 160 and sum(lang == "yy" for lang, _ in taken) == 400
+    got = langid.predict(docs, steps=120).dropDuplicates(["doc_id", "lang_pred"]).collect()
+    assert {(r["doc_id"] < 1000, r["lang_pred"]) for r in got} == {(True, "xx"), (False, "yy")}
