@@ -11,6 +11,8 @@ writes in many layouts, bare ones among them.
 A class or id is judged as a whole: "cookie-banner" is a notice, "has-sidebar"
 and "tag-news" say nothing. What html and body are called says nothing either,
 and main and article elements are no part of a menu, header or footer around them.
+A form, widget or message that holds most of the page's text is no chrome but a
+wrapper of the page, and counts for nothing, unless an article stands outside it.
 Parsing takes time in proportion to the page, whatever is left unclosed.
 
 Defined results
@@ -82,11 +84,15 @@ WORD_OF = {w: kind for kind, words in WORDS.items() for w in words.split()}
 STATES = frozenset("has with no without is not show hide hidden tag category author date type format status layout js wp".split())
 #: Kinds of chrome that hold no main or article element.
 OUTER = frozenset(f"class:{k}" for k in ("menu", "top", "foot", "notice", "form", "share"))
+#: Kinds that an element around most of a page's text is not of, whatever it is called, and how much most is.
+WRAPPED = frozenset("menu top foot side ad notice share form".split())
+MOST_TEXT, MOST_OF_FORM = 0.8, 0.6
 LEXICON = re.compile(
     r"©|\(c\)|copyright|all rights|cookie|subscrib|newsletter|sign (?:in|up)|log ?in|privacy|terms of|advert|sponsored|"
     r"comments?\b|repl(?:y|ies)|share|follow us|read more|click here", re.I,
 )
-TEXT_FEATURES = 26
+RIGHTS = re.compile(r"^\W*(?:©|\(c\)|copyright\b)|all rights reserved", re.I)
+TEXT_FEATURES = 29
 LABEL_MARK = "\ue001"
 
 
@@ -96,6 +102,7 @@ class Leaf:
     path: int  # number of the set of ancestor features
     links: int  # characters inside links
     leaf: str  # the innermost block element
+    around: tuple[tuple[int, bool], ...] = ()  # elements that look like chrome around it: number, whether a form
 
 
 def class_kind(name: str) -> str | None:
@@ -167,18 +174,21 @@ class Parser:
     def __init__(self):
         self.sets: list[frozenset[str]] = [frozenset()]
         self.number: dict[frozenset[str], int] = {self.sets[0]: 0}
-        self.next: dict[tuple[int, str, str], tuple[int, bool]] = {}
+        self.next: dict[tuple[int, str, str, bool], tuple[int, bool, bool]] = {}
 
-    def _enter(self, parent: int, tag: str, attrs: str) -> tuple[int, bool]:
-        key = (parent, tag, attrs)
+    def _enter(self, parent: int, tag: str, attrs: str, wrapper: bool) -> tuple[int, bool, bool]:
+        """The set of features inside an element, whether it is hidden and whether it looks like chrome; a wrapper doesn't."""
+        key = (parent, tag, attrs, wrapper)
         if (known := self.next.get(key)) is not None:
             return known
-        new, hidden = set(self.sets[parent]), False
+        new, hidden, kinds = set(self.sets[parent]), False, set()
         if tag == "main":
             new = {x for x in new if not x.startswith("class:") or x == "class:content"}
         elif tag == "article":
             new -= OUTER
-        if tag in TAGS:
+        if tag == "form":
+            kinds.add("form")
+        if tag in TAGS and not (wrapper and tag == "form"):
             new.add("in:" + tag)
         for name, *values in ATTRIBUTE.findall(attrs):
             value, name = "".join(values), name.lower()
@@ -187,19 +197,43 @@ class Parser:
             elif name == "style":
                 hidden = hidden or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value.lower()))
             elif name != "aria-hidden" and tag not in ("html", "body"):
-                new.update(f"class:{kind}" for kind in map(class_kind, value.split()) if kind)
+                own = {kind for kind in map(class_kind, value.split()) if kind}
+                kinds |= own
+                new.update(f"class:{kind}" for kind in (own - WRAPPED if wrapper else own))
         fixed = frozenset(new)
         if fixed not in self.number:
             self.number[fixed] = len(self.sets)
             self.sets.append(fixed)
         if len(self.next) > 200_000:
             self.next.clear()
-        self.next[key] = self.number[fixed], hidden
+        self.next[key] = self.number[fixed], hidden, bool(kinds & WRAPPED)
         return self.next[key]
 
     def leaves(self, page: str) -> list[Leaf]:
+        """The page's blocks; a page with wrappers is cut again with them known."""
+        out = self._cut(page, frozenset())
+        wide = self._wrappers(out)
+        return self._cut(page, wide) if wide else out
+
+    def _wrappers(self, leaves: list[Leaf]) -> frozenset[int]:
+        """Numbers of the elements that look like chrome and hold most of the page's text, and no article or content stands outside."""
+        mass: dict[tuple[int, bool], int] = defaultdict(int)
+        total, good = 0, []
+        for b in leaves:
+            plain = len(b.text) - b.links
+            total += plain
+            for x in b.around:
+                mass[x] += plain
+            names = self.sets[b.path]
+            if holds_text(names) or not b.around and "class:content" in names and not names & ASIDES:
+                good.append(b)
+        large = {x for x, m in mass.items() if m >= (MOST_OF_FORM if x[1] else MOST_TEXT) * total}
+        return frozenset(x[0] for x in large if all(x in b.around for b in good)) if large else frozenset()
+
+    def _cut(self, page: str, wide: frozenset[int]) -> list[Leaf]:
         out: list[Leaf] = []
-        stack: list[tuple[str, int, bool, str]] = [("", 0, False, "")]  # tag, set, hidden, innermost block
+        stack: list[tuple] = [("", 0, False, "", ())]  # tag, set, hidden, innermost block, chrome around
+        number = 0
         where: dict[str, list[int]] = defaultdict(list)  # places in the stack of each tag
         scopes: list[int] = [0]
         parts: list[str] = []
@@ -212,9 +246,9 @@ class Parser:
             if parts:
                 raw = "".join(parts)
                 text = " ".join((html.unescape(raw) if "&" in raw else raw).split())
-                _, path, hidden, leaf = stack[-1]
+                _, path, hidden, leaf, around = stack[-1]
                 if text and not hidden:
-                    out.append(Leaf(text, path, min(links, len(text)), leaf))
+                    out.append(Leaf(text, path, min(links, len(text)), leaf, around))
                 parts.clear()
             links = 0
 
@@ -279,18 +313,21 @@ class Parser:
                 parts.append(" ")
             if tag in VOID or attrs.rstrip().endswith("/") and tag not in BLOCK:
                 continue
-            _, path, hidden, leaf = stack[-1]
-            path, own = self._enter(path, tag, attrs if "=" in attrs or "hidden" in attrs else "")
+            _, path, hidden, leaf, around = stack[-1]
+            number += 1
+            path, own, chrome = self._enter(path, tag, attrs if "=" in attrs or "hidden" in attrs else "", number in wide)
+            if chrome and number not in wide:
+                around = (*around, (number, tag == "form"))
             where[tag].append(len(stack))
             if tag in SCOPE:
                 scopes.append(len(stack))
-            stack.append((tag, path, hidden or own, tag if tag in BLOCK else leaf))
+            stack.append((tag, path, hidden or own, tag if tag in BLOCK else leaf, around))
         flush()
         return out
 
 
-def text_features(leaf: Leaf, first: bool, last: bool, page: int = 0) -> list[int]:
-    """Numbers, below TEXT_FEATURES, of the features that the block's own text has."""
+def text_features(leaf: Leaf, first: bool, last: bool, page: int = 0, beside: tuple[bool, bool] = (False, False)) -> list[int]:
+    """Numbers, below TEXT_FEATURES, of the features that the block's own text has; beside: whether the block before and after is links."""
     text, n = leaf.text, len(leaf.text)
     words = text.count(" ") + 1
     share = leaf.links / n
@@ -326,6 +363,9 @@ def text_features(leaf: Leaf, first: bool, last: bool, page: int = 0) -> list[in
         f.append(23)
     if page:
         f.append(23 + page)
+    if n < 300 and RIGHTS.search(text):
+        f.append(26)
+    f += [27 + k for k, links in enumerate(beside) if links]
     return f
 
 
@@ -345,7 +385,11 @@ def standing(sets: list[frozenset[str]], leaves: list[Leaf]) -> list[int]:
 def page_features(sets: list[frozenset[str]], leaves: list[Leaf]) -> list[list[int]]:
     """Text features of each block of a page."""
     last = len(leaves) - 1
-    return [text_features(b, t == 0, t == last, where) for t, (b, where) in enumerate(zip(leaves, standing(sets, leaves), strict=True))]
+    links = [False, *(b.links > 0.8 * len(b.text) for b in leaves), False]
+    return [
+        text_features(b, t == 0, t == last, where, (links[t], links[t + 2]))
+        for t, (b, where) in enumerate(zip(leaves, standing(sets, leaves), strict=True))
+    ]
 
 
 #: What an article element may stand in, or be, without holding the page's text.
@@ -527,7 +571,8 @@ def labelled_page(rng: np.random.Generator) -> str:
 
     def side() -> str:
         inner = pick(f"<h3>{words(2)}</h3><ul>{links(4)}</ul>", f"<p>{prose()}</p>", f"<h4>{words(2)}</h4><p>{prose()}</p>")
-        return pick(f"<aside{maybe(0.5, ' class=\"sidebar\"')}>{inner}</aside>", f'<div class="{pick("sidebar", "widget", "related")}">{inner}</div>')
+        bare = f"<div><h{(h := rng.integers(2, 5))}>{pick(words(1), 'Related', 'Read more')}</h{h}><ul>{links(int(rng.integers(2, 6)))}</ul></div>"
+        return pick(f"<aside{maybe(0.5, ' class=\"sidebar\"')}>{inner}</aside>", f'<div class="{pick("sidebar", "widget", "related")}">{inner}</div>', bare)
 
     def form() -> str:
         return f'<form>{maybe(0.6, "<p>" + sentence() + "</p>")}<label>{words(1)}</label><input name="q">{maybe(0.5, "<p>" + prose() + "</p>")}<button>{words(1)}</button></form>'
@@ -564,13 +609,14 @@ def labelled_page(rng: np.random.Generator) -> str:
         text = f"<div>{text}</div>"
     teaser = lambda: f'<section class="related">{"".join(f"<article><h3>{link(words(3))}</h3><p>{sentence()}</p></article>" for _ in range(2))}</section>'
     text = pick(text, text, f'<div class="{pick("wrapper", "site-main has-sidebar", "container with-ads", "row no-comments")}">{text}{maybe(0.3, side())}</div>')
-    nav = pick(f"<nav><ul>{links(5)}</ul></nav>", f"<nav>{link(words(1))} | {link(words(1))}</nav>", f'<ul class="menu">{links(5)}</ul>', f'<div id="nav"><ul>{links(4)}</ul></div>')
+    nav = pick(f"<nav><ul>{links(5)}</ul></nav>", f"<nav>{link(words(1))} | {link(words(1))}</nav>", f'<ul class="menu">{links(5)}</ul>', f'<div id="nav"><ul>{links(4)}</ul></div>', f"<table><tr><td>{link(words(1))} {link(words(1))} {link(words(1))}</td></tr></table>")
     top = pick("", "", f"<header>{maybe(0.5, '<h1>' + words(2) + '</h1>')}<p>{sentence()}</p></header>", f"<header>{nav}</header>", f'<div class="header">{words(3)}</div>')
     before = [x for x, chance in ((advert, 0.4), (notice, 0.2), (side, 0.2), (form, 0.15)) if rng.random() < chance]
     after = [x for x, chance in ((talk, 0.35), (teaser, 0.08), (side, 0.3), (advert, 0.25), (form, 0.2), (notice, 0.15)) if rng.random() < chance]
     foot = pick(
         f"<footer>&copy; {words(1)} &middot; {sentence()}</footer>", f"<footer><p>{prose()}</p><ul>{links(3)}</ul></footer>",
         f'<div class="footer">{sentence()}</div>', f"<footer>{prose()}</footer>", "",
+        f'<div{maybe(0.5, f" class=\"css-{rng.integers(99)}\"")}>{pick("&copy;", "Copyright", "(c)")} {rng.integers(1990, 2030)} {words(2)}. {pick("All rights reserved.", "Privacy, terms of use.", words(2))}</div>',
     )
     return (
         f"<!DOCTYPE html><html><head><title>{title}</title><style>p{{}}</style></head><body>"

@@ -58,6 +58,32 @@ def test_ordinary_layouts(extractor, page, count):
     assert extractor.text(page) == "\n\n".join([PARAGRAPH] * count)
 
 
+#: Layouts that no generator writes, labelled by hand: the page around three paragraphs, and whether just these are found.
+BY_HAND = {
+    "whole-page form, content class": (f'<form id="aspnetForm">{NAV}<div class="content">{P * 3}</div>{FOOT}</form>', True),
+    "whole-page form": (f'<form id="form1">{NAV}<div>{P * 3}</div>{FOOT}</form>', True),
+    "article in a form": (f"<form>{NAV}<article>{P * 3}</article>{FOOT}</form>", True),
+    "main in a form": (f"<form>{NAV}<main>{P * 3}</main>{FOOT}</form>", True),
+    "widget area": (f'{NAV}<div class="widget-area"><div class="elementor-widget-text">{P * 3}</div></div>{FOOT}', True),
+    "widget of the post": (f'{NAV}<div class="elementor-widget elementor-widget-theme-post-content">{P * 3}</div>{FOOT}', True),
+    "message": (f'{NAV}<div class="message-body">{P * 3}</div>{FOOT}', True),
+    "id top": (f'<div id="top">{NAV}{P * 3}{FOOT}</div>', True),
+    "footer of an unknown class": (f'{NAV}<div>{P * 3}</div><div class="css-12">&copy; 2020 Someone. All rights reserved.</div>', True),
+    "search form": (f"{NAV}<form><input><button>Go</button></form><div>{P * 3}</div>{FOOT}", True),
+    "long notice": (f'{NAV}<article>{P * 3}</article><div class="cookie-notice">{"<p>We use cookies to make this better, as all do.</p>" * 12}</div>', True),
+    "long comments": (f'{NAV}<div class="post">{P * 3}</div><div id="comments">{"<p>I do not agree with that, not at all.</p>" * 30}</div>', True),
+    "message in a thread": (f'{NAV}<div class="thread"><div class="message">{P * 3}</div></div>{FOOT}', False),  # as comments
+    "menu in a cell": (f'<table><tr><td><a href="/">Home</a> <a href="/n">News</a></td><td>{P * 3}</td></tr></table>', False),
+    "bare list of links": (f'{NAV}<div>{P * 3}</div><div><h3>Related</h3><ul><li><a href="/">One more story</a></li><li><a href="/">Another</a></li></ul></div>', False),
+}
+
+
+def test_pages_labelled_by_hand(extractor):
+    found = {k: extractor.text(f"<html><body>{page}</body></html>") == "\n\n".join([PARAGRAPH] * 3) for k, (page, _) in BY_HAND.items()}
+    assert not [k for k, (_, right) in BY_HAND.items() if right and not found[k]]
+    assert sum(found.values()) >= 12
+
+
 def test_page_of_two_words(extractor):
     assert extractor.text("<body><p>Hi there.</p></body>") == "Hi there."
 
