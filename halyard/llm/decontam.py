@@ -22,7 +22,8 @@ Defined results
     null or empty text: no windows; items shorter than a window: matched whole
     if they have three words or placeholders or more, else never; repeated rows:
     reported once a doc_id and item_id, by the best match; null item_id: one of
-    its own; null doc_id: never reported, and kept by ``drop_contaminated``;
+    its own; null doc_id: never reported, and kept by ``drop_contaminated`` unless
+    told otherwise;
     ties: the match that begins first; very long texts: whole; empty tables: no
     rows; further columns: left out by ``find_contaminated``, kept by
     ``drop_contaminated``.
@@ -330,9 +331,9 @@ def find_contaminated(
 
 
 def drop_contaminated(
-    docs: DataFrame, benchmark: DataFrame, window: int = 5, coverage: float = 0.8, slots: float = 0.8
+    docs: DataFrame, benchmark: DataFrame, window: int = 5, coverage: float = 0.8, slots: float = 0.8, keep_without_id: bool = True
 ) -> DataFrame:
-    """docs without the contaminated ones; no row moves."""
+    """docs without the contaminated ones; no row moves. Rows without doc_id can't be reported and stay, unless they are to go as well."""
     name, place = docs.columns.index("doc_id"), docs.columns.index("text")
     for index in _indexes(benchmark, window):
 
@@ -340,7 +341,7 @@ def drop_contaminated(
             made = Templates()
             for batch in batches:
                 clean = [
-                    doc_id is None or not matches(index, made, text or "", window, coverage, slots)
+                    doc_id is None and keep_without_id or not matches(index, made, text or "", window, coverage, slots)
                     for doc_id, text in zip(batch.column(name).to_pylist(), batch.column(place).to_pylist(), strict=True)
                 ]
                 yield batch.filter(pa.array(clean, pa.bool_()))

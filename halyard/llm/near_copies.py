@@ -13,7 +13,9 @@ Defined results
     null, empty or blank text: the empty set, like any other such; fewer words
     than a shingle: one shingle of all; rows that share a doc_id: dropped only
     where linked by text, like any others; equal rows: one stays; no doc_id:
-    stays; empty table: no rows; further columns: kept.
+    dropped as a copy of any row with one, among themselves one text stays;
+    neither doc_id nor text: stays; empty table: no rows; very long texts:
+    whole; further columns, whatever their names: kept.
 """
 
 from __future__ import annotations
@@ -71,26 +73,43 @@ def linked(sets: list[np.ndarray]) -> np.ndarray:
     return label
 
 
+def _key(docs: DataFrame) -> list:
+    """What rows are told apart by, those without doc_id last: no_id, doc_id, version (the text's hash)."""
+    return [
+        F.col("doc_id").isNull().alias("no_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"),
+        F.xxhash64("text").alias("version"),
+    ]
+
+
+KEY = ["no_id", "doc_id", "version"]
+
+
+def _free_name(docs: DataFrame, name: str) -> str:
+    """The name, lengthened until no column of docs has it."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def _prints(docs: DataFrame, k: int, words: int) -> DataFrame:
-    """doc_id, version (hash of the text), node (hash of the set), n, the set of a short text, signature words."""
+    """no_id, doc_id, version, node (hash of the set), n, the set of a short text, signature words."""
     names = [f"f{w}" for w in range(words)]
     most = SHORT * LEAST[1] // LEAST[0]
 
     def run(batches):
         for batch in batches:
-            sets = [shingle_set(t.as_py() or b"", k) for t in batch.column(2)]
+            sets = [shingle_set(t.as_py() or b"", k) for t in batch.column(3)]
             node = pa.array([xxh64_intdigest(s.tobytes()) for s in sets], pa.uint64()).to_numpy(zero_copy_only=False).astype(np.int64)
             short = [s.tobytes() if len(s) <= most else None for s in sets]
             cols = np.array([set_signature(s, words) for s in sets], dtype=np.uint64).reshape(len(sets), words).astype(np.int64).T
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(node), pa.array([len(s) for s in sets], pa.int64()), pa.array(short, pa.binary()), *map(pa.array, cols)],
-                ["doc_id", "version", "node", "n", "short", *names],
+                [*batch.columns[:3], pa.array(node), pa.array([len(s) for s in sets], pa.int64()), pa.array(short, pa.binary()), *map(pa.array, cols)],
+                [*KEY, "node", "n", "short", *names],
             )
 
-    schema = "doc_id long, version long, node long, n long, short binary, " + ", ".join(f"{x} long" for x in names)
-    texts = docs.filter("doc_id is not null").select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), F.col("text").cast("binary").alias("text")
-    )
+    schema = "no_id boolean, doc_id long, version long, node long, n long, short binary, " + ", ".join(f"{x} long" for x in names)
+    texts = docs.filter("doc_id is not null or text is not null").select(*_key(docs), F.col("text").cast("binary").alias("text"))
     return texts.mapInArrow(run, schema)
 
 
@@ -124,9 +143,9 @@ def _member_rows(docs: DataFrame, classes: DataFrame, candidates: DataFrame, k:
             )
 
     first = candidates.join(classes.select("node", "kept"), "node")
-    first = first.select("node", F.col("component").alias("bunch"), F.col("kept.doc_id").alias("doc_id"), F.col("kept.version").alias("version"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), F.col("text").cast("binary").alias("text"))
-    rows = texts.join(first, ["doc_id", "version"]).select("bunch", "node", "text")
+    first = first.select("node", F.col("component").alias("bunch"), "kept.*")
+    texts = docs.select(*_key(docs), F.col("text").cast("binary").alias("text"))
+    rows = texts.join(first, KEY).select("bunch", "node", "text")
     return rows.mapInArrow(run, "bunch long, node long, n long, shingles binary")
 
 
@@ -175,13 +194,14 @@ def drop_near_copies(docs: DataFrame, k: int = 5, words: int = 8, **how) -> Data
     names = [f"f{w}" for w in range(words)]
     prints = _prints(docs, k, words)
     classes = checkpointed(prints.groupBy("node").agg(
-        F.min(F.struct("doc_id", "version")).alias("kept"), F.min("n").alias("n"), F.min("short").alias("short"), *(F.min(x).alias(x) for x in names)
+        F.min(F.struct(*KEY)).alias("kept"), F.min("n").alias("n"), F.min("short").alias("short"), *(F.min(x).alias(x) for x in names)
     ))
     candidates = connected_components(link_signatures(classes.filter(F.col("n") >= SHORT).select("node", *names), words, **how))
     rows = checkpointed(_member_rows(docs, classes, candidates, k).unionByName(_short_rows(classes)))
     found = connected_components(_alike(rows))
     keep = classes.select("node", "kept").join(found, "node", "left").groupBy(F.coalesce("component", "node").alias("c")).agg(F.min("kept").alias("kept"))
-    keep = keep.select(F.col("kept.doc_id").alias("_kept_id"), F.col("kept.version").alias("_version"))
-    marked = docs.withColumn("_kept_id", F.col("doc_id").cast("long")).withColumn("_version", F.xxhash64("text"))
-    kept = marked.join(keep, ["_kept_id", "_version"], "left_semi").dropDuplicates(["_kept_id", "_version"])
-    return kept.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    name = _free_name(docs, "near_copies_key")
+    keep = keep.select(F.col("kept").alias(name))
+    known = docs.filter("doc_id is not null or text is not null").withColumn(name, F.struct(*_key(docs)))
+    kept = known.join(keep, name, "left_semi").dropDuplicates([name])
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns)).unionByName(docs.filter("doc_id is null and text is null"))
