@@ -28,20 +28,22 @@ Defined results
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 END_ID = 1
 #: Distinct words whose ids a worker keeps, over all its tasks; longer words are encoded anew.
-CACHED_WORDS, CACHED_LENGTH = 500_000, 48
+CACHED_WORDS, CACHED_LENGTH = 400_000, 48
+#: Text encoded at a time.
+GROUP_BYTES = 4_000_000
 #: Tokens and examples that a task lets wait.
 POOL_TOKENS, POOL_EXAMPLES = 2_000_000, 1024
 #: sequence_id: the task's number and the sequence's number in it.
@@ -49,8 +51,10 @@ SEQUENCE_BITS = 40
 PACKED = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
 )
-#: White space of which the tokenizer makes more than a token's first blank: any but a lone blank or line feed between other characters.
-UNEVEN = re.compile(r"\A\s|\s\Z|\s\s|[^\S \n]|<\||\x00")
+#: White space, as the tokenizer sees it, other than the blank and the line feed.
+OTHER_SPACE = "\t\v\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: What a text has none of whose words can be encoded one by one.
+UNEVEN = ("  ", "\n\n", " \n", "\n ", "<|", *OTHER_SPACE)
 
 
 @lru_cache(maxsize=2)
@@ -60,13 +64,17 @@ def encoder_of(path: str) -> ByteEncoder:
 
 
 class ByteEncoder:
-    """Token ids of a text as little-endian 32-bit bytes.
+    """Token ids of texts as little-endian 32-bit bytes.
 
     The tokenizer splits before every lone blank and around every lone line
     feed before it joins anything, so a text's ids are those of its words, each
-    with the blank before it, and each distinct word is encoded once. A full
-    stop or comma between a letter and the end of a word is split off as well.
-    Texts with other white space or special tokens are encoded whole.
+    with the blank or line feed before it. Many texts are cut into words at a
+    time, and each distinct word is looked up once; words new to a worker are
+    encoded together and told apart by the tokens that begin with a blank or
+    line feed. A full stop or comma between a letter and the end of a word is
+    split off as well. Of the words known, those not met since the table last
+    filled up are forgotten when it fills up again. Texts with other white
+    space or special tokens are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -74,35 +82,69 @@ class ByteEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocab = self.tokenizer.get_vocab()
+        self.first = np.zeros(max(vocab.values()) + 1, bool)
+        self.first[[k for t, k in vocab.items() if t[0] in "\u0120\u010a"]] = True  # how byte-level vocabularies write blank and line feed
+        self.marks = {m: self._whole(m) for m in ".,"}
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
+
+    def _learn(self, words: list[str]) -> None:
+        """Words begin with a line feed, or else stand behind a blank."""
+        if not words:
+            return
+        data = self._whole("".join([w if w[0] == "\n" else " " + w for w in words]))
+        cuts = (4 * np.flatnonzero(self.first[np.frombuffer(data, "<u4")])).tolist()
+        cuts.append(len(data))
+        for w, a, b in zip(words, cuts[:-1], cuts[1:], strict=True):
+            self.known[w] = data[a:b]
+
+    def _look_up(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct words."""
+        found = list(map(self.known.get, words))
+        missing = [w for w, f in zip(words, found, strict=True) if f is None]
+        known, older = self.known, self.older
+        if older:
+            known.update((w, older.pop(w)) for w in missing if w in older)
+        based = [w for w in missing if w not in known and w[-1] in self.marks and w[-2:-1].isalpha()]
+        bases = {w[:-1] for w in based}
+        self._learn(list({w for w in (*bases, *set(missing).difference(based)) if w not in known}))
+        known.update((w, known[w[:-1]] + self.marks[w[-1]]) for w in based)
+        out = [known[w] if f is None else f for w, f in zip(words, found, strict=True)]
+        for w in (*missing, *bases):
+            if len(w) > CACHED_LENGTH:
+                known.pop(w, None)
+        return out
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, missing: set[str]) -> list[str]:
-        """Encode words; the overlong ones among them are returned."""
-        base = {w: w[:-1] for w in missing if w[-1] in ".," and w[-2:-1].isalpha()}
-        new = list(({base.get(w, w) for w in missing} | {".", ","}).difference(self.known))
-        self.known.update(zip(new, self._encode(new), strict=True))
-        for w, b in base.items():
-            self.known[w] = self.known[b] + self.known[w[-1]]
-        return [w for w in (*new, *base) if len(w) > CACHED_LENGTH]
-
-    def ids(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if UNEVEN.search(text):
-            return self._encode([text])[0]
-        words = text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00")
-        known, long = self.known, ()
-        if missing := set(words).difference(known):
-            if len(known) > CACHED_WORDS:
-                known.clear()
-                missing = set(words)
-            long = self._learn(missing)
-        out = b"".join(map(known.__getitem__, words))
-        for w in long:
-            known.pop(w, None)
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text."""
+        if len(self.known) > CACHED_WORDS:
+            self.older, self.known = self.known, {}
+        out: list = [None] * len(texts)
+        even: list[int] = []
+        for k, t in enumerate(texts):
+            if not t or t[0].isspace() or t[-1].isspace() or any(map(t.__contains__, UNEVEN)):
+                out[k] = self._whole(t) if t else b""
+            else:
+                even.append(k)
+        if not even:
+            return out
+        joined = "".join(["\n" + texts[k] for k in even]).replace("\n", " \n")
+        coded = pc.split_pattern(pa.array([joined], pa.large_string()), " ").flatten()[1:].dictionary_encode()
+        index = coded.indices.to_numpy()
+        tokens = self._look_up(coded.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, tokens), np.int64, len(tokens)) // 4
+        table = np.frombuffer(b"".join(tokens), "<u4")
+        starts, own = (np.cumsum(sizes) - sizes)[index], sizes[index]
+        ends = np.cumsum(own)
+        data = table[np.repeat(starts - ends + own, own) + np.arange(ends[-1])].tobytes()
+        words = np.cumsum([texts[k].count(" ") + texts[k].count("\n") + 1 for k in even])
+        upto = (4 * ends[words - 1]).tolist()
+        for k, a, b in zip(even, [0, *upto[:-1]], upto, strict=True):
+            out[k] = data[a + 4 : b]  # without the line feed put before it
         return out
 
 
@@ -185,6 +227,22 @@ class Pool:
         return pieces
 
 
+def encoded(encoder: ByteEncoder, batch: pa.RecordBatch) -> Iterator[tuple]:
+    """doc_id, ids of the prompt and of the text of each row, encoded so much text at a time."""
+    at = size = 0
+    lengths = [len(t.as_buffer() or b"") + len(p.as_buffer() or b"") for t, p in zip(batch.column(1), batch.column(2), strict=True)]
+    for k, n in enumerate(lengths):
+        size += n
+        if size < GROUP_BYTES and k + 1 < len(lengths):
+            continue
+        part = batch.slice(at, k + 1 - at)
+        texts, prompts = ([(x or b"").decode("utf-8", "replace") for x in part.column(c).to_pylist()] for c in (1, 2))
+        own = encoder.ids(texts + [p for p in prompts if p])
+        before = iter(own[len(texts) :])
+        yield from zip(part.column(0).to_pylist(), (next(before) if p else b"" for p in prompts), own, strict=False)
+        at, size = k + 1, 0
+
+
 def pack_examples(
     docs: DataFrame, vocab_path: str, capacity: int = 2048, max_segments: int = 16, max_loss: int | None = None,
     weights: tuple[float, float, float] = (1.0, 0.1, 1.0),
@@ -210,9 +268,8 @@ def pack_examples(
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], [x.split()[0] for x in PACKED.split(", ")])
 
         for batch in batches:
-            for doc_id, text, prompt in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                before = encoder.ids((prompt.as_py() or b"").decode("utf-8", "replace"))
-                pool.add(doc_id, before + encoder.ids((text.as_py() or b"").decode("utf-8", "replace")) + end, len(before) // 4)
+            for doc_id, before, ids in encoded(encoder, batch):
+                pool.add(doc_id, before + ids + end, len(before) // 4)
                 if pool.tokens > POOL_TOKENS or len(pool) > POOL_EXAMPLES:
                     yield rows(POOL_TOKENS // 4, POOL_EXAMPLES // 4)
         yield rows()
