@@ -40,10 +40,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 END_ID = 1
-#: Distinct words whose ids a worker keeps, over all its tasks; longer words are encoded anew.
-CACHED_WORDS, CACHED_LENGTH = 400_000, 48
+#: Distinct words whose ids a worker keeps, over all its tasks; words of more bytes are encoded anew.
+CACHED_WORDS, CACHED_LENGTH = 800_000, 96
 #: Text encoded at a time.
-GROUP_BYTES = 4_000_000
+GROUP_BYTES = 12_000_000
 #: Tokens and examples that a task lets wait.
 POOL_TOKENS, POOL_EXAMPLES = 2_000_000, 1024
 #: sequence_id: the task's number and the sequence's number in it.
@@ -63,6 +63,12 @@ def encoder_of(path: str) -> ByteEncoder:
     return ByteEncoder(path)
 
 
+def _gathered(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The stretches of so many values that begin at the starts, one after the other."""
+    ends = np.cumsum(sizes)
+    return values[np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+
+
 class ByteEncoder:
     """Token ids of texts as little-endian 32-bit bytes.
 
@@ -72,8 +78,8 @@ class ByteEncoder:
     time, and each distinct word is looked up once; words new to a worker are
     encoded together and told apart by the tokens that begin with a blank or
     line feed. A full stop or comma between a letter and the end of a word is
-    split off as well. Of the words known, those not met since the table last
-    filled up are forgotten when it fills up again. Texts with other white
+    split off as well. When too many words are known, those of the last texts
+    are kept. Texts with other white
     space or special tokens are encoded whole.
     """
 
@@ -85,49 +91,59 @@ class ByteEncoder:
         vocab = self.tokenizer.get_vocab()
         self.first = np.zeros(max(vocab.values()) + 1, bool)
         self.first[[k for t, k in vocab.items() if t[0] in "\u0120\u010a"]] = True  # how byte-level vocabularies write blank and line feed
-        self.marks = {m: self._whole(m) for m in ".,"}
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.stop, self.comma = self._whole(".")[0], self._whole(",")[0]
+        self.known = pa.array([], pa.large_string())
+        self.tokens, self.sizes = np.zeros(0, "<u4"), np.zeros(0, np.int64)  # of the known words, one after the other
 
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, words: pa.Array) -> None:
         """Words begin with a line feed, or else stand behind a blank."""
-        if not words:
-            return
-        data = self._whole("".join([w if w[0] == "\n" else " " + w for w in words]))
-        cuts = (4 * np.flatnonzero(self.first[np.frombuffer(data, "<u4")])).tolist()
-        cuts.append(len(data))
-        for w, a, b in zip(words, cuts[:-1], cuts[1:], strict=True):
-            self.known[w] = data[a:b]
-
-    def _look_up(self, words: list[str]) -> list[bytes]:
-        """The ids of distinct words."""
-        found = list(map(self.known.get, words))
-        missing = [w for w, f in zip(words, found, strict=True) if f is None]
-        known, older = self.known, self.older
-        if older:
-            known.update((w, older.pop(w)) for w in missing if w in older)
-        based = [w for w in missing if w not in known and w[-1] in self.marks and w[-2:-1].isalpha()]
-        bases = {w[:-1] for w in based}
-        self._learn(list({w for w in (*bases, *set(missing).difference(based)) if w not in known}))
-        known.update((w, known[w[:-1]] + self.marks[w[-1]]) for w in based)
-        out = [known[w] if f is None else f for w, f in zip(words, found, strict=True)]
-        for w in (*missing, *bases):
-            if len(w) > CACHED_LENGTH:
-                known.pop(w, None)
-        return out
+        before = pc.if_else(pc.starts_with(words, "\n"), "", " ").cast(pa.large_string())
+        spaced = pc.binary_join_element_wise(before, words, pa.scalar("", pa.large_string()))
+        data = self._whole("".join(spaced.to_pylist()))
+        starts = np.flatnonzero(self.first[data])
+        if len(starts) != len(words):
+            raise ValueError("the vocabulary doesn't part words as it should")
+        self.known = pa.concat_arrays([self.known, words])
+        self.tokens = np.concatenate((self.tokens, data))
+        self.sizes = np.concatenate((self.sizes, np.diff(np.append(starts, len(data)))))
+
+    def _keep(self, at: np.ndarray) -> None:
+        """Forget all known words but those at the given places, and those that are too long."""
+        length = pc.binary_length(self.known.take(pa.array(at))).to_numpy()
+        at = at[length <= CACHED_LENGTH]
+        self.tokens = _gathered(self.tokens, (np.cumsum(self.sizes) - self.sizes)[at], self.sizes[at])
+        self.known, self.sizes = self.known.take(pa.array(at)), self.sizes[at]
+
+    def _look_up(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of distinct words, one after the other, and how many each has."""
+        marked = pc.match_substring_regex(words, r"\pL[.,]\z")
+        stems = pc.if_else(marked, pc.utf8_slice_codeunits(words, 0, -1), words).dictionary_encode()
+        at = pc.index_in(stems.dictionary, value_set=self.known)
+        if at.null_count:
+            new = stems.dictionary.filter(pc.is_null(at))
+            at = at.to_numpy(zero_copy_only=False)
+            at[np.isnan(at)] = len(self.known) + np.arange(len(new))
+            self._learn(new)
+        at = np.asarray(at).astype(np.int64)
+        starts = np.cumsum(self.sizes) - self.sizes
+        place, marked = at[stems.indices.to_numpy()], marked.to_numpy(zero_copy_only=False)
+        sizes = self.sizes[place] + marked
+        out = _gathered(np.append(self.tokens, np.uint32(0)), starts[place], sizes)  # a mark's place holds another token for now
+        out[np.cumsum(sizes)[marked] - 1] = np.where(pc.ends_with(words.filter(pa.array(marked)), ".").to_numpy(zero_copy_only=False), self.stop, self.comma)
+        if len(self.known) > CACHED_WORDS:
+            self._keep(np.sort(at))
+        return out, sizes
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
-        if len(self.known) > CACHED_WORDS:
-            self.older, self.known = self.known, {}
         out: list = [None] * len(texts)
         even: list[int] = []
         for k, t in enumerate(texts):
             if not t or t[0].isspace() or t[-1].isspace() or any(map(t.__contains__, UNEVEN)):
-                out[k] = self._whole(t) if t else b""
+                out[k] = self._whole(t).tobytes() if t else b""
             else:
                 even.append(k)
         if not even:
@@ -135,12 +151,9 @@ class ByteEncoder:
         joined = "".join(["\n" + texts[k] for k in even]).replace("\n", " \n")
         coded = pc.split_pattern(pa.array([joined], pa.large_string()), " ").flatten()[1:].dictionary_encode()
         index = coded.indices.to_numpy()
-        tokens = self._look_up(coded.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, tokens), np.int64, len(tokens)) // 4
-        table = np.frombuffer(b"".join(tokens), "<u4")
-        starts, own = (np.cumsum(sizes) - sizes)[index], sizes[index]
-        ends = np.cumsum(own)
-        data = table[np.repeat(starts - ends + own, own) + np.arange(ends[-1])].tobytes()
+        table, sizes = self._look_up(coded.dictionary)
+        own = sizes[index]
+        data, ends = _gathered(table, (np.cumsum(sizes) - sizes)[index], own).tobytes(), np.cumsum(own)
         words = np.cumsum([texts[k].count(" ") + texts[k].count("\n") + 1 for k in even])
         upto = (4 * ends[words - 1]).tolist()
         for k, a, b in zip(even, [0, *upto[:-1]], upto, strict=True):
