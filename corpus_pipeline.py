@@ -35,7 +35,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    return decontam.drop_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
+    return decontam.drop_contaminated(docs, read_table(spark, sf_dir, "benchmark"), keep_without_id=False)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
