@@ -65,3 +65,15 @@ def test_stages_on_nothing_and_on_nulls(spark):
         docs = spark.createDataFrame(data, SCHEMA)
         for _, stage in P.STAGES:
             assert stage(spark, docs, folder).count() == (0 if not data or stage is P.identify_language else len(data))
+
+
+def test_rows_without_doc_id_and_columns_that_clash(spark):
+    table, _ = rows()
+    text, leak = table[0][1], " ".join(f"w{k} x{k}" for k in range(200)) + " " + ITEM
+    docs = spark.createDataFrame([(0, text, 5, 7), (None, text, 6, 8), (None, "alone " + text[:400], 1, 1), (None, "alone " + text[:400], 2, 2), (None, leak, 3, 3)], "doc_id long, text string, _version int, near_copies_key int")
+    folder = fresh_path(spark, "pipeline-ids")
+    spark.createDataFrame([(1, ITEM)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    kept = P.drop_near_duplicates(spark, docs, folder)
+    assert kept.columns == docs.columns
+    assert sorted((str(r["doc_id"]), r["text"] == leak, r["_version"] == 5) for r in kept.collect()) == [("0", False, True), ("None", False, False), ("None", True, False)]
+    assert sorted((str(r["doc_id"]), r["text"] == leak) for r in P.decontaminate(spark, kept, folder).collect()) == [("0", False), ("None", False)]
