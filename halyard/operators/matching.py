@@ -76,20 +76,25 @@ def _first_and_rival(scored: Column) -> Column:
     )
 
 
-def decide(matches: DataFrame, preset: Preset) -> DataFrame:
-    """Add margin, required_margin, within, active, ambiguous, run_quality, near_miss and outcome."""
-    best, second, limit = F.col("best_distance"), F.col("second_distance"), preset.threshold
-    boost = F.when(best >= max(limit - 1, 0), 1).otherwise(0) if preset.boost_near_threshold else F.lit(0)
+def decide(matches: DataFrame, preset: Preset, threshold: Column | None = None, least_margin: Column | None = None) -> DataFrame:
+    """Add margin, required_margin, within, active, ambiguous, run_quality, near_miss and outcome.
+
+    Threshold and margin are the preset's, or those of each row where columns are given.
+    """
+    best, second = F.col("best_distance"), F.col("second_distance")
+    limit = F.lit(preset.threshold) if threshold is None else threshold
+    wanted = F.lit(preset.margin) if least_margin is None else least_margin
+    boost = F.when(best >= F.greatest(limit - 1, F.lit(0)), 1).otherwise(0) if preset.boost_near_threshold else F.lit(0)
     within = F.coalesce(best <= limit, F.lit(False))
     margin = second - best
-    enough = margin.isNull() | (margin >= F.lit(preset.margin) + boost)
+    enough = margin.isNull() | (margin >= wanted + boost)
     tie = F.coalesce(second == best, F.lit(False))
     active = within & enough & ~tie
     ambiguous = within & ~active
     return matches.select(
         *matches.columns,
         margin.alias("margin"),
-        (F.lit(preset.margin) + boost).alias("required_margin"),
+        (wanted + boost).alias("required_margin"),
         within.alias("within"),
         active.alias("active"),
         ambiguous.alias("ambiguous"),

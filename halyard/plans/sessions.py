@@ -74,12 +74,12 @@ SESSIONS = """RECURSIVE f AS (
   UNION ALL
   SELECT session_id, k, frame_id, event,
     CASE WHEN event IN ('confirmed', 'confirmed_instant') THEN best ELSE recognized END,
-    CASE WHEN event = 'candidate' THEN best WHEN event IN ('improving', 'blur_ignored') OR event = 'blur_rejected' AND blurs < 3 THEN candidate END,
-    CASE WHEN event = 'candidate' THEN runs WHEN event IN ('improving', 'blur_ignored') OR event = 'blur_rejected' AND blurs < 3 THEN run ELSE 0 END,
-    amb, amb_glare, CASE WHEN event IN ('blur_ignored', 'blur_rejected') THEN blurs ELSE 0 END,
-    CASE WHEN NOT checked THEN NULL WHEN event IN ('glare_rejected', 'lighting_rejected') THEN last_d ELSE d END, event = 'no_match' AND candidate IS NOT NULL
+    CASE WHEN event = 'candidate' THEN best WHEN event IN ('improving', 'blur_ignored', 'skipped') OR event = 'blur_rejected' AND blurs < 3 THEN candidate END,
+    CASE WHEN event = 'candidate' THEN runs WHEN event IN ('improving', 'blur_ignored', 'skipped') OR event = 'blur_rejected' AND blurs < 3 THEN run ELSE 0 END,
+    amb, amb_glare, CASE WHEN event IN ('blur_ignored', 'blur_rejected') THEN blurs WHEN event = 'skipped' THEN blurs - 1 ELSE 0 END,
+    CASE WHEN event = 'skipped' THEN last_d WHEN NOT checked THEN NULL WHEN event IN ('glare_rejected', 'lighting_rejected') THEN last_d ELSE d END, event = 'no_match' AND candidate IS NOT NULL
   FROM (
-    SELECT *, CASE
+    SELECT *, CASE WHEN {skip} THEN 'skipped'
       WHEN checked AND sharp < 85 THEN CASE WHEN last_d - d >= 4 THEN 'improving' WHEN blurs < 2 THEN 'blur_ignored' ELSE 'blur_rejected' END
       WHEN checked AND glare > most THEN 'glare_rejected' WHEN checked AND NOT light BETWEEN low AND high THEN 'lighting_rejected'
       WHEN active THEN CASE WHEN best = recognized THEN 'already_recognized' WHEN d <= 10 THEN 'confirmed_instant' WHEN runs >= 2 THEN 'confirmed' ELSE 'candidate' END
@@ -89,17 +89,27 @@ SESSIONS = """RECURSIVE f AS (
         least(greatest(20 + (greatest(0, (160 - amb) / 8) + amb_glare * 0.2::DOUBLE), 20), 40) AS most
       FROM (
         SELECT n.*, s.recognized, s.candidate, s.run, s.last_d, s.blur_run + 1 AS blurs, CASE WHEN n.best = s.candidate THEN s.run + 1 ELSE 1 END AS runs,
-          CASE WHEN NOT n.checked THEN s.amb WHEN s.amb IS NULL THEN n.light ELSE s.amb * 0.85::DOUBLE + n.light * 0.15::DOUBLE END AS amb,
-          CASE WHEN NOT n.checked THEN s.amb_glare WHEN s.amb_glare IS NULL THEN n.glare ELSE s.amb_glare * 0.85::DOUBLE + n.glare * 0.15::DOUBLE END AS amb_glare
+          CASE WHEN NOT n.checked OR {skip_n} THEN s.amb WHEN s.amb IS NULL THEN n.light ELSE s.amb * 0.85::DOUBLE + n.light * 0.15::DOUBLE END AS amb,
+          CASE WHEN NOT n.checked OR {skip_n} THEN s.amb_glare WHEN s.amb_glare IS NULL THEN n.glare ELSE s.amb_glare * 0.85::DOUBLE + n.glare * 0.15::DOUBLE END AS amb_glare
         FROM s JOIN frames n ON n.session_id = s.session_id AND n.k = s.k + 1)))
 ), decisions AS (
   SELECT f.session_id, f.frame_id, event, CASE WHEN event = 'blur_rejected' THEN 'motion-blur' WHEN event = 'glare_rejected' THEN 'glare' WHEN event = 'lighting_rejected' THEN 'poor-quality'
       WHEN event = 'no_match' THEN CASE WHEN within OR d <= 20 THEN 'collision' ELSE 'no-match' END END AS category,
-    best AS best_id, d AS best_distance, margin, within AND NOT active AS ambiguous, event IN ('already_recognized', 'confirmed', 'confirmed_instant', 'candidate', 'no_match') AS passed,
-    coalesce(passed AND d > 18 AND d <= 26, false) AS near_miss, checked AS quality_checked, NOT checked AS quality_bypassed, lost AS failed_attempt, recognized,
-    CASE WHEN checked THEN sharp END AS sharpness, CASE WHEN checked THEN glare END AS glare_percent, CASE WHEN checked THEN light END AS brightness, amb AS ambient_brightness, amb_glare AS ambient_glare
-  FROM s JOIN frames f ON f.session_id = s.session_id AND f.k = s.k
+    CASE WHEN seen THEN best END AS best_id, CASE WHEN seen THEN d END AS best_distance, CASE WHEN seen THEN margin END AS margin, seen AND within AND NOT active AS ambiguous,
+    event IN ('already_recognized', 'confirmed', 'confirmed_instant', 'candidate', 'no_match') AS passed, coalesce(passed AND d > 18 AND d <= 26, false) AS near_miss,
+    seen AND checked AS quality_checked, seen AND NOT checked AS quality_bypassed, lost AS failed_attempt, recognized,
+    CASE WHEN seen AND checked THEN sharp END AS sharpness, CASE WHEN seen AND checked THEN glare END AS glare_percent, CASE WHEN seen AND checked THEN light END AS brightness,
+    amb AS ambient_brightness, amb_glare AS ambient_glare
+  FROM (SELECT *, event <> 'skipped' AS seen FROM s) s JOIN frames f ON f.session_id = s.session_id AND f.k = s.k
 )"""
+
+
+def sessions_sql(throttle: bool = False) -> str:
+    """The recursion; under a throttle odd frames are skipped while there is no candidate. No frame comes late here, so a frame's number counts those presented."""
+    skip = "candidate IS NULL AND k % 2 = 1" if throttle else "false"
+    return SESSIONS.replace("{skip}", skip).replace("{skip_n}", skip.replace("candidate", "s.candidate").replace("k %", "n.k %"))
+
+
 COUNTERS = {
     "blur_rejections": "event = 'blur_rejected'", "glare_rejections": "event = 'glare_rejected'", "lighting_rejections": "event = 'lighting_rejected'",
     "quality_frames": "quality_checked AND passed", "quality_bypass_frames": "quality_bypassed", "successful_recognitions": "event IN ('confirmed', 'confirmed_instant')",
@@ -107,8 +117,8 @@ COUNTERS = {
 } | {"failures_" + c.replace("-", "_"): f"category = '{c}'" for c in telemetry.CATEGORIES}
 SUMS = {"blur_sum": ("sharpness", "blur_rejected"), "glare_sum": ("glare_percent", "glare_rejected"), "brightness_sum": ("brightness", "lighting_rejected")}
 ORACLE_SQL = {
-    "q31_session_confirm": f"WITH {SESSIONS} SELECT * FROM decisions",
-    "q31b_session_counters": f"WITH {SESSIONS} SELECT session_id, count(*) AS total_frames, " + ", ".join(f"count(*) FILTER ({c}) AS {n}" for n, c in COUNTERS.items()) + ", "
+    "q31_session_confirm": f"WITH {sessions_sql()} SELECT * FROM decisions",
+    "q31b_session_counters": f"WITH {sessions_sql()} SELECT session_id, count(*) AS total_frames, " + ", ".join(f"count(*) FILTER ({c}) AS {n}" for n, c in COUNTERS.items()) + ", "
         + ", ".join(f"coalesce(sum({c}) FILTER (event = '{e}'), 0)::DOUBLE AS {n}" for n, (c, e) in SUMS.items())
         + ", min(best_distance) FILTER (passed) AS distance_min, max(best_distance) FILTER (passed) AS distance_max, coalesce(sum(best_distance) FILTER (passed), 0)::BIGINT AS distance_sum FROM decisions GROUP BY 1",
     "q33_quality_metrics": f"""WITH g AS (SELECT vec_id, {GRAY} AS g FROM embeddings),

@@ -33,6 +33,8 @@ class Preset:
     max_brightness: float = 220.0
     continuous: bool = False
     boost_near_threshold: bool = True
+    #: Every second frame is skipped while no candidate is tracked.
+    throttle: bool = False
     #: "worker" or "inline": which of the two frame paths is followed.
     path: str = "worker"
 

@@ -2,8 +2,10 @@
 
 ``step`` takes the state and one frame and gives the new state and a decision
 row. Frames are ordered by frame_id; a frame that is not after the last one seen
-is dropped, as is one that arrives when its session is done. Both the batch and
-the streaming form call it, so they decide alike.
+is dropped, as is one that arrives when its session is done. Under a throttle
+every second frame is skipped as long as no candidate is tracked, so the state
+decides which frames it will see. Both the batch and the streaming form call
+it, so they decide alike.
 """
 
 from __future__ import annotations
@@ -14,7 +16,9 @@ from dataclasses import asdict, dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from ..operators.asof import as_of
 from ..presets import (
     AMBIENT_WEIGHT, BLUR_CLEARING_RUN, BLUR_COUNTED_RUN, BLUR_GATE_FRACTION, BLUR_IMPROVEMENT, CONFIRM_RUN, INSTANT_DISTANCE,
     NEAR_MISS_SPAN, QUALITY_GATE_DISTANCE, Preset,
@@ -41,6 +45,8 @@ class State:
     ambient_glare: float | None = None
     blur_run: int = 0
     last_distance: int | None = None
+    #: Frames presented, skipped ones among them.
+    presented: int = 0
 
     def clear(self) -> None:
         self.candidate, self.run = None, 0
@@ -75,7 +81,13 @@ def step(state: State, frame: dict, preset: Preset) -> dict:
     def done(event: str, **more) -> dict:
         return out | {"event": event, "recognized": state.recognized, "ambient_brightness": state.ambient, "ambient_glare": state.ambient_glare} | more
 
-    if frame["frame_id"] <= state.last_frame or (state.recognized is not None and not preset.continuous):
+    if frame["frame_id"] <= state.last_frame:
+        return done("dropped")
+    state.presented += 1
+    if preset.throttle and state.candidate is None and state.presented % 2:
+        state.last_frame = int(frame["frame_id"])
+        return done("skipped")
+    if state.recognized is not None and not preset.continuous:
         return done("dropped")
     state.last_frame = int(frame["frame_id"])
 
@@ -145,10 +157,13 @@ def _blurred(state: State, sharpness: float) -> dict:
     return {"event": "blur_rejected", "category": "motion-blur", "sharpness": sharpness}
 
 
+def _table(rows: list[dict]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=COLUMNS).astype(object).where(lambda x: x.notna(), None)
+
+
 def _rows(frames: pd.DataFrame, state: State, preset: Preset) -> pd.DataFrame:
     ordered = frames.sort_values("frame_id", kind="stable")
-    rows = [step(state, f, preset) for f in ordered.to_dict("records")]
-    return pd.DataFrame(rows, columns=COLUMNS).astype(object).where(lambda x: x.notna(), None)
+    return _table([step(state, f, preset) for f in ordered.to_dict("records")])
 
 
 def recognize(frames: DataFrame, preset: Preset) -> DataFrame:
@@ -178,6 +193,122 @@ def recognize_stream(frames: DataFrame, preset: Preset) -> DataFrame:
     )
 
 
+#: What a settings message changes; what it leaves null stays the preset's.
+SETTINGS = "threshold int, margin int, sharpness double, glare_percent double, min_brightness double, max_brightness double"
+SETTING_NAMES = [c.split()[0] for c in SETTINGS.split(", ")]
+#: A message of a session: init and config-update carry settings, frame a frame; frame_id numbers a session's messages.
+MESSAGE = (
+    "session_id string, frame_id bigint, ts timestamp, kind string, settings struct<" + ",".join(c.replace(" ", ":") for c in SETTINGS.split(", ")) + ">, "
+    "best_id int, best_distance int, second_id int, second_distance int, sharpness double, glare_percent double, brightness double, pre_hash_sharpness double"
+)
+
+
+def changed(preset: Preset, settings) -> Preset | None:
+    """The preset with a message's settings; none if they are not valid together."""
+    if settings is None:
+        return None
+    try:
+        return preset.with_(**{k: v for k, v in plain_settings(settings).items() if v is not None})
+    except ValueError:
+        return None
+
+
+def plain_settings(settings) -> dict:
+    """A message's settings as Python numbers, which is what typed state keeps."""
+    kinds = {"threshold": int, "margin": int}
+    return {k: None if _missing(v := settings[k]) else kinds.get(k, float)(v) for k in SETTING_NAMES}
+
+
+def _uninitialized(frame: dict) -> dict:
+    """A frame before any valid settings: it is told and changes nothing."""
+    flags = ("ambiguous", "near_miss", "passed", "quality_checked", "quality_bypassed", "failed_attempt")
+    return dict.fromkeys(COLUMNS) | dict.fromkeys(flags, False) | {"session_id": frame["session_id"], "frame_id": int(frame["frame_id"]), "event": "not_initialized"}
+
+
+def recognize_messages(messages: DataFrame, preset: Preset) -> DataFrame:
+    """Decision rows of the frames of finished sessions, each under the settings in force when it came.
+
+    Settings meet frames by an as-of join on the message number; of the messages
+    with one number settings count first. Settings that aren't valid are passed
+    over, and frames before the first valid ones are told as not_initialized.
+    """
+    valid = F.coalesce(F.col("settings.threshold") >= QUALITY_GATE_DISTANCE, F.col("settings").isNotNull())
+    versions = messages.filter(F.col("kind").isin("init", "config-update") & valid)
+    frames = messages.filter("kind = 'frame'").select(*FRAME_COLUMNS)
+    configured = as_of(frames, versions, ["session_id"], "frame_id", F.col("settings"), "settings")
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        state, out, presets = State(), [], {}
+        for f in group.sort_values("frame_id", kind="stable").to_dict("records"):
+            settings = f["settings"]
+            if settings is None:
+                out.append(_uninitialized(f))
+                continue
+            key = tuple(None if _missing(settings[k]) else settings[k] for k in SETTING_NAMES)
+            if key not in presets:
+                presets[key] = changed(preset, settings)
+            out.append(step(state, f, presets[key]))
+        return _table(out)
+
+    return configured.groupBy("session_id").applyInPandas(run, DECISION)
+
+
+def recognize_messages_stream(messages: DataFrame, preset: Preset, late: str = "10 seconds", idle_ms: int = 60_000) -> DataFrame:
+    """Decision rows of a stream of messages; a session that sends nothing for ``idle_ms`` is closed and its state dropped.
+
+    State and settings are kept in typed columns, written once a batch. Each
+    message moves the session's timer; when the watermark passes it a row
+    session_closed is given, numbered as the last frame, and a later message
+    begins a new session. Messages later than the watermark are dropped. The
+    session needs the RocksDB state store.
+    """
+    from pyspark.sql.streaming import StatefulProcessor
+
+    kept = (
+        "last_frame bigint, recognized int, candidate int, run int, ambient double, ambient_glare double, blur_run int, last_distance int, presented int"
+    )
+    names = [c.split()[0] for c in kept.split(", ")]
+
+    class Sessions(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.handle = handle
+            self.state = handle.getValueState("session", kept)
+            self.settings = handle.getValueState("settings", SETTINGS)
+
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+            state = State(**dict(zip(names, self.state.get(), strict=True))) if self.state.exists() else State()
+            held = dict(zip(SETTING_NAMES, self.settings.get(), strict=True)) if self.settings.exists() else None
+            current, out = changed(preset, held), []
+            table = pd.concat(list(rows))
+            table["_frame"] = table["kind"] == "frame"
+            for m in table.sort_values(["frame_id", "_frame"], kind="stable").to_dict("records"):
+                if m["kind"] == "frame":
+                    out.append(step(state, m, current) if current else _uninitialized(m))
+                elif m["kind"] in ("init", "config-update") and (new := changed(preset, m["settings"])):
+                    held, current = plain_settings(m["settings"]), new
+            if held is not None:
+                self.settings.update(tuple(held.values()))
+            self.state.update(tuple(getattr(state, k) for k in names))
+            at = int(table["ts"].max().timestamp() * 1000) + idle_ms
+            for old in list(self.handle.listTimers()):
+                at = max(at, old)
+                self.handle.deleteTimer(old)
+            self.handle.registerTimer(at)
+            yield _table(out)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            last = dict(zip(names, self.state.get(), strict=True)) if self.state.exists() else {"last_frame": -1, "recognized": None}
+            self.state.clear()
+            self.settings.clear()
+            yield _table([_uninitialized({"session_id": key[0], "frame_id": last["last_frame"]}) | {"event": "session_closed", "recognized": last["recognized"]}])
+
+        def close(self) -> None:
+            pass
+
+    wanted = ["ts", "kind", "settings", *(c for c in FRAME_COLUMNS if c != "session_id")]
+    return messages.withWatermark("ts", late).select("session_id", *wanted).groupBy("session_id").transformWithStateInPandas(Sessions(), DECISION, "Append", "EventTime")
+
+
 def hold_rectangles(detections: list[tuple[bool, float, object]], least: float = 0.6, most: int = 2) -> list[object | None]:
     """The rectangle in use at each frame: a confident one, else the last confident one for up to ``most`` frames."""
     held, used, out = None, 0, []
