@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import similarity_score
-from .ranks import global_rank
+from .ranks import checkpointed, global_rank
 
 #: Names compared at a time; at most this many are broadcast.
 BLOCK_NAMES = 50_000
+#: Words of more candidates than this don't give a first guess.
+GUESS_CANDIDATES = 100
 
 
 def rank_in_group(df: DataFrame, group: str, order: list[Column], name: str) -> DataFrame:
@@ -27,20 +29,63 @@ def assign_in_turn(rows: DataFrame, tracks: DataFrame, group: str, row_order: li
     return r.join(t.drop("track_rank_n"), [group, "track_rank"], "left").drop("row_rank_n", "n_tracks")
 
 
+def _described(df: DataFrame, text: str, side: str) -> DataFrame:
+    """df with the words of a text and the lengths that bound its score."""
+    words = F.array_distinct(F.filter(F.split(text, " "), lambda w: w != ""))
+    return df.withColumns({
+        f"{side}_words": words, f"{side}_length": F.length(text), f"{side}_compact": F.length(F.regexp_replace(text, r"\s+", "")),
+    }).withColumn(f"{side}_count", F.size(f"{side}_words"))
+
+
+def _most(overlap: Column) -> Column:
+    """What a pair's score is at most, given at most so much overlap: its edits are as many as its lengths differ at least."""
+    near = lambda k: F.least(f"n_{k}", f"c_{k}") / F.greatest(f"n_{k}", f"c_{k}", F.lit(1))
+    return overlap * 0.5 + near("length") * 0.2 + near("compact") * 0.3 + 1e-9
+
+
+def first_guess(left: DataFrame, right: DataFrame) -> DataFrame:
+    """name, found: the best score among the few candidates that share a name's rarest word, a floor for its best score.
+
+    A word of more than ``GUESS_CANDIDATES`` candidates is no help and is left
+    out, so no word brings many pairs together.
+    """
+    words = right.select(F.explode("c_words").alias("word"), "candidate")
+    counted = words.groupBy("word").agg(F.count("*").alias("n")).filter(F.col("n") <= GUESS_CANDIDATES)
+    rare = words.join(counted, "word").groupBy("word").agg(F.first("n").alias("n"), F.collect_set("candidate").alias("candidates"))
+    own = left.select("name", F.explode("n_words").alias("word")).join(rare, "word")
+    best = own.groupBy("name").agg(F.min_by("candidates", F.struct("n", "word")).alias("candidates"))
+    scored = best.select("name", F.explode("candidates").alias("candidate")).select("name", similarity_score(F.col("name"), F.col("candidate")).alias("score"))
+    return scored.groupBy("name").agg(F.max("score").alias("found"))
+
+
+def worth_scoring(least: float | None) -> Column:
+    """Whether a pair can reach the name's first guess and the least score; edits are not counted for it."""
+    floor = F.greatest(F.coalesce("found", F.lit(0.0)), F.lit(least or 0.0))
+    by_size = F.least("n_count", "c_count") / F.greatest("n_count", "c_count", F.lit(1))
+    overlap = F.size(F.array_intersect("n_words", "c_words")) / F.greatest("n_count", "c_count", F.lit(1))
+    held = (floor <= 0.75) & (F.contains("name", "candidate") | F.contains("candidate", "name"))
+    return F.coalesce(held | ((_most(by_size) >= floor) & (_most(overlap) >= floor)), F.lit(True))
+
+
 def most_similar(names: DataFrame, candidates: DataFrame, block_names: int = BLOCK_NAMES, least: float | None = None) -> DataFrame:
     """The best candidate (id, candidate) of each distinct name; ties go to the smaller id.
 
     least drops matches with a smaller score. Up to ``block_names`` candidates
     are broadcast; more are dealt into blocks that the names meet by a shuffle.
-    Distinct names only are compared, so a frequent name costs no more.
+    Distinct names only are compared, so a frequent name costs no more. A pair
+    is scored only if it can still be the best: a floor comes from candidates that
+    share the name's rarest word, a ceiling from words and lengths alone.
     """
-    left, right = names.select("name").distinct(), candidates.select("id", "candidate")
+    left = checkpointed(_described(names.select("name").distinct(), "name", "n"))
+    right = _described(candidates.select("id", "candidate"), "candidate", "c")
+    left = left.join(first_guess(left, right), "name", "left")
     blocks = max(1, -(-right.count() // block_names))
     if blocks == 1:
         pairs = left.crossJoin(F.broadcast(right))
     else:
         right = right.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
         pairs = left.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(right, "block")
+    pairs = pairs.filter(worth_scoring(least))
     scored = pairs.select("name", "id", "candidate", similarity_score(F.col("name"), F.col("candidate")).alias("score"))
     best = scored.groupBy("name").agg(F.min(F.struct((-F.col("score")).alias("s"), "id", "candidate")).alias("b"))
     best = best.select("name", F.col("b.id").alias("id"), F.col("b.candidate").alias("candidate"), (-F.col("b.s")).alias("score"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+from math import comb
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +16,8 @@ from ..presets import Preset
 BLOCK_ENTRIES = 50_000
 #: Entry numbers below this fit into one number together with a distance.
 PACKED_ORD = 1 << 48
+#: Keys that a frame probes at most.
+MOST_PROBES = 100_000
 
 
 def best_two(frames: DataFrame, index: DataFrame, block_entries: int = BLOCK_ENTRIES, not_own: bool = False) -> DataFrame:
@@ -57,6 +62,82 @@ def best_two(frames: DataFrame, index: DataFrame, block_entries: int = BLOCK_ENT
     return frames.select("frame_id").join(both, "frame_id", "left")
 
 
+def band_width(radius: int, entries: int) -> int:
+    """Into how many bands 64 bits are cut to find all entries within a radius with little work for each frame.
+
+    The work of b bands of w bits is the keys that a frame probes, of which there
+    are as many as a band has variants of radius // b changed bits, and the
+    entries that meet it by chance: entries * keys / 2^w.
+    """
+    def work(b: int) -> float:
+        w = 64 // b
+        keys = sum(comb(-(-64 // b), k) for k in range(radius // b + 1))
+        return b * keys * (1 + entries / 2**w)
+
+    return min(range(1, min(radius + 1, 16) + 1), key=lambda b: (work(b), b))
+
+
+def within(frames: DataFrame, index: DataFrame, radius: int, not_own: bool = False, bands: int | None = None) -> DataFrame:
+    """frame_id, group_id, ord, d: every index entry within so many bits of each frame, found without comparing all with all.
+
+    frames and index as in best_two. 64 bits are cut into bands; two fingerprints
+    within the radius agree in some band up to radius // bands bits, so each frame
+    probes the variants of its bands and meets the index entries of these keys by
+    an equi-join. Of the bands that a pair meets in it counts at the first alone.
+    Frames of one fingerprint probe once. Frames without an entry have no row.
+    """
+    if not 0 <= radius < 32:
+        raise ValueError("a radius lies between 0 and 31 bits")
+    bands = bands or band_width(radius, max(1, index.count()))
+    near = radius // bands
+    edges = [64 * k // bands for k in range(bands + 1)]
+
+    def band(hi: Column, lo: Column, k: int) -> Column:
+        """Bits edges[k] to edges[k + 1] of the 64, the highest first, as a number."""
+        a, b = edges[k], edges[k + 1]
+        part = F.lit(0).cast("bigint")
+        for half, at in ((hi, 0), (lo, 32)):
+            low, high = max(a, at), min(b, at + 32)
+            if low < high:
+                bits = F.shiftright(half, at + 32 - high).bitwiseAND((1 << (high - low)) - 1)
+                part = F.shiftleft(part, high - low).bitwiseOR(bits)
+        return part
+
+    keyed = lambda hi, lo: F.array(*[F.struct(F.lit(k).alias("band"), band(hi, lo, k).alias("key")) for k in range(bands)])
+    entries = index.select("group_id", "ord", "hi", "lo", F.explode(keyed(F.col("hi"), F.col("lo"))).alias("at")).select("*", "at.band", "at.key").drop("at")
+    masks = {n: [sum(1 << i for i in c) for k in range(near + 1) for c in combinations(range(n), k)] for n in {b - a for a, b in zip(edges, edges[1:], strict=False)}}
+    if sum(map(len, masks.values())) > MOST_PROBES:
+        raise ValueError("the radius leaves too many keys to probe")
+    wide = frames.sparkSession.createDataFrame(
+        [(k, masks[edges[k + 1] - edges[k]]) for k in range(bands)], "band int, masks array<bigint>"
+    )  # one row a band
+    own = frames.select(F.col("hi").alias("f_hi"), F.col("lo").alias("f_lo")).distinct()
+    probes = own.select("*", F.explode(keyed(F.col("f_hi"), F.col("f_lo"))).alias("at")).select("f_hi", "f_lo", "at.band", F.col("at.key").alias("own_key"))
+    probes = probes.join(F.broadcast(wide), "band").select("f_hi", "f_lo", "band", "own_key", F.explode("masks").alias("mask"))
+    probes = probes.select("f_hi", "f_lo", "band", F.col("own_key").bitwiseXOR(F.col("mask")).alias("key"))
+    d = hamming_halves(F.col("f_hi"), F.col("f_lo"), F.col("hi"), F.col("lo"))
+    met = probes.join(entries, ["band", "key"]).withColumn("d", d).filter(F.col("d") <= radius)
+    apart = [F.bit_count(band(F.col("f_hi"), F.col("f_lo"), k).bitwiseXOR(band(F.col("hi"), F.col("lo"), k))) for k in range(bands)]
+    earlier = F.lit(False)
+    for k in range(bands - 1):
+        earlier = earlier | ((F.col("band") > k) & (apart[k] <= near))
+    pairs = met.filter(~earlier).select("f_hi", "f_lo", "group_id", "ord", "d")
+    out = frames.select("frame_id", F.col("hi").alias("f_hi"), F.col("lo").alias("f_lo")).join(pairs, ["f_hi", "f_lo"]).drop("f_hi", "f_lo")
+    return out.filter(F.col("ord") != F.col("frame_id")) if not_own else out
+
+
+def best_within(frames: DataFrame, index: DataFrame, radius: int, not_own: bool = False) -> DataFrame:
+    """best_two for matches within the radius alone: a frame without an entry there has nulls, and so has a rival farther away."""
+    near = within(frames, index, radius, not_own).groupBy("frame_id", "group_id").agg(F.min(F.struct("d", "ord")).alias("m"))
+    place = F.row_number().over(Window.partitionBy("frame_id").orderBy("m.d", "m.ord", "group_id"))
+    of = lambda k, c: F.max(F.when(F.col("k") == k, F.col(c)))
+    both = near.withColumn("k", place).filter("k <= 2").groupBy("frame_id").agg(
+        of(1, "group_id").alias("best_id"), of(1, "m.ord").alias("best_ord"), of(1, "m.d").alias("best_distance"),
+        of(2, "group_id").alias("second_id"), of(2, "m.d").alias("second_distance"),
+    )
+    return frames.select("frame_id").join(both, "frame_id", "left")
+
+
 def best_two_of_array(hi: Column, lo: Column, index: Column) -> Column:
     """best_two without join or aggregation, for streams: index is array<struct<group_id, ord, hi, lo>> on every row."""
     scored = F.array_sort(

@@ -22,6 +22,12 @@ def _ready(spark: SparkSession) -> None:
     sc.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="ranks-"))
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, written once to the folder for checkpoints."""
+    _ready(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def global_rank(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """df with each row's place from 0 in the given order; rows that tie get their places in any order.
 
@@ -30,8 +36,7 @@ def global_rank(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     ranges before, of which there are as many as shuffle partitions. An empty
     table gives no rows.
     """
-    _ready(df.sparkSession)
-    rows = df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()).checkpoint(eager=True)
+    rows = checkpointed(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()))
     rows = rows.withColumn("_range", F.shiftright("_at", PLACE_BITS))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = rows.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))

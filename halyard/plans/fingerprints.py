@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hashes as H
 from ..operators import matching, telemetry
-from ..presets import APP, AUDIT
+from ..presets import APP, AUDIT, HOOK
 from .tables import table
 
 
@@ -71,6 +71,12 @@ def q06(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.candidate_stats(frames.join(sizes, "bucket", "left").select("frame_id", F.coalesce("n", F.lit(0)).alias("n")))
 
 
+def q77(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches within the strictest threshold, and rivals as near, by bands instead of all comparisons."""
+    index = _index(spark, sf_dir)
+    return matching.best_within(index.withColumnRenamed("ord", "frame_id"), index, HOOK.threshold, not_own=True)
+
+
 def q26(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _index(spark, sf_dir).select("group_id", "ord", H.halves_to_hex(F.col("hi"), F.col("lo")).alias("hash"))
     ordered = F.array_sort(F.collect_list(F.struct("ord", "hash")))
@@ -186,10 +192,13 @@ PRUNE = """list_reduce({list}, lambda kept, x: CASE WHEN len(list_filter(kept, l
 QUERIES = {
     "q01_hamming_best_second": q01, "q02_match_decisions": q02, "q03_distance_histogram_65": q03,
     "q04_collision_pairs_topk": q04, "q04b_collision_margins": q04b, "q05_accuracy_audit": q05, "q06_candidate_stats": q06,
-    "q26_neardup_greedy": q26, "q29_recommendations": q29, "q34_hash_functions": q34, "q35_label_telemetry": q35,
+    "q26_neardup_greedy": q26, "q29_recommendations": q29, "q34_hash_functions": q34, "q35_label_telemetry": q35, "q77_matches_within": q77,
 }
 ORACLE_SQL = {
     "q01_hamming_best_second": f"WITH {BEST_TWO} SELECT * FROM best",
+    "q77_matches_within": f"""WITH {BEST_TWO} SELECT frame_id, CASE WHEN best_distance <= 14 THEN best_id END AS best_id, CASE WHEN best_distance <= 14 THEN best_ord END AS best_ord,
+        CASE WHEN best_distance <= 14 THEN best_distance END AS best_distance, CASE WHEN second_distance <= 14 THEN second_id END AS second_id,
+        CASE WHEN second_distance <= 14 THEN second_distance END AS second_distance FROM best""",
     "q02_match_decisions": f"""WITH {DECIDED} SELECT frame_id, best_id, best_distance, second_distance, margin, required_margin, within,
         active, ambiguous, run_quality, near_miss, outcome,
         CASE WHEN outcome IN ('ambiguous', 'near_threshold') THEN 'collision' WHEN outcome = 'no_match' THEN 'no-match' END AS category,

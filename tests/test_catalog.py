@@ -209,3 +209,24 @@ def test_photo_metadata(spark, tmp_path, order):
         "focalLength": "70.0mm 105mm eq", "iso": "3200",
     }
     assert all(v == "" for n in ("B.JPG", "d.jpg", "c.jpg") for k, v in rows[n].asDict().items() if k != "file_name")
+
+
+def test_pruned_search_of_names_finds_what_the_full_one_does(spark, monkeypatch):
+    import random
+
+    from halyard.functions.text import similarity_score
+
+    rng, words = random.Random(4), "the a red blue band of night king queen x ab abc zed moon sun river".split()
+    name = lambda: " ".join(rng.choice(words) for _ in range(rng.randint(0, 4)))
+    names = spark.createDataFrame([(name(),) for _ in range(120)] + [("redblue",), ("",), (None,)], "name string")
+    candidates = spark.createDataFrame([(i, name()) for i in range(150)] + [(500, ""), (501, None)], "id int, candidate string")
+    pairs = names.distinct().crossJoin(candidates).select("name", "id", "candidate", similarity_score(F.col("name"), F.col("candidate")).alias("score"))
+    best = pairs.groupBy("name").agg(F.min(F.struct((-F.col("score")).alias("s"), "id", "candidate")).alias("b")).select("name", "b.id", "b.candidate", (-F.col("b.s")).alias("score"))
+    wanted = sorted(map(repr, best.collect()))
+    for guesses, block in ((100, 50_000), (0, 50_000), (3, 40)):
+        monkeypatch.setattr(assign, "GUESS_CANDIDATES", guesses)
+        assert sorted(map(repr, assign.most_similar(names, candidates, block).collect())) == wanted
+    left = assign._described(names.distinct(), "name", "n")
+    right = assign._described(candidates, "candidate", "c")
+    scored = left.join(assign.first_guess(left, right), "name", "left").crossJoin(right).filter(assign.worth_scoring(0.45)).count()
+    assert scored < 0.4 * left.count() * right.count()

@@ -126,3 +126,27 @@ def test_best_two_by_numbers_and_by_structs(spark):
         first, then = sorted((m, g) for g, m in near.items())[:2]
         assert (best, d, o, second, e) == (first[1], *first[0], then[1], then[0][0])
     assert matching.best_two(frames, index.limit(0)).filter("best_id is null").count() == 20
+
+
+@pytest.mark.parametrize(("radius", "bands"), [(0, 1), (3, 2), (10, None), (14, 5), (20, 13)])
+def test_bands_find_all_within_the_radius(spark, radius, bands):
+    import random
+
+    from halyard.operators import matching
+
+    rng = random.Random(radius)
+    bases = [rng.getrandbits(64) for _ in range(6)]
+    flip = lambda x: x ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 24)))
+    index = [(i, i % 7, flip(rng.choice(bases))) for i in range(120)]
+    frames = [(1000 + i, flip(rng.choice(bases))) for i in range(60)] + [(3, index[3][2]), (2000, index[5][2]), (2001, index[5][2])]
+    idx = spark.createDataFrame([(g, o, h >> 32, h & 0xFFFFFFFF) for o, g, h in index], "group_id int, ord long, hi long, lo long")
+    df = spark.createDataFrame([(i, h >> 32, h & 0xFFFFFFFF) for i, h in frames], "frame_id long, hi long, lo long")
+    got = sorted((r["frame_id"], r["ord"], r["d"]) for r in matching.within(df, idx, radius, True, bands).collect())
+    assert got == sorted((i, o, d) for i, h in frames for o, _, x in index if o != i and (d := (h ^ x).bit_count()) <= radius)
+    assert matching.within(df, idx.limit(0), radius).count() == 0 and matching.best_within(df, idx.limit(0), radius).count() == len(frames)
+
+
+def test_bands_grow_with_the_index():
+    from halyard.operators import matching
+
+    assert matching.band_width(10, 10) >= matching.band_width(10, 10**9) and matching.band_width(0, 5) == 1
