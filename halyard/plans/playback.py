@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import matching, tracking
 from ..operators.asof import as_of
+from ..operators.counters import Counters
 from ..presets import APP
 from ..streaming import playback, session
 from .sessions import frames_of_events, sessions_sql
@@ -57,10 +58,23 @@ def q76(spark: SparkSession, sf_dir: str) -> DataFrame:
     return playback.play(playback.with_songs(events, _tracks(spark, sf_dir)))
 
 
-QUERIES = {"q73_settings_as_of": q73, "q74_idle_throttle": q74, "q75_rectangle_hold": q75, "q76_autoplay_switch": q76}
+def q78(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of the events that pass, observed while their users' sums are written."""
+    e = table(spark, sf_dir, "events")
+    load = Counters(
+        {"attempts": F.lit(True), "failures": F.col("event_type") == "error", "purchases": F.col("event_type") == "purchase", "no_props": F.col("props").isNull()},
+        {"props_length": F.length("props"), "event_ids": F.col("event_id")},
+    )
+    load.watch(e).groupBy("user_id").agg(F.count("*").alias("n")).write.format("noop").mode("overwrite").save()
+    return load.row(spark)
+
+
+QUERIES = {"q73_settings_as_of": q73, "q74_idle_throttle": q74, "q75_rectangle_hold": q75, "q76_autoplay_switch": q76, "q78_observed_counters": q78}
 KEY = "(x.id * 7919 + ({turn}) * 104729) % 10007"
 LIST = "list_transform(list_sort(list_transform(songs, lambda x: {'key': " + KEY + ", 'id': x.id, 'audio': x.audio})), lambda y: {'id': y.id, 'audio': y.audio})"
 ORACLE_SQL = {
+    "q78_observed_counters": """SELECT count(*) AS attempts, count(*) FILTER (event_type = 'error') AS failures, count(*) FILTER (event_type = 'purchase') AS purchases,
+        count(*) FILTER (props IS NULL) AS no_props, coalesce(sum(length(props)), 0)::DOUBLE AS props_length, coalesce(sum(event_id), 0)::DOUBLE AS event_ids FROM events""",
     "q73_settings_as_of": """WITH v AS (
           SELECT user_id, ts, max(event_id) AS version FROM events WHERE event_type = 'error' GROUP BY ALL
         ), f AS (
