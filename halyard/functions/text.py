@@ -262,7 +262,9 @@ def byte_range(header: Column, size: Column) -> Column:
     """struct<valid, first, length> of a ``bytes=a-b`` header; null if there is none or it is of another form."""
     form = r"(?i)^bytes=(\d*)-(\d*)$"
     x = strip(header)
-    part = lambda n: F.nullif(F.regexp_extract(x, form, n), F.lit("")).try_cast("bigint")
+    given = lambda n: F.nullif(F.regexp_extract(x, form, n), F.lit(""))
+    # a number that no bigint holds is beyond any size
+    part = lambda n: F.when(given(n).isNotNull(), F.coalesce(given(n).try_cast("bigint"), F.lit((1 << 63) - 1)))
     first, last = F.coalesce(part(1), F.lit(0)), F.coalesce(part(2), size - 1)
     fine = (first <= last) & (last < size)
     return F.when(

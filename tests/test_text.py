@@ -114,6 +114,7 @@ def test_media_types_and_headers(spark):
     assert [one(spark, X.quoted_etag(F.lit(t))) for t in ("ab ", '"q"', 'W/"x"', "")] == ['"ab"', '"q"', 'W/"x"', None]
     r = lambda h: one(spark, X.byte_range(F.lit(h), F.lit(100).cast("bigint")))
     assert tuple(r("bytes=0-9")) == (True, 0, 10) and tuple(r("Bytes=5-")) == (True, 5, 95) and not r("bytes=90-100")["valid"] and not r("bytes=9-1")["valid"] and r("lines=1-2") is None
+    assert not any(r(h)["valid"] for h in ("bytes=99999999999999999999-", "bytes=0-99999999999999999999", "bytes=99999999999999999999-99999999999999999999"))
     key = lambda p: one(spark, X.object_key(F.lit(p), ["audio", "photos"]))
     assert key("/audio/./a/../b.opus") == "audio/b.opus" and key("/audio/../../x") is None and key("/audio/%2e%2e/photos/a%20b+c") == "photos/a b+c"
     assert key("/other/x") is None and key("/audiox/y") is None and key("/audio") == "audio"
