@@ -412,3 +412,45 @@ def with_content_hash(files: DataFrame) -> DataFrame:
 
 def checksum(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
+
+
+def _image_of(kernel: Callable) -> Callable[..., Column]:
+    """A UDF of (height, width, data, ...) that gives an image's bytes; null where there is no image or the kernel gives none."""
+
+    def run(*columns: pd.Series) -> pd.Series:
+        out = []
+        for h, w, d, *more in zip(*columns, strict=True):
+            try:
+                made = kernel(pixels(int(h), int(w), bytes(d)), *more)
+            except (TypeError, ValueError):
+                made = None
+            out.append(None if made is None else np.ascontiguousarray(made).tobytes())
+        return pd.Series(out, dtype=object)
+
+    def column(*columns: Column) -> Column:
+        return F.pandas_udf(_of_width(run, len(columns)), "binary")(*columns)
+
+    return column
+
+
+def _of_width(run: Callable, n: int) -> Callable:
+    """run with n named series, as pandas_udf reads a function's parameters."""
+    if n == 3:
+        return lambda h, w, d: run(h, w, d)
+    if n == 4:
+        return lambda h, w, d, a: run(h, w, d, a)
+    return lambda h, w, d, a, b: run(h, w, d, a, b)
+
+
+def warp_column(h: Column, w: Column, d: Column, corners: Column, aspect: Column) -> Column:
+    """The flat image inside four corners, an array of x, y, x, y, ... from the top left on; aspect is 3:2 or 2:3."""
+    return _image_of(lambda p, c, a: warp(p, np.asarray(c, float).reshape(4, 2), a))(h, w, d, corners, aspect)
+
+
+def region_column(h: Column, w: Column, d: Column, key: Column) -> Column:
+    """The region of each image that its key names."""
+    return _image_of(lambda p, k: crop(p, k) if k in CROPS else None)(h, w, d, key)
+
+
+def letterbox_column(h: Column, w: Column, d: Column) -> Column:
+    return _image_of(letterbox)(h, w, d)

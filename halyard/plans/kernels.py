@@ -57,11 +57,56 @@ def q84(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", rate.alias("kbps"))
 
 
+def q85(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sheared quadrilaterals of the images, made flat."""
+    n = F.col("vec_id")
+    left, top, shear = n % 3, F.floor(n / 3) % 2, n % 2
+    corners = F.array(*(x.cast("double") for x in (left + shear, top, left + shear + 5, top, left + 5, top + 5, left, top + 5)))
+    flat = images.warp_column(F.col("h"), F.col("w"), F.col("data"), corners, F.when(n % 5 > 0, "3:2").otherwise("2:3"))
+    return _images(spark, sf_dir).select("vec_id", F.sha2(flat, 256).alias("flat_sha256"))
+
+
+def q86(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All seven crops of each image."""
+    keys = F.explode(F.array(*map(F.lit, images.CROPS))).alias("region")
+    rows = _images(spark, sf_dir).select("vec_id", "h", "w", "data", keys)
+    return rows.select("vec_id", "region", F.sha2(images.region_column(F.col("h"), F.col("w"), F.col("data"), F.col("region")), 256).alias("crop_sha256"))
+
+
+def q87(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The images' pixels as 16 by 4 or 4 by 16, in a square."""
+    wide = F.col("vec_id") % 2 == 0
+    boxed = images.letterbox_column(F.when(wide, 4).otherwise(16), F.when(wide, 16).otherwise(4), F.col("data"))
+    return _images(spark, sf_dir).select("vec_id", F.sha2(boxed, 256).alias("boxed_sha256"))
+
+
 QUERIES = {
     "q79_cosine_hash": q79, "q80_retry_and_sources": q80, "q81_cover_stats": q81, "q82_pairs_as_ranked": q82, "q83_aliases": q83, "q84_bitrate_chain": q84,
+    "q85_rectify": q85, "q86_crops": q86, "q87_letterbox": q87,
 }
 _ALIAS = ", ".join(f"('{a}', '{b}', {i})" for i, (a, b) in enumerate(sorted(X.BAND_ALIASES.items())))
+HEX_PIXEL = "repeat(printf('%02x', {v}::INT), 3) || 'ff'"
+#: A fraction of an image's side, and the cells that it makes, as whole numbers.
+_SIDES = ", ".join("('" + k + "', " + ", ".join(str(int(v * 8 + 0.5)) for v in box) + ")" for k, box in images.CROPS.items())
 ORACLE_SQL = {
+    # the map of a parallelogram is linear: no system of equations is solved
+    "q85_rectify": f"""WITH img AS (
+          SELECT vec_id, {PIXELS} AS px, vec_id % 3 AS x0, vec_id // 3 % 2 AS y0, vec_id % 2 AS s, CASE WHEN vec_id % 5 > 0 THEN 96 ELSE 64 END AS w, CASE WHEN vec_id % 5 > 0 THEN 64 ELSE 96 END AS h FROM embeddings
+        ), places AS (
+          SELECT vec_id, px, y, x, x0 + s + 5 * x / (w - 1) - s * y / (h - 1) AS u, y0 + 5 * y / (h - 1) AS v FROM (SELECT *, unnest(range(h)) AS y FROM img) CROSS JOIN range(96) r(x) WHERE x < w
+        ), near AS (
+          SELECT *, greatest(0, least(7, floor(u)))::INT AS a, greatest(0, least(7, floor(v)))::INT AS b, u - floor(u) AS p, v - floor(v) AS q FROM places
+        ), mixed AS (
+          SELECT vec_id, y, x, round_even((px[b * 8 + a + 1] * (1 - p) + px[b * 8 + least(a + 1, 7) + 1] * p) * (1 - q) + (px[least(b + 1, 7) * 8 + a + 1] * (1 - p) + px[least(b + 1, 7) * 8 + least(a + 1, 7) + 1] * p) * q, 0) AS v FROM near
+        ) SELECT vec_id, sha256(unhex(string_agg({HEX_PIXEL.format(v='v')}, '' ORDER BY y, x))) AS flat_sha256 FROM mixed GROUP BY vec_id""",
+    "q86_crops": f"""WITH k(region, x, y, w, h) AS (VALUES {_SIDES}), img AS (SELECT vec_id, {PIXELS} AS px FROM embeddings),
+        cells AS (SELECT vec_id, region, j, i, CASE WHEN y + j < 8 AND x + i < 8 THEN {HEX_PIXEL.format(v='px[((y + j) * 8 + x + i + 1)::INT]')} ELSE '00000000' END AS c
+          FROM img CROSS JOIN k CROSS JOIN range(8) a(j) CROSS JOIN range(8) b(i) WHERE j < h AND i < w)
+        SELECT vec_id, region, sha256(unhex(string_agg(c, '' ORDER BY j, i))) AS crop_sha256 FROM cells GROUP BY ALL""",
+    "q87_letterbox": f"""WITH img AS (SELECT vec_id, {PIXELS} AS px, vec_id % 2 = 0 AS wide FROM embeddings),
+        cells AS (SELECT vec_id, y, x, CASE WHEN wide AND y BETWEEN 12 AND 19 THEN px[((y - 12) // 2 * 16 + x // 2 + 1)::INT] WHEN NOT wide AND x BETWEEN 12 AND 19 THEN px[(y // 2 * 4 + (x - 12) // 2 + 1)::INT] ELSE 0 END AS v
+          FROM img CROSS JOIN range(32) a(y) CROSS JOIN range(32) b(x))
+        SELECT vec_id, sha256(unhex(string_agg({HEX_PIXEL.format(v='v')}, '' ORDER BY y, x))) AS boxed_sha256 FROM cells GROUP BY vec_id""",
     # the transform as two joins with a table of cosines over the 32 x 32 cells, each pixel being 4 x 4 of them
     "q79_cosine_hash": f"""WITH img AS (SELECT vec_id, {GRAY} AS g, {PIXELS} AS px FROM embeddings),
         cells AS (SELECT vec_id, y, x, g[y // 4 * 8 + x // 4 + 1] AS v FROM img CROSS JOIN range(32) a(y) CROSS JOIN range(32) b(x)),
