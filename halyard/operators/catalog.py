@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashes import has_hashes, valid_hashes
 from ..functions.text import blank_to_null, build_url, join_url, normalize_band, parse_int, strip, unwrap_excel
-from .ranks import global_rank
+from .ranks import checkpointed, global_rank
 
 
 def last_of_each(df: DataFrame, key: str | list[str], order: str = "ord") -> DataFrame:
@@ -135,9 +135,13 @@ def normalize_catalog(concerts: DataFrame, band_key: Column | None = None) -> di
     band = strip(F.coalesce("band", F.lit("")))
     key = normalize_band(band) if band_key is None else band_key
     text_id = F.col("id").cast("string")
-    rows = concerts.select(
+    image, title = blank_to_null(F.col("imageFile")), blank_to_null(F.col("songTitle"))
+    audio = strip(F.coalesce("audioFile", F.lit("")))
+    # written once, as all four tables are made of it: names are folded in Python and the rows may come from joins
+    rows = checkpointed(concerts.select(
         "*", band.alias("_band"), F.coalesce(F.nullif(key, F.lit("")), F.concat(F.lit("artist-"), text_id)).alias("_key"),
-    )
+        image.alias("_image"), audio.alias("_audio"), title.alias("_title"),
+    ))
     artists = first_of_each(rows.select("_key", "id", "_band"), "_key", "id").select(
         "_key",
         F.concat(F.lit("artist-"), F.when(F.col("_key").startswith("artist-") & (F.col("_band") == ""), F.col("id").cast("string"))
@@ -145,9 +149,6 @@ def normalize_catalog(concerts: DataFrame, band_key: Column | None = None) -> di
         F.when(F.col("_band") != "", F.col("_band")).otherwise(F.concat(F.lit("Unknown Artist "), F.col("id").cast("string"))).alias("name"),
     )
     rows = rows.join(artists.select("_key", "artistId"), "_key")
-    image, title = blank_to_null(F.col("imageFile")), blank_to_null(F.col("songTitle"))
-    audio = strip(F.coalesce("audioFile", F.lit("")))
-    rows = rows.select("*", image.alias("_image"), audio.alias("_audio"), title.alias("_title"))
     details = ["photoUrl", "camera", "aperture", "focalLength", "shutterSpeed", "iso"]
     filled = F.col("photoHashes").isNotNull() & (F.col("photoHashes.phash").isNotNull() | F.col("photoHashes.cropPhashes").isNotNull())
     photos = rows.filter("_image is not null").groupBy("artistId", "_image").agg(
