@@ -93,13 +93,19 @@ def hex_to_binary(digits: Column) -> Column:
 
 
 def quantise(values: Column) -> tuple[Column, Column]:
-    """Halves of the fingerprint of 63 coefficients: bits of those above the 32nd smallest, then a 0 bit."""
+    """Halves of the fingerprint of 63 coefficients: bits of those above the 32nd smallest, then a 0 bit.
+
+    The coefficients are sorted once, before the lambda that walks through them: inside it, they would be for each one.
+    """
     coefficients = F.slice(values, 1, 63)
-    median = F.element_at(F.array_sort(coefficients), 32)
-    fold = lambda part: F.aggregate(
-        part, F.lit(0).cast("bigint"), lambda s, x: s * 2 + F.when(x > median, 1).otherwise(0)
-    )
-    return fold(F.slice(coefficients, 1, 32)), fold(F.slice(coefficients, 33, 31)) * 2
+
+    def fold(first: int, n: int) -> Column:
+        above = lambda x, median: F.when(x > median, 1).otherwise(0)
+        seen = F.struct(F.get(F.sort_array(F.array_compact(coefficients)), F.lit(31)).alias("median"), F.lit(0).cast("bigint").alias("bits"))
+        step = lambda s, x: F.struct(s["median"].alias("median"), (s["bits"] * 2 + above(x, s["median"])).alias("bits"))
+        return F.aggregate(F.slice(coefficients, first, n), seen, step, lambda s: s["bits"])
+
+    return fold(1, 32), fold(33, 31) * 2
 
 
 def _near(x: Column, kept: Column, most: int) -> Column:

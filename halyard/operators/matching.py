@@ -5,19 +5,25 @@ from __future__ import annotations
 from itertools import combinations
 from math import comb
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions.hashes import hamming_halves
 from ..functions.text import let
 from ..presets import Preset
 
-#: Index entries compared at a time; an index of at most this many is broadcast.
-BLOCK_ENTRIES = 50_000
-#: Entry numbers below this fit into one number together with a distance.
-PACKED_ORD = 1 << 48
+#: Index entries of a block, which a task compares with a block of frames; some MB of numbers.
+BLOCK_ENTRIES = 100_000
+#: Frames of a block at most.
+BLOCK_FRAMES = 30_000
 #: Keys that a frame probes at most.
 MOST_PROBES = 100_000
+#: A distance beyond all, for entries that are passed over.
+NONE = 255
 
 
 def best_two(frames: DataFrame, index: DataFrame, block_entries: int = BLOCK_ENTRIES, not_own: bool = False) -> DataFrame:
@@ -25,43 +31,74 @@ def best_two(frames: DataFrame, index: DataFrame, block_entries: int = BLOCK_ENT
 
     frames: frame_id, hi, lo; index: group_id, ord, hi, lo. The smallest
     distance wins, then the smallest ord. Frames without any entry are kept
-    with nulls. Up to ``block_entries`` entries are broadcast; a larger index
-    is dealt into blocks that meet all frames by a shuffle on the block. Frames
-    are dealt out by their id first, so that all that follows a broadcast stays
-    where it is. With not_own an entry whose ord is the frame's id is passed over.
+    with nulls. Frames and entries are dealt into blocks; each block of frames
+    meets each block of entries in a task of its own, which gives two candidates
+    a frame, so pairs are never rows. With not_own an entry whose ord is the
+    frame's id is passed over.
     """
     spark = frames.sparkSession
-    f = frames.select("frame_id", F.col("hi").alias("f_hi"), F.col("lo").alias("f_lo"))
-    known = index.agg(F.count("*").alias("n"), F.min("ord").alias("low"), F.max("ord").alias("high")).first()
-    packed = known["n"] and 0 <= known["low"] and known["high"] < PACKED_ORD
-    blocks = max(1, -(-known["n"] // block_entries))
-    i = index.select("group_id", "ord", "hi", "lo")
-    if blocks == 1:
-        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-        pairs = f.repartition(tasks, "frame_id").crossJoin(F.broadcast(i))
-    else:
-        i = i.withColumn("block", F.pmod(F.xxhash64("ord"), F.lit(blocks)).cast("int"))
-        pairs = f.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(i, "block")
-    if not_own:
-        pairs = pairs.filter(F.col("ord") != F.col("frame_id"))
-    distance = hamming_halves(F.col("f_hi"), F.col("f_lo"), F.col("hi"), F.col("lo"))
-    if packed:  # one number is combined by hashing, a struct would be sorted
-        m = F.min(distance.cast("bigint") * PACKED_ORD + F.col("ord"))
-        d, ord_ = F.shiftright("m", 48).cast("int"), F.col("m") % PACKED_ORD
-    else:
-        m = F.min(F.struct(distance.alias("d"), "ord"))
-        d, ord_ = F.col("m.d"), F.col("m.ord")
-    near = pairs.groupBy("frame_id", "group_id").agg(m.alias("m")).select("frame_id", "group_id", d.alias("d"), ord_.alias("ord"))
-    place = F.row_number().over(Window.partitionBy("frame_id").orderBy("d", "ord", "group_id"))
-    two = near.withColumn("k", place).filter("k <= 2")
-    of = lambda k, c: F.max(F.when(F.col("k") == k, F.col(c)))
-    both = two.groupBy("frame_id").agg(
-        of(1, "group_id").alias("best_id"), of(1, "ord").alias("best_ord"), of(1, "d").alias("best_distance"),
-        of(2, "group_id").alias("second_id"), of(2, "d").alias("second_distance"),
-    )
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    f_blocks, i_blocks = blocks(frames.count(), index.count(), block_entries, tasks)
+
+    def cells(df: DataFrame, id_: str, own: int, other: int, cell) -> DataFrame:
+        at = df.withColumn("own", F.pmod(F.xxhash64(id_), F.lit(own)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(other - 1))))
+        return at.withColumn("cell", cell).drop("own", "other").repartition(f_blocks * i_blocks, "cell").groupBy("cell")
+
+    f = cells(frames.select("frame_id", "hi", "lo"), "frame_id", f_blocks, i_blocks, F.col("own") * i_blocks + F.col("other"))
+    i = cells(index.select("group_id", "ord", "hi", "lo"), "ord", i_blocks, f_blocks, F.col("other") * i_blocks + F.col("own"))
+    of = {c: df.schema[c].dataType for df, c in ((frames, "frame_id"), (index, "group_id"), (index, "ord"))}
+    near = f.cogroup(i).applyInArrow(_nearest_of_blocks(not_own), StructType([StructField(c, t) for c, t in (of | {"d": IntegerType()}).items()]))
+    found = near.groupBy("frame_id").agg(F.array_sort(F.collect_list(F.struct("d", "ord", "group_id"))).alias("found"))
+    both = found.select("frame_id", _first_and_rival(F.col("found")).alias("m")).select("frame_id", "m.*")
     return frames.select("frame_id").join(both, "frame_id", "left")
 
 
+def blocks(frames: int, entries: int, block_entries: int, tasks: int) -> tuple[int, int]:
+    """Into how many blocks frames and entries are dealt: small enough for a task, and so many that all tasks have pairs of them."""
+    of_entries = max(1, -(-entries // block_entries))
+    return max(1, -(-frames // BLOCK_FRAMES), -(-2 * tasks // of_entries)), of_entries
+
+
+def _nearest_of_blocks(not_own: bool):
+    """The best entry of a block for each frame, and the best of another group, as rows frame_id, group_id, ord, d."""
+    def bits(t: pa.Table) -> np.ndarray:
+        return t["hi"].to_numpy().astype(np.uint64) << np.uint64(32) | t["lo"].to_numpy().astype(np.uint64)
+
+    def whole(t: pa.Table) -> pa.Table:
+        return t.filter(pc.and_(t["hi"].is_valid(), t["lo"].is_valid()))
+
+    def run(frames: pa.Table, entries: pa.Table) -> pa.Table:
+        frames, entries = whole(frames), whole(entries)
+        entries = entries.sort_by([("ord", "ascending"), ("group_id", "ascending")])  # so the first of the nearest wins
+        codes = pc.dictionary_encode(entries["group_id"].combine_chunks(), null_encoding="encode").indices.to_numpy()
+        by_group = np.argsort(codes, kind="stable")
+        edges = np.searchsorted(codes[by_group], np.arange(codes.max(initial=-1) + 2))
+        of_frames, of_entries = bits(frames), bits(entries)
+        n, m = len(of_frames), len(of_entries)
+        if not_own:
+            ids, ords = frames["frame_id"].to_numpy(), entries["ord"].to_numpy()
+            own = np.stack([np.searchsorted(ords, ids, "left"), np.searchsorted(ords, ids, "right")], 1)
+        first, d = np.full((2, n), -1), np.full((2, n), NONE, np.uint8)
+        apart, differ = np.empty(m, np.uint64), np.empty(m, np.uint8)
+        for k in range(n if m else 0):
+            np.bitwise_count(np.bitwise_xor(of_entries, of_frames[k], out=apart), out=differ)
+            if not_own:
+                differ[own[k, 0] : own[k, 1]] = NONE
+            best = first[0, k] = differ.argmin()
+            if (nearest := differ[best]) == NONE:
+                continue
+            d[0, k] = nearest
+            differ[by_group[edges[codes[best]] : edges[codes[best] + 1]]] = NONE
+            first[1, k] = rival = differ.argmin()
+            d[1, k] = differ[rival]
+        found = [np.flatnonzero(x < NONE) for x in d]
+        of, at = np.concatenate(found), np.concatenate([first[k][x] for k, x in enumerate(found)])
+        taken, distance = entries.take(at), np.concatenate([d[k][x] for k, x in enumerate(found)])
+        return pa.table({"frame_id": frames["frame_id"].take(of), "group_id": taken["group_id"], "ord": taken["ord"], "d": pa.array(distance, pa.int32())})
+
+    return run
+
+
 def band_width(radius: int, entries: int) -> int:
     """Into how many bands 64 bits are cut to find all entries within a radius with little work for each frame.
 
@@ -127,15 +164,15 @@ def within(frames: DataFrame, index: DataFrame, radius: int, not_own: bool = Fal
 
 
 def best_within(frames: DataFrame, index: DataFrame, radius: int, not_own: bool = False) -> DataFrame:
-    """best_two for matches within the radius alone: a frame without an entry there has nulls, and so has a rival farther away."""
-    near = within(frames, index, radius, not_own).groupBy("frame_id", "group_id").agg(F.min(F.struct("d", "ord")).alias("m"))
-    place = F.row_number().over(Window.partitionBy("frame_id").orderBy("m.d", "m.ord", "group_id"))
-    of = lambda k, c: F.max(F.when(F.col("k") == k, F.col(c)))
-    both = near.withColumn("k", place).filter("k <= 2").groupBy("frame_id").agg(
-        of(1, "group_id").alias("best_id"), of(1, "m.ord").alias("best_ord"), of(1, "m.d").alias("best_distance"),
-        of(2, "group_id").alias("second_id"), of(2, "m.d").alias("second_distance"),
+    """best_two for matches within the radius alone: a frame without an entry there has nulls, and so has a rival farther away.
+
+    Nearest entries are compared, as the groups of all entries within a wide radius are more rows than that costs.
+    """
+    near = lambda c, d: F.when(F.col(d) <= radius, F.col(c)).alias(c)
+    best, second = "best_distance", "second_distance"
+    return best_two(frames, index, not_own=not_own).select(
+        "frame_id", near("best_id", best), near("best_ord", best), near(best, best), near("second_id", second), near(second, second)
     )
-    return frames.select("frame_id").join(both, "frame_id", "left")
 
 
 def best_two_of_array(hi: Column, lo: Column, index: Column) -> Column:
@@ -150,7 +187,7 @@ def best_two_of_array(hi: Column, lo: Column, index: Column) -> Column:
 
 def _first_and_rival(scored: Column) -> Column:
     best = F.get(scored, F.lit(0))
-    rival = F.get(F.filter(scored, lambda e: e["group_id"] != best["group_id"]), F.lit(0))
+    rival = F.get(F.filter(scored, lambda e: ~e["group_id"].eqNullSafe(best["group_id"])), F.lit(0))
     return F.struct(
         best["group_id"].alias("best_id"), best["ord"].alias("best_ord"), best["d"].alias("best_distance"),
         rival["group_id"].alias("second_id"), rival["d"].alias("second_distance"),

@@ -150,3 +150,37 @@ def test_bands_grow_with_the_index():
     from halyard.operators import matching
 
     assert matching.band_width(10, 10) >= matching.band_width(10, 10**9) and matching.band_width(0, 5) == 1
+
+
+def test_pairs_are_compared_in_blocks_for_all_tasks(spark):
+    f, i = matching.blocks(150_000, 150_000, matching.BLOCK_ENTRIES, 12)
+    assert (f * i >= 24) and 150_000 / f <= matching.BLOCK_FRAMES and matching.blocks(0, 0, 7, 4) == (8, 1)
+    rows = spark.range(40).select(F.col("id").alias("frame_id"), F.xxhash64("id").bitwiseAND(2**32 - 1).alias("hi"), F.col("id").alias("lo"))
+    index = rows.select(F.col("frame_id").alias("ord"), F.when(F.col("frame_id") % 3 > 0, F.col("frame_id") % 3).alias("group_id"), "hi", "lo")
+    out = matching.best_two(rows, index, 9, True)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan and "FlatMapCoGroupsInArrow" in plan
+    of = {r["ord"]: (r["group_id"], r["hi"] << 32 | r["lo"]) for r in index.collect()}
+    for r in out.collect():  # a group may be null
+        near = sorted(((of[r["frame_id"]][1] ^ h).bit_count(), o, g) for o, (g, h) in of.items() if o != r["frame_id"])
+        assert (r["best_distance"], r["best_ord"], r["best_id"]) == near[0]
+        assert (r["second_distance"], r["second_id"]) == next((d, g) for d, _, g in near if g != near[0][2])
+
+
+def test_fingerprints_without_halves_have_no_entry(spark):
+    df = spark.createDataFrame([(1, 5, 6), (2, None, 6), (3, 5, 7)], "frame_id long, hi long, lo long")
+    index = df.select(F.col("frame_id").alias("ord"), F.lit("g").alias("group_id"), "hi", "lo")
+    got = {r["frame_id"]: r["best_ord"] for r in matching.best_two(df, index, not_own=True).collect()}
+    assert got == {1: 3, 2: None, 3: 1}
+
+
+def test_coefficients_are_sorted_once(spark):
+    values = [float((i * 37) % 64) for i in range(64)]
+    row = spark.createDataFrame([(values,), ([None] * 3 + values[3:],)], "v array<float>").select(*(x.alias(n) for x, n in zip(H.quantise(F.col("v")), ("hi", "lo"), strict=True)))
+    got = row.collect()
+    for r, v in zip(got, (values, [None] * 3 + values[3:]), strict=True):
+        median = sorted(x for x in v[:63] if x is not None)[31]
+        bits = "".join("1" if x is not None and x > median else "0" for x in v[:63]) + "0"
+        assert (r["hi"], r["lo"]) == (int(bits[:32], 2), int(bits[32:], 2))
+    step = row._jdf.queryExecution().optimizedPlan().toString().split("lambdafunction", 1)[1].split(" AS hi")[0]
+    assert "sort" not in step
