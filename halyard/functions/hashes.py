@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -108,16 +112,68 @@ def quantise(values: Column) -> tuple[Column, Column]:
     return fold(1, 32), fold(33, 31) * 2
 
 
-def _near(x: Column, kept: Column, most: int) -> Column:
-    return F.exists(kept, lambda y: hamming_or_infinite(x, y) <= most)
+#: Hashes that are compared at a time with those kept before.
+STRIDE = 512
 
 
 def prune_near(hashes: Column, most: int = 1) -> Column:
     """Walk through the hashes and keep those more than ``most`` bits from every one kept before."""
-    empty = F.array().cast("array<string>")
-    return F.aggregate(hashes, empty, lambda kept, x: F.when(_near(x, kept, most), kept).otherwise(F.array_append(kept, x)))
+    return _kept_apart(most)(F.array().cast("array<string>"), hashes)
 
 
 def append_novel(base: Column, more: Column, most: int = 1) -> Column:
     """Append, in order, what is more than ``most`` bits from all that is there; the base stays as it is."""
-    return F.aggregate(more, base, lambda kept, x: F.when(_near(x, kept, most), kept).otherwise(F.array_append(kept, x)))
+    return _kept_apart(most)(base, more)
+
+
+def _kept_apart(most: int):
+    """A UDF of two lists: the first, and what of the second is more than ``most`` bits from all before it that are kept.
+
+    A list is walked in strides, each compared with the kept numbers at once.
+    Distances are those of hamming_or_infinite: only digit strings of one length
+    have one, so each length has numbers of its own. A digit string that was
+    seen before is near what kept it away, or near itself.
+    """
+    digits = re.compile("[0-9a-fA-F]*")
+    known = lambda x: x is not None and digits.fullmatch(x) is not None
+
+    def words(texts: list[str]) -> np.ndarray:
+        """The bits of digit strings of one length, 16 digits a word."""
+        wide = max(1, -(-len(texts[0]) // 16))
+        raw = b"".join(int(x or "0", 16).to_bytes(8 * wide, "big") for x in texts)
+        return np.frombuffer(raw, ">u8").astype(np.uint64).reshape(-1, wide)
+
+    def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return sum(np.bitwise_count(a[:, None, k] ^ b[None, :, k]).astype(np.uint16) for k in range(a.shape[1]))
+
+    def keep(base: list, more: list) -> list:
+        kept: dict[int, list[np.ndarray]] = {}
+        for n in {len(x) for x in base if known(x)}:
+            kept[n] = [words([x for x in base if known(x) and len(x) == n])]
+        places: dict[int, dict[str, int]] = {}
+        for at, x in enumerate(more):
+            if known(x):
+                places.setdefault(len(x), {}).setdefault(x.lower(), at)
+        near = {at for at, x in enumerate(more) if known(x) and (most >= 0 and places[len(x)][x.lower()] != at)}
+        for n, firsts in places.items() if most >= 0 else ():
+            order, bits = list(firsts.values()), words(list(firsts))
+            for low in range(0, len(order), STRIDE):
+                stride = bits[low : low + STRIDE]
+                far = np.ones(len(stride), bool)
+                for part in kept.get(n, ()):
+                    for some in range(0, len(part), 1 << 14):
+                        far[far] = (apart(stride[far], part[some : some + (1 << 14)]) > most).all(1)
+                left = np.flatnonzero(far)
+                close = apart(stride[left], stride[left]) <= most
+                taken = np.zeros(len(left), bool)
+                for k in range(len(left)):
+                    taken[k] = not (close[k, :k] & taken[:k]).any()
+                near.update(order[low + k] for k in np.flatnonzero(~far))
+                near.update(order[low + k] for k in left[~taken])
+                kept[n] = [np.concatenate([*kept.get(n, ()), stride[left[taken]]])]
+        return [*base, *(x for at, x in enumerate(more) if at not in near)]
+
+    def run(base: pd.Series, more: pd.Series) -> pd.Series:
+        return pd.Series([None if a is None or b is None else keep(list(a), list(b)) for a, b in zip(base, more, strict=True)], dtype=object)
+
+    return F.pandas_udf(run, "array<string>")

@@ -184,3 +184,27 @@ def test_coefficients_are_sorted_once(spark):
         assert (r["hi"], r["lo"]) == (int(bits[:32], 2), int(bits[32:], 2))
     step = row._jdf.queryExecution().optimizedPlan().toString().split("lambdafunction", 1)[1].split(" AS hi")[0]
     assert "sort" not in step
+
+
+def test_near_duplicates_of_long_lists(spark):
+    import random
+
+    rng = random.Random(3)
+    bases = [rng.getrandbits(64) for _ in range(300)]
+    flip = lambda x: x ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 9)))
+    odd = [None, "", "", "xy", "xy", "ABCDEF0123456789", "abcdef0123456789", "0f", "0F", "1f", "f" * 33, "f" * 32 + "e", "0" * 33]
+    lists = [[f"{flip(rng.choice(bases)):016x}" for _ in range(2500)] + odd + [None], odd, []]
+
+    def plain(base, more, most):
+        kept = list(base)
+        fine = lambda s: s is not None and all(c in "0123456789abcdefABCDEF" for c in s)
+        for x in more:
+            if not any(fine(x) and fine(y) and len(x) == len(y) and (int(x or "0", 16) ^ int(y or "0", 16)).bit_count() <= most for y in kept):
+                kept.append(x)
+        return kept
+
+    df = spark.createDataFrame([(i, x) for i, x in enumerate([*lists, None])], "i int, h array<string>")
+    out = df.select("i", H.prune_near(F.col("h"), 6).alias("kept"), H.append_novel(F.slice("h", 1, 3), F.col("h"), 2).alias("more")).collect()
+    for r in out:
+        x = [*lists, None][r["i"]]
+        assert r["kept"] == (None if x is None else plain([], x, 6)) and r["more"] == (None if x is None else plain(x[:3], x, 2))
