@@ -143,3 +143,25 @@ def test_pixel_columns(spark):
     rows = {r["id"]: r for r in df.select("id", images.phash_column(*c).alias("p"), images.quality_column(*c).alias("q"), images.hash_variants_column(*c).alias("v"), images.crop_hashes_column(*c).alias("k")).collect()}
     assert rows["a"]["p"] == images.phash(p) and rows["a"]["q"]["brightness"] == pytest.approx(images.quality(p)["brightness"])
     assert rows["a"]["v"]["phash"] == images.hash_variants(p)["phash"] and len(rows["a"]["k"]) == 7 and rows["bad"]["p"] is None
+
+
+def test_sessions_are_walked_in_batches(spark):
+    from pyspark.sql import functions as F
+
+    from halyard.streaming.walk import walk
+
+    rows = spark.range(3000).select((F.col("id") % 700).cast("string").alias("s"), F.col("id").alias("n")).union(spark.createDataFrame([(None, 5), (None, 4)], "s string, n bigint"))
+
+    def step(seen, row):
+        seen.append(row["n"])
+        return {"s": row["s"], "n": row["n"], "k": len(seen), "last": seen[-2] if len(seen) > 1 else None}
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)  # sessions go on in the next batch
+    try:
+        out = walk(rows, "s", "n", list, step, "s string, n bigint, k int, last bigint")
+        assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().executedPlan().toString()
+        got = sorted(map(tuple, out.collect()), key=str)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    wanted = [(str(i % 700), i, i // 700 + 1, i - 700 if i >= 700 else None) for i in range(3000)] + [(None, 4, 1, None), (None, 5, 2, 4)]
+    assert got == sorted(wanted, key=str)
