@@ -261,15 +261,19 @@ def quoted_etag(tag: Column) -> Column:
 def byte_range(header: Column, size: Column) -> Column:
     """struct<valid, first, length> of a ``bytes=a-b`` header; null if there is none or it is of another form."""
     form = r"(?i)^bytes=(\d*)-(\d*)$"
-    x = strip(header)
-    given = lambda n: F.nullif(F.regexp_extract(x, form, n), F.lit(""))
     # a number that no bigint holds is beyond any size
-    part = lambda n: F.when(given(n).isNotNull(), F.coalesce(given(n).try_cast("bigint"), F.lit((1 << 63) - 1)))
-    first, last = F.coalesce(part(1), F.lit(0)), F.coalesce(part(2), size - 1)
-    fine = (first <= last) & (last < size)
-    return F.when(
-        x.rlike(form), F.struct(fine.alias("valid"), F.when(fine, first).alias("first"), F.when(fine, last - first + 1).alias("length"))
-    )
+    part = lambda x, n: let(F.regexp_extract(x, form, n), lambda g: F.when(g != "", F.coalesce(g.try_cast("bigint"), F.lit((1 << 63) - 1))))
+
+    def told(ends: Column) -> Column:
+        first, last = ends["first"], ends["last"]
+        fine = (first <= last) & (last < size)
+        return F.struct(fine.alias("valid"), F.when(fine, first).alias("first"), F.when(fine, last - first + 1).alias("length"))
+
+    def read(x: Column) -> Column:
+        ends = F.struct(F.coalesce(part(x, 1), F.lit(0).cast("bigint")).alias("first"), F.coalesce(part(x, 2), size - 1).alias("last"))
+        return F.when(x.rlike(form), let(ends, told))
+
+    return let(strip(header), read)
 
 
 def object_key(path: Column, prefixes: list[str]) -> Column:

@@ -144,3 +144,15 @@ def test_white_space_and_hashes_of_utf16(spark):
     for name in ("abc", "\tAbc\u00a0", "\U0001f3b8 Band", "é", ""):
         assert one(spark, X.fnv1a(F.lit(name))) == plain(name)
     assert one(spark, X.blank_to_null(F.lit("\t\u00a0\n\ufeff"))) is None and one(spark, X.blank_to_null(F.lit(" a "))) == "a"
+
+
+def test_a_range_is_read_once(spark):
+    from pyspark.sql import functions as F
+
+    from halyard.functions import text as X
+
+    df = spark.createDataFrame([(" bytes=5-20", 30), ("bytes=-", 4), ("bytes=9-3", 30), ("bytes=99999999999999999999-", 9), ("items=1-2", 9), (None, 9)], "h string, n bigint")
+    out = df.select("h", X.byte_range(F.col("h"), F.col("n")).alias("r"))
+    got = [None if r["r"] is None else tuple(r["r"]) for r in out.collect()]
+    assert got == [(True, 5, 16), (True, 0, 4), (False, None, None), (False, None, None), None, None]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract(") <= 2
