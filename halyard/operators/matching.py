@@ -15,40 +15,82 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 from ..functions.hashes import hamming_halves
 from ..functions.text import let
 from ..presets import Preset
+from . import near
+from .ranks import checkpointed
 
 #: Index entries of a block, which a task compares with a block of frames; some MB of numbers.
 BLOCK_ENTRIES = 100_000
 #: Frames of a block at most.
 BLOCK_FRAMES = 30_000
+#: Pairs that are all compared, some 40 s of a core.
+FEW_PAIRS = 2e10
+#: Pairs that are worth a task of their own.
+PAIRS_OF_TASK = 1e9
 #: Keys that a frame probes at most.
 MOST_PROBES = 100_000
 #: A distance beyond all, for entries that are passed over.
 NONE = 255
 
 
-def best_two(frames: DataFrame, index: DataFrame, block_entries: int = BLOCK_ENTRIES, not_own: bool = False) -> DataFrame:
+def best_two(frames: DataFrame, index: DataFrame, block_entries: int = BLOCK_ENTRIES, not_own: bool = False, few: float = FEW_PAIRS) -> DataFrame:
     """Best entry and best entry of another group for each frame.
 
     frames: frame_id, hi, lo; index: group_id, ord, hi, lo. The smallest
     distance wins, then the smallest ord. Frames without any entry are kept
-    with nulls. Frames and entries are dealt into blocks; each block of frames
-    meets each block of entries in a task of its own, which gives two candidates
-    a frame, so pairs are never rows. With not_own an entry whose ord is the
-    frame's id is passed over.
+    with nulls. With not_own an entry whose ord is the frame's id is passed over.
+
+    Up to a few pairs all are compared. Of more, a sample of frames tells within
+    which radius nearly all have both entries; those are found by bands (near),
+    which finds every entry within the radius, so nothing is nearer. Frames that
+    lack one of the two there go on the same way, until their pairs are few.
     """
+    n, m = frames.count(), index.count()
+    if float(n) * m <= few:
+        return _of_all(frames, index, n, m, block_entries, not_own)
+    frames, index = checkpointed(frames.select("frame_id", "hi", "lo")), checkpointed(index.select("group_id", "ord", "hi", "lo"))
+    return _by_bands(frames, index, n, m, block_entries, not_own, few)
+
+
+def _by_bands(frames: DataFrame, index: DataFrame, n: int, m: int, block_entries: int, not_own: bool, few: float) -> DataFrame:
+    some = frames.orderBy(F.xxhash64("frame_id"), "frame_id").limit(near.SAMPLE)
+    alone = index.select("group_id").distinct().limit(2).count() < 2  # no rivals
+    wanted = "best_distance" if alone else "second_distance"
+    distances = [r[0] for r in _of_all(some, index, near.SAMPLE, m, block_entries, not_own).select(wanted).collect()]
+    tasks = 2 * frames.sparkSession.sparkContext.defaultParallelism
+    chosen = near.plan(n, m, distances, tasks)
+    if chosen is None:
+        return _of_all(frames, index, n, m, block_entries, not_own)
+    radius, bands = chosen
+    each = near.two_of_each(index)
+    f_blocks, i_blocks = near.cells_of(n, m, tasks)
+    two = checkpointed(_met(frames, each, f_blocks, i_blocks, near.nearest_within(radius, bands, not_own)))
+    settled = two.filter(F.col(wanted).isNotNull())
+    left = checkpointed(frames.join(settled, "frame_id", "left_anti"))
+    k = left.count()
+    if float(k) * m <= few or k > n // 2 * 1.9:  # a radius that settles next to none is no help
+        return settled.unionByName(_of_all(left, index, k, m, block_entries, not_own))
+    return settled.unionByName(_by_bands(left, index, k, m, block_entries, not_own, few))
+
+
+def _of_all(frames: DataFrame, index: DataFrame, n: int, m: int, block_entries: int, not_own: bool) -> DataFrame:
+    """best_two by comparing all: blocks of frames meet blocks of entries in tasks of their own."""
     spark = frames.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    f_blocks, i_blocks = blocks(frames.count(), index.count(), block_entries, tasks)
+    tasks = min(tasks, max(1, int(n * m / PAIRS_OF_TASK)))  # as entries go to each block of frames, few pairs are not dealt to many
+    return _met(frames, index, *blocks(n, m, block_entries, tasks), _nearest_of_blocks(not_own))
+
 
+def _met(frames: DataFrame, index: DataFrame, f_blocks: int, i_blocks: int, nearest) -> DataFrame:
+    """Each block of frames meets each block of entries in a task of its own, which gives two candidates a frame, so pairs are never rows."""
     def cells(df: DataFrame, id_: str, own: int, other: int, cell) -> DataFrame:
         at = df.withColumn("own", F.pmod(F.xxhash64(id_), F.lit(own)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(other - 1))))
         return at.withColumn("cell", cell).drop("own", "other").repartition(f_blocks * i_blocks, "cell").groupBy("cell")
 
     f = cells(frames.select("frame_id", "hi", "lo"), "frame_id", f_blocks, i_blocks, F.col("own") * i_blocks + F.col("other"))
-    i = cells(index.select("group_id", "ord", "hi", "lo"), "ord", i_blocks, f_blocks, F.col("other") * i_blocks + F.col("own"))
+    i = cells(index, "ord", i_blocks, f_blocks, F.col("other") * i_blocks + F.col("own"))
     of = {c: df.schema[c].dataType for df, c in ((frames, "frame_id"), (index, "group_id"), (index, "ord"))}
-    near = f.cogroup(i).applyInArrow(_nearest_of_blocks(not_own), StructType([StructField(c, t) for c, t in (of | {"d": IntegerType()}).items()]))
-    found = near.groupBy("frame_id").agg(F.array_sort(F.collect_list(F.struct("d", "ord", "group_id"))).alias("found"))
+    met = f.cogroup(i).applyInArrow(nearest, StructType([StructField(c, t) for c, t in (of | {"d": IntegerType()}).items()]))
+    found = met.groupBy("frame_id").agg(F.array_sort(F.collect_list(F.struct("d", "ord", "group_id"))).alias("found"))
     both = found.select("frame_id", _first_and_rival(F.col("found")).alias("m")).select("frame_id", "m.*")
     return frames.select("frame_id").join(both, "frame_id", "left")
 
@@ -126,7 +168,7 @@ def within(frames: DataFrame, index: DataFrame, radius: int, not_own: bool = Fal
     if not 0 <= radius < 32:
         raise ValueError("a radius lies between 0 and 31 bits")
     bands = bands or band_width(radius, max(1, index.count()))
-    near = radius // bands
+    changes = radius // bands
     edges = [64 * k // bands for k in range(bands + 1)]
 
     def band(hi: Column, lo: Column, k: int) -> Column:
@@ -142,7 +184,7 @@ def within(frames: DataFrame, index: DataFrame, radius: int, not_own: bool = Fal
 
     keyed = lambda hi, lo: F.array(*[F.struct(F.lit(k).alias("band"), band(hi, lo, k).alias("key")) for k in range(bands)])
     entries = index.select("group_id", "ord", "hi", "lo", F.explode(keyed(F.col("hi"), F.col("lo"))).alias("at")).select("*", "at.band", "at.key").drop("at")
-    masks = {n: [sum(1 << i for i in c) for k in range(near + 1) for c in combinations(range(n), k)] for n in {b - a for a, b in zip(edges, edges[1:], strict=False)}}
+    masks = {n: [sum(1 << i for i in c) for k in range(changes + 1) for c in combinations(range(n), k)] for n in {b - a for a, b in zip(edges, edges[1:], strict=False)}}
     if sum(map(len, masks.values())) > MOST_PROBES:
         raise ValueError("the radius leaves too many keys to probe")
     wide = frames.sparkSession.createDataFrame(
@@ -157,7 +199,7 @@ def within(frames: DataFrame, index: DataFrame, radius: int, not_own: bool = Fal
     apart = [F.bit_count(band(F.col("f_hi"), F.col("f_lo"), k).bitwiseXOR(band(F.col("hi"), F.col("lo"), k))) for k in range(bands)]
     earlier = F.lit(False)
     for k in range(bands - 1):
-        earlier = earlier | ((F.col("band") > k) & (apart[k] <= near))
+        earlier = earlier | ((F.col("band") > k) & (apart[k] <= changes))
     pairs = met.filter(~earlier).select("f_hi", "f_lo", "group_id", "ord", "d")
     out = frames.select("frame_id", F.col("hi").alias("f_hi"), F.col("lo").alias("f_lo")).join(pairs, ["f_hi", "f_lo"]).drop("f_hi", "f_lo")
     return out.filter(F.col("ord") != F.col("frame_id")) if not_own else out
@@ -168,10 +210,10 @@ def best_within(frames: DataFrame, index: DataFrame, radius: int, not_own: bool
 
     Nearest entries are compared, as the groups of all entries within a wide radius are more rows than that costs.
     """
-    near = lambda c, d: F.when(F.col(d) <= radius, F.col(c)).alias(c)
+    close = lambda c, d: F.when(F.col(d) <= radius, F.col(c)).alias(c)
     best, second = "best_distance", "second_distance"
     return best_two(frames, index, not_own=not_own).select(
-        "frame_id", near("best_id", best), near("best_ord", best), near(best, best), near("second_id", second), near(second, second)
+        "frame_id", close("best_id", best), close("best_ord", best), close(best, best), close("second_id", second), close(second, second)
     )
 
 

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from halyard.functions import hashes as H
-from halyard.operators import matching, telemetry
+from halyard.operators import matching, near, telemetry
 from halyard.presets import APP, AUDIT, Preset
 
 
@@ -208,3 +208,34 @@ def test_near_duplicates_of_long_lists(spark):
     for r in out:
         x = [*lists, None][r["i"]]
         assert r["kept"] == (None if x is None else plain([], x, 6)) and r["more"] == (None if x is None else plain(x[:3], x, 2))
+
+
+@pytest.mark.parametrize(("groups", "rows"), [(3, 400), (1, 150)])
+def test_best_two_by_bands_against_all_pairs(spark, monkeypatch, groups, rows):
+    rng = np.random.default_rng(rows)
+    bases = rng.integers(0, 2**63, 40)
+    values = [int(bases[rng.integers(40)]) ^ sum(1 << int(b) for b in rng.integers(0, 64, rng.integers(0, 6))) for _ in range(rows - 60)] + [int(bases[0])] * 50 + [int(x) for x in rng.integers(0, 2**63, 10)]
+    of = {o: (int(rng.integers(groups)), v) for o, v in enumerate(values)}
+    index = spark.createDataFrame([(g, o, v >> 32, v & 0xFFFFFFFF) for o, (g, v) in of.items()], "group_id int, ord long, hi long, lo long")
+    frames = index.select(F.col("ord").alias("frame_id"), "hi", "lo").unionByName(spark.createDataFrame([(rows, None, 5)], "frame_id long, hi long, lo long"))
+    for name, value in (("ROUND", 0.0), ("CALL", 0.0), ("LOOKED_UP", 0.0), ("KEPT", 100), ("CELL_ROWS", 150)):
+        monkeypatch.setattr(near, name, value)
+    made = []
+    monkeypatch.setattr(near, "nearest_within", lambda *how, true=near.nearest_within: made.append(how) or true(*how))
+    got = {r["frame_id"]: tuple(r)[1:] for r in matching.best_two(frames, index, not_own=True, few=100).collect()}
+    assert made and len(got) == rows + 1 and got[rows] == (None,) * 5
+    for f, (_, v) in of.items():
+        others = sorted(((v ^ h).bit_count(), o, g) for o, (g, h) in of.items() if o != f)
+        d, o, g = others[0]
+        rival = next(((x, e) for x, _, e in others if e != g), (None, None))
+        assert got[f] == (g, o, d, rival[1], rival[0])
+
+
+def test_bands_miss_nothing_and_their_work_grows_slowly():
+    for radius, bands, wider in ((12, 4, 2), (14, 5, 3), (3, 6, 0), (16, 7, 1)):
+        made = near.layout(radius, bands, wider)
+        assert sum(t + 1 for _, _, t in made) == radius + 1 and (bands > radius + 1 or sum(w for _, w, _ in made) == 64)
+    assert near.plan(2000, 2000, [14] * 10, 24) is None
+    radius, bands = near.plan(15_000_000, 15_000_000, [10] * 400 + [12] * 598 + [14] * 2, 24)
+    f, i = near.cells_of(15_000_000, 15_000_000, 24)
+    assert near.work(bands, 15_000_000 // f, 15_000_000 // i) * f * i < 15_000_000**2 * near.WHOLE / 25
