@@ -33,7 +33,6 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -85,11 +84,60 @@ MULTIPLIERS = np.array([pow(0x9E3779B97F4A7C15, 2 * k + 1, 2**64) for k in range
 FOUND = "doc_id long, item_id long, n_windows long, n_matched long, coverage double, start_word long"
 
 
+class Words(dict):
+    """The row of each word in arrays of hashes and flags; a word that is new is added, one of two parts has the next row as well."""
+
+    def __init__(self, parts):
+        self.parts, self.rows = parts, 0
+        self.value, self.kind, self.two = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)
+        self.new: tuple[list, list, list] = [], [], []
+
+    def __missing__(self, w: str) -> int:
+        value, kind, *second = self.parts(w)
+        row = self[w] = self.rows
+        values, kinds, two = self.new
+        values.append(value)
+        kinds.append(kind)
+        two.append(bool(second))
+        self.rows += 1
+        if second:
+            values.append(second[0])
+            kinds.append(second[1])
+            two.append(False)
+            self.rows += 1
+        return row
+
+    def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes, flags and whether the next row belongs to the word; room grows by doubling."""
+        n = len(self.new[0])
+        if n:
+            if self.rows > len(self.value):
+                more = max(self.rows, 2 * len(self.value), 1024) - len(self.value)
+                self.value, self.kind, self.two = (np.concatenate([x, np.zeros(more, x.dtype)]) for x in (self.value, self.kind, self.two))
+            for x, new in zip((self.value, self.kind, self.two), self.new, strict=True):
+                x[self.rows - n : self.rows] = np.array(new, x.dtype)
+            self.new = [], [], []
+        return self.value, self.kind, self.two
+
+
+def before(x: np.ndarray) -> np.ndarray:
+    """Of each place what is at the one before."""
+    out = np.zeros_like(x)
+    out[1:] = x[:-1]
+    return out
+
+
+def after(x: np.ndarray) -> np.ndarray:
+    out = np.zeros_like(x)
+    out[:-1] = x[1:]
+    return out
+
+
 class Templates:
     """Word sequences as arrays: hash of the lower-case core, and what kind the word is."""
 
     def __init__(self):
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known = Words(self._word)
 
     def _word(self, w: str) -> tuple[int, ...]:
         """Hash of the core and flags: 1 number, 2 unit, 4 capitalised, 8 ends a sentence, 16 nothing but punctuation,
@@ -99,9 +147,9 @@ class Templates:
         kind = 8 * w.rstrip("\"'”’»)]}").endswith((".", "!", "?", "…", ":"))
         if not core:
             kind |= 16 | 128 * (w in SIGNS)
-        elif NUMBER.fullmatch(core):
+        elif not (plain := core.isalpha()) and NUMBER.fullmatch(core):
             kind |= 1
-        elif (m := _ATTACHED.fullmatch(low)) and m[2] in _UNITS:
+        elif not plain and (m := _ATTACHED.fullmatch(low)) and m[2] in _UNITS:
             return xxh64_intdigest(m[1].encode()), 1, xxh64_intdigest(m[2].encode()), kind | 2
         elif low in _SPELLED:
             kind |= 1 | 32 | 256 * (low in _SCALES)
@@ -115,33 +163,34 @@ class Templates:
 
     def arrays(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Hashes, flags and word numbers."""
+        if len(self.known) > KNOWN_WORDS:
+            self.known = Words(self._word)
         words, known = text.split(), self.known
-        if len(known) > KNOWN_WORDS:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = self._word(w)
-        parts = list(map(known.__getitem__, words))
-        both = np.array(list(chain.from_iterable(parts)), dtype=np.uint64).reshape(-1, 2)
-        at = np.arange(len(words))
-        if len(both) > len(words):
-            at = np.repeat(at, np.fromiter(map(len, parts), np.int64, len(parts)) // 2)
-        return both[:, 0], both[:, 1].astype(np.int64), at
+        row, at = np.fromiter(map(known.__getitem__, words), np.int64, len(words)), np.arange(len(words))
+        value, kind, two = known.arrays()
+        two = two[row]
+        if two.any():
+            n = 1 + two
+            row, at = np.repeat(row, n), np.repeat(at, n)
+            row[1:] += at[1:] == at[:-1]
+        return value[row], kind[row], at
 
     def channels(self, text: str):
         """(template, word number, value, is a slot) of the plain template, and of that with names if it differs."""
         value, kind, at = self.arrays(text)
         number = kind & 1 > 0
-        sign = (kind & 128 > 0) & np.r_[False, number[:-1]] & np.r_[number[1:], False]
+        sign = (kind & 128 > 0) & before(number) & after(number)
         real = np.flatnonzero((kind & 16 == 0) | sign)
-        ends = np.cumsum(np.r_[0, kind & 8 > 0])[:-1]  # sentences ended before each word
+        ends = np.cumsum(before(kind & 8 > 0))  # sentences ended before each word
         value, kind, ends, at, number = value[real], kind[real], ends[real], at[real], number[real]
         if not len(real):
             return
-        same = np.r_[False, ends[1:] == ends[:-1]]  # in one sentence with the word before
-        unit = (kind & 2 > 0) & np.r_[False, number[:-1]]
+        same = np.zeros(len(real), bool)
+        same[1:] = ends[1:] == ends[:-1]  # in one sentence with the word before
+        unit = (kind & 2 > 0) & before(number)
         plain = np.where(number, NUM, np.where(unit, UNIT, value))
-        more = (kind & 32 > 0) & np.r_[False, number[:-1]] & same & (np.r_[False, kind[:-1] & 32 > 0] | (kind & 256 > 0))  # "two hundred" and "5 million" are one number
-        part = number & (more | np.r_[more[1:], False])
+        more = (kind & 32 > 0) & before(number) & same & (before(kind & 32 > 0) | (kind & 256 > 0))  # "two hundred" and "5 million" are one number
+        part = number & (more | after(more))
 
         def joined(template, more, part, slot):
             if not more.any():
@@ -154,9 +203,9 @@ class Templates:
         yield joined(plain, more, part, slot)
         capital = (kind & 4 > 0) & ~number & ~unit
         inside = capital & same
-        name = capital & (kind & 64 == 0) | inside | capital & np.r_[inside[1:], False]
+        name = capital & (kind & 64 == 0) | inside | capital & after(inside)
         if name.any():
-            more_names = more | name & np.r_[False, name[:-1]] & same
+            more_names = more | name & before(name) & same
             yield joined(np.where(name, NAME, plain), more_names, part | name, slot | name)
 
 

@@ -96,3 +96,14 @@ def test_null_and_repeated_item_ids(spark):
     items = [(None, first), (-1, second), (5, "an item of one id with another text that no document holds"), (5, third), (5, third)]
     docs = [(1, FILL + first, "x"), (2, FILL + second, "x"), (3, third, "x")]
     assert found(spark, docs, items) == {(1, None), (2, -1), (3, 5)}
+
+
+def test_words_are_rows_of_arrays(monkeypatch):
+    made = decontam.Templates()
+    value, kind, at = made.arrays("Run 5km now, 5km 3 mi")
+    assert at.tolist() == [0, 1, 1, 2, 3, 3, 4, 5] and (value[1], value[2]) == (value[4], value[5]) and kind[1] & 1 and kind[2] & 2
+    assert isinstance(made.known["now,"], int) and made.known.rows == 6
+    monkeypatch.setattr(decontam, "KNOWN_WORDS", 3)
+    for text in ("a b c d e 7kg", " ".join(map(str, range(3000))), "", "a 7kg"):
+        fresh = decontam.Templates().arrays(text)
+        assert all((x == y).all() for x, y in zip(made.arrays(text), fresh, strict=True))
