@@ -165,3 +165,19 @@ def test_sessions_are_walked_in_batches(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     wanted = [(str(i % 700), i, i // 700 + 1, i - 700 if i >= 700 else None) for i in range(3000)] + [(None, 4, 1, None), (None, 5, 2, 4)]
     assert got == sorted(wanted, key=str)
+
+
+def test_decisions_share_no_row_and_numbers_pass_as_they_are():
+    import pyarrow as pa
+
+    from halyard.streaming import session
+    from halyard.streaming.walk import plain
+
+    blank = dict(session.UNDECIDED)
+    frame = {"session_id": "a", "frame_id": 1, "best_id": 2, "best_distance": 5, "second_id": 3, "second_distance": 30}
+    state = session.State()
+    first, then = (session.step(state, frame | {"frame_id": k}, session.Preset()) for k in (1, 2))
+    assert first["event"] == "confirmed_instant" and then["event"] == "dropped" and then["best_id"] is None and session.UNDECIDED == blank
+    for column in (pa.array([1, 2**62]), pa.array([1, None]), pa.array([0.5, 2.0]), pa.array([None, 0.5]), pa.array(["a", None]), pa.array([True, False]), pa.array([], pa.int32())):
+        got = plain(column)
+        assert got == column.to_pylist() and list(map(type, got)) == list(map(type, column.to_pylist()))
