@@ -55,6 +55,8 @@ LOUDNESS = (
 )
 #: White space of all kinds, with the byte order mark, as a class of a pattern.
 BLANKS = r"[\s\u000b\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
+#: The same signs one by one.
+BLANK_SIGNS = "\t\n\u000b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 
 def let(value: Column, use) -> Column:
@@ -64,7 +66,7 @@ def let(value: Column, use) -> Column:
 
 def strip(x: Column) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(x, f"^{BLANKS}+|{BLANKS}+$", "")
+    return F.trim(x, F.lit(BLANK_SIGNS))
 
 
 def blank_to_null(x: Column) -> Column:
@@ -494,8 +496,7 @@ def key_values(text: Column) -> Column:
 
 def number(x: Column) -> Column:
     """The number that a whole text is, else null; a blank one is 0."""
-    x = strip(x)
-    return F.when(x == "", 0.0).when(x.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), x.try_cast("double"))
+    return let(strip(x), lambda s: F.when(s == "", 0.0).when(s.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), s.try_cast("double")))
 
 
 def format_stats(text: Column) -> Column:

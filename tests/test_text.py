@@ -156,3 +156,13 @@ def test_a_range_is_read_once(spark):
     got = [None if r["r"] is None else tuple(r["r"]) for r in out.collect()]
     assert got == [(True, 5, 16), (True, 0, 4), (False, None, None), (False, None, None), None, None]
     assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract(") <= 2
+
+
+def test_ends_are_stripped_without_a_pattern(spark):
+    signs = [chr(c) for c in (9, 10, 11, 12, 13, 28, 32, 0x85, 0xA0, 0x1680, 0x2000, 0x2007, 0x200A, 0x200B, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)]
+    texts = [f"{a}{b}x{a}y{b}{a}" for a in signs for b in signs] + ["", " \u3000", None, "\U0001f3b8 "]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    blanks = "".join(c for c in signs if ord(c) not in (28, 0x85, 0x200B))  # a pattern's $ also stands before a last U+0085
+    got = df.select("t", X.strip(F.col("t")).alias("s"))
+    assert all(r["s"] == (r["t"] and r["t"].strip(blanks)) for r in got.collect())
+    assert "regexp" not in got._jdf.queryExecution().optimizedPlan().toString()
