@@ -8,7 +8,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
@@ -26,6 +26,8 @@ BLOCK_FRAMES = 30_000
 FEW_PAIRS = 2e10
 #: Pairs that are worth a task of their own.
 PAIRS_OF_TASK = 1e9
+#: Cells that get partitions of their own; more even out.
+MOST_APART = 500
 #: Keys that a frame probes at most.
 MOST_PROBES = 100_000
 #: A distance beyond all, for entries that are passed over.
@@ -82,9 +84,13 @@ def _of_all(frames: DataFrame, index: DataFrame, n: int, m: int, block_entries:
 
 def _met(frames: DataFrame, index: DataFrame, f_blocks: int, i_blocks: int, nearest) -> DataFrame:
     """Each block of frames meets each block of entries in a task of its own, which gives two candidates a frame, so pairs are never rows."""
+    n = f_blocks * i_blocks
+    apart = F.lit(apart_keys(frames.sparkSession, n)).cast("array<bigint>") if n <= MOST_APART else None
+
     def cells(df: DataFrame, id_: str, own: int, other: int, cell) -> DataFrame:
         at = df.withColumn("own", F.pmod(F.xxhash64(id_), F.lit(own)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(other - 1))))
-        return at.withColumn("cell", cell).drop("own", "other").repartition(f_blocks * i_blocks, "cell").groupBy("cell")
+        at = at.withColumn("cell", cell if apart is None else F.get(apart, cell)).drop("own", "other")
+        return at.repartition(n, "cell").groupBy("cell")
 
     f = cells(frames.select("frame_id", "hi", "lo"), "frame_id", f_blocks, i_blocks, F.col("own") * i_blocks + F.col("other"))
     i = cells(index, "ord", i_blocks, f_blocks, F.col("other") * i_blocks + F.col("own"))
@@ -95,6 +101,13 @@ def _met(frames: DataFrame, index: DataFrame, f_blocks: int, i_blocks: int, near
     return frames.select("frame_id").join(both, "frame_id", "left")
 
 
+def apart_keys(spark: SparkSession, n: int) -> list[int]:
+    """n keys that repartition deals to n partitions, one to each; of any n keys, a third of the partitions would get none."""
+    keys = spark.range(n * 64).groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("at")).agg(F.min("id").alias("key")).collect()
+    found = [r["key"] for r in keys]
+    return found + list(range(n * 64, n * 65 - len(found)))
+
+
 def blocks(frames: int, entries: int, block_entries: int, tasks: int) -> tuple[int, int]:
     """Into how many blocks frames and entries are dealt: small enough for a task, and so many that all tasks have pairs of them."""
     of_entries = max(1, -(-entries // block_entries))

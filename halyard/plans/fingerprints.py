@@ -12,7 +12,7 @@ from .tables import table
 
 
 def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hi, lo = H.quantise(F.col("embedding"))
+    hi, lo = H.quantised(F.col("embedding"))
     return table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("ord"), F.col("label").alias("group_id"), hi.alias("hi"), lo.alias("lo")
     )

@@ -1,4 +1,6 @@
 import numpy as np
+import pyarrow as pa
+import pyspark
 import pytest
 from pyspark.sql import functions as F
 
@@ -239,3 +241,30 @@ def test_bands_miss_nothing_and_their_work_grows_slowly():
     radius, bands = near.plan(15_000_000, 15_000_000, [10] * 400 + [12] * 598 + [14] * 2, 24)
     f, i = near.cells_of(15_000_000, 15_000_000, 24)
     assert near.work(bands, 15_000_000 // f, 15_000_000 // i) * f * i < 15_000_000**2 * near.WHOLE / 25
+
+
+def test_quantised_as_quantise_for_odd_vectors(spark):
+    rng, nan = np.random.default_rng(1), float("nan")
+    rows = [(0, None)]
+    for k in range(1, 200):
+        v = [float(x) for x in rng.integers(-6, 6, rng.choice([0, 1, 31, 32, 33, 40, 62, 63, 64, 70]))]
+        odd = [None, nan, float("inf"), -0.0][k % 4]
+        rows.append((k, [odd if rng.random() < 0.2 else x for x in v]))
+    for kind in ("float", "double"):
+        df = spark.createDataFrame(rows, f"k int, v array<{kind}>")
+        of = lambda made: {tuple(r) for r in df.select("k", *made(F.col("v"))).collect()}  # noqa: B023, E731
+        assert of(H.quantised) == of(H.quantise)
+    assert "lambdafunction" not in df.select(*H.quantised(F.col("v")))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_cells_get_partitions_of_their_own(spark):
+    for n in (1, 24, 60):
+        keys = spark.createDataFrame([(k,) for k in matching.apart_keys(spark, n)], "cell bigint")
+        assert keys.repartition(n, "cell").select(F.spark_partition_id().alias("p")).distinct().count() == n
+    frames = spark.range(40).select(F.col("id").alias("frame_id"), F.col("id").alias("hi"), F.lit(0).cast("bigint").alias("lo"))
+    index = frames.select(F.col("frame_id").alias("ord"), F.lit(0).alias("group_id"), "hi", "lo")
+
+    def where(f, e):
+        return pa.table({"frame_id": [pyspark.TaskContext.get().partitionId()], "group_id": pa.array([0], pa.int32()), "ord": [0], "d": pa.array([0], pa.int32())})
+
+    assert matching._met(frames, index, 3, 4, where).filter("best_distance = 0").count() == 12
