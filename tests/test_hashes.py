@@ -1,10 +1,12 @@
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyspark
 import pytest
 from pyspark.sql import functions as F
 
 from halyard.functions import hashes as H
+from halyard.functions import images
 from halyard.operators import matching, near, telemetry
 from halyard.presets import APP, AUDIT, Preset
 
@@ -268,3 +270,15 @@ def test_cells_get_partitions_of_their_own(spark):
         return pa.table({"frame_id": [pyspark.TaskContext.get().partitionId()], "group_id": pa.array([0], pa.int32()), "ord": [0], "d": pa.array([0], pa.int32())})
 
     assert matching._met(frames, index, 3, 4, where).filter("best_distance = 0").count() == 12
+
+
+def test_made_images_go_on_in_pieces(spark):
+    made = images._image_of(images.letterbox)
+    whole = lambda n: (pd.Series([4] * n), pd.Series([4] * n), pd.Series([bytes([k % 251] * 64) if k % 7 else None for k in range(n)]))
+    pieces = list(made.func(iter([whole(3000), whole(0), whole(5)])))
+    assert max(sum(len(x or b"") for x in p) for p in pieces) < images.PIECE + 4096 and len(pieces) > 4
+    out = [x for p in pieces for x in p]
+    assert len(out) == 3005 and [x is None for x in out] == [k % 7 == 0 for k in [*range(3000), *range(5)]] and out[1][:4] == bytes([1] * 4)
+    rows = spark.range(3000, numPartitions=1).select("id", F.lit(4).alias("h"), F.when(F.col("id") % 7 > 0, F.expr("unhex(repeat(lpad(hex(id % 251), 2, '0'), 64))")).alias("d"))
+    got = rows.select("id", made("h", "h", "d").alias("x")).collect()
+    assert all((r["x"] is None) == (r["id"] % 7 == 0) and (r["x"] is None or bytes(r["x"]) == out[r["id"]]) for r in got) and len(got) == 3000
