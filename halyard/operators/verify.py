@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,9 +48,9 @@ def findings(concerts: DataFrame, photo_rows: DataFrame, audio_index: DataFrame,
     audio_index: photoId, id, fileName. A concert whose file isn't remote is reported for that only.
     """
     csv = photo_rows.select(F.col("id").alias("key"), F.col("band").alias("csv_band"), F.coalesce("imageFile", F.lit("")).alias("csv_image"), F.lit(True).alias("has_row"))
-    first = Window.partitionBy("photoId").orderBy("ord" if "ord" in audio_index.columns else "id")
-    audio = audio_index.filter("photoId is not null").withColumn("k", F.row_number().over(first)).filter("k = 1")
-    audio = audio.select(F.col("photoId").cast("string").alias("key"), F.col("fileName").alias("index_file"))
+    order = F.col("ord" if "ord" in audio_index.columns else "id")
+    audio = audio_index.filter("photoId is not null").groupBy("photoId").agg(F.min(F.struct(order.alias("at"), "fileName"))["fileName"].alias("index_file"))
+    audio = audio.select(F.col("photoId").cast("string").alias("key"), "index_file")
     twins = photo_rows.filter(F.coalesce("imageFile", F.lit("")) != "").select(
         F.col("imageFile").alias("t_image"), X.normalize_plain(F.col("band")).alias("t_band"), F.lit(True).alias("has_twin")
     ).distinct()
@@ -77,16 +79,28 @@ def findings(concerts: DataFrame, photo_rows: DataFrame, audio_index: DataFrame,
 
 def all_findings(concerts: DataFrame, photo_rows: DataFrame, audio_index: DataFrame, prefix: str) -> DataFrame:
     """Row checks, repeated photo ids and ids that only one side has."""
+    return reduce(DataFrame.unionByName, parts_of_findings(concerts, photo_rows, audio_index, prefix))
+
+
+def parts_of_findings(concerts: DataFrame, photo_rows: DataFrame, audio_index: DataFrame, prefix: str) -> list[DataFrame]:
+    """The parts of all_findings."""
     row = lambda df, kind, found: df.select(F.lit(None).cast("int").alias("id"), F.lit(kind).alias("kind"), F.lit(kind).alias("issue"), found.cast("string").alias("found"), F.lit(None).cast("string").alias("wanted"))
     order = "ord" if "ord" in audio_index.columns else "id"
     data_ids = concerts.filter(enabled(F.col("recognitionEnabled"))).select(F.col("id").cast("string").alias("key"))
     csv_ids = photo_rows.select(F.col("id").alias("key"))
-    return (
-        findings(concerts, photo_rows, audio_index, prefix)
-        .unionByName(row(duplicate_keys(audio_index, "photoId", "id", order), "duplicate-photo-id", F.col("photoId")))
-        .unionByName(row(only_in_left(data_ids, csv_ids, "key"), "missing-in-csv", F.col("key")))
-        .unionByName(row(only_in_left(csv_ids, data_ids, "key"), "missing-in-data", F.col("key")))
-    )
+    return [
+        findings(concerts, photo_rows, audio_index, prefix),
+        row(duplicate_keys(audio_index, "photoId", "id", order), "duplicate-photo-id", F.col("photoId")),
+        row(only_in_left(data_ids, csv_ids, "key"), "missing-in-csv", F.col("key")),
+        row(only_in_left(csv_ids, data_ids, "key"), "missing-in-data", F.col("key")),
+    ]
+
+
+def summary_of(parts: list[DataFrame]) -> DataFrame:
+    """The summary of parts that are counted each on its own, as a task of their union would hold the rows of all."""
+    tallies = reduce(DataFrame.unionByName, [p.groupBy("kind").agg(F.count("*").alias("n")) for p in parts])
+    count = lambda *k: F.coalesce(F.sum(F.when(F.col("kind").isin(*k), F.col("n"))), F.lit(0))
+    return tallies.agg(*(count(k).alias(k.replace("-", "_")) for k in KINDS), (count(*CRITICAL) > 0).alias("has_failures"))
 
 
 def summary(found: DataFrame) -> DataFrame:

@@ -148,7 +148,7 @@ def q30(spark: SparkSession, sf_dir: str) -> DataFrame:
     audio = table(spark, sf_dir, "lineitem").filter("l_linenumber <= 2").select(
         F.col("l_orderkey").alias("photoId"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), F.lit("germany.opus").alias("fileName"), F.col("l_linenumber").alias("ord")
     )
-    return verify.summary(verify.all_findings(concerts, photo_rows, audio, "prod/audio"))
+    return verify.summary_of(verify.parts_of_findings(concerts, photo_rows, audio, "prod/audio"))
 
 
 def q36(spark: SparkSession, sf_dir: str) -> DataFrame:

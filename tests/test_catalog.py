@@ -230,3 +230,14 @@ def test_pruned_search_of_names_finds_what_the_full_one_does(spark, monkeypatch)
     right = assign._described(candidates, "candidate", "c")
     scored = left.join(assign.first_guess(left, right), "name", "left").crossJoin(right).filter(assign.worth_scoring(0.45)).count()
     assert scored < 0.55 * left.count() * right.count()  # of 16 words most names share some
+
+
+def test_summary_of_parts_is_that_of_their_union(spark):
+    from halyard.operators import verify
+
+    rows = "id int, kind string, issue string, found string, wanted string"
+    part = lambda *kinds: spark.createDataFrame([(None, k, k, None, None) for k in kinds], rows)
+    for parts in ([part("url", "url", "placeholder"), part("missing-in-csv")], [part("audio-index"), part()], [part()]):
+        union = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        assert verify.summary_of(parts).collect() == verify.summary(union).collect()
+        assert verify.summary_of(parts).columns == verify.summary(union).columns
