@@ -8,7 +8,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
@@ -28,50 +28,79 @@ FEW_PAIRS = 2e10
 PAIRS_OF_TASK = 1e9
 #: Cells that get partitions of their own; more even out.
 MOST_APART = 500
+#: First bits of a key by which frames are dealt, at most.
+PREFIX = 12
 #: Keys that a frame probes at most.
 MOST_PROBES = 100_000
+#: What best_two gives for each need.
+NEEDED = {
+    "second_id": ["best_id", "best_ord", "best_distance", "second_id", "second_distance"],
+    "best_id": ["best_id", "best_ord", "best_distance", "second_distance"],
+    "second_distance": ["best_distance", "second_distance"], "best_distance": ["best_distance"],
+}
 #: A distance beyond all, for entries that are passed over.
 NONE = 255
 
 
-def best_two(frames: DataFrame, index: DataFrame, block_entries: int = BLOCK_ENTRIES, not_own: bool = False, few: float = FEW_PAIRS) -> DataFrame:
+def best_two(frames: DataFrame, index: DataFrame, block_entries: int = BLOCK_ENTRIES, not_own: bool = False, few: float = FEW_PAIRS, need: str = "second_id") -> DataFrame:
     """Best entry and best entry of another group for each frame.
 
     frames: frame_id, hi, lo; index: group_id, ord, hi, lo. The smallest
     distance wins, then the smallest ord. Frames without any entry are kept
     with nulls. With not_own an entry whose ord is the frame's id is passed over.
+    need leaves out columns that cost more: of "second_id" all are given, of
+    "best_id" all but second_id, of "second_distance" the two distances, of
+    "best_distance" that alone.
 
     Up to a few pairs all are compared. Of more, a sample of frames tells within
-    which radius nearly all have both entries; those are found by bands (near),
+    which radius nearly all have what is needed; that is found by bands (near),
     which finds every entry within the radius, so nothing is nearer. Frames that
-    lack one of the two there go on the same way, until their pairs are few.
+    lack something there go on the same way, until their pairs are few. The bands
+    also meet entries beyond: one at the next distance shows that distance is the
+    least, though not that the entry has the smallest ord.
     """
     n, m = frames.count(), index.count()
     if float(n) * m <= few:
-        return _of_all(frames, index, n, m, block_entries, not_own)
+        return _of_all(frames, index, n, m, block_entries, not_own).select("frame_id", *NEEDED[need])
     frames, index = checkpointed(frames.select("frame_id", "hi", "lo")), checkpointed(index.select("group_id", "ord", "hi", "lo"))
-    return _by_bands(frames, index, n, m, block_entries, not_own, few)
+    return _by_bands(frames, index, n, m, block_entries, not_own, few, need, *_even_and_length(frames, index)).select("frame_id", *NEEDED[need])
+
+
+def _even_and_length(frames: DataFrame, index: DataFrame) -> tuple[bool, int]:
+    """Whether all distances are even, and how many bits there are before the last ones that are the same everywhere."""
+    odd = (F.bit_count("hi") + F.bit_count("lo")) % 2
+    bits = F.shiftleft("hi", 32).bitwiseOR(F.col("lo"))
+    both = frames.select(odd.alias("odd"), bits.alias("bits")).union(index.select(odd, bits))
+    r = both.agg(F.count_distinct("odd") < 2, F.bit_or("bits").bitwiseXOR(F.bit_and("bits"))).first()
+    differ = (r[1] or 0) & (2**64 - 1)
+    return r[0], 64 - ((differ & -differ).bit_length() - 1 if differ else 0)
 
 
-def _by_bands(frames: DataFrame, index: DataFrame, n: int, m: int, block_entries: int, not_own: bool, few: float) -> DataFrame:
+def _by_bands(frames: DataFrame, index: DataFrame, n: int, m: int, block_entries: int, not_own: bool, few: float, need: str, even: bool, length: int, again: bool = False) -> DataFrame:
     some = frames.orderBy(F.xxhash64("frame_id"), "frame_id").limit(near.SAMPLE)
     alone = index.select("group_id").distinct().limit(2).count() < 2  # no rivals
-    wanted = "best_distance" if alone else "second_distance"
-    distances = [r[0] for r in _of_all(some, index, near.SAMPLE, m, block_entries, not_own).select(wanted).collect()]
+    best, second = F.col("best_distance"), F.col("best_distance" if alone else "second_distance")
+    of_need = {"second_id": (second, second), "best_id": (F.greatest(best, second - 1 - int(even)), F.greatest(best, second)),
+               "second_distance": (second - 1 - int(even), second), "best_distance": (best - 1 - int(even), best)}
+    lucky, sure = of_need[need]
+    met = _of_all(some, index, near.SAMPLE, m, block_entries, not_own).select((sure if again else lucky).alias("a"), sure.alias("b")).collect()
     tasks = 2 * frames.sparkSession.sparkContext.defaultParallelism
-    chosen = near.plan(n, m, distances, tasks)
+    chosen = near.plan(n, m, [None if d is None else max(d, 0) for r in met for d in r], tasks, length)
     if chosen is None:
         return _of_all(frames, index, n, m, block_entries, not_own)
     radius, bands = chosen
-    each = near.two_of_each(index)
-    f_blocks, i_blocks = near.cells_of(n, m, tasks)
-    two = checkpointed(_met(frames, each, f_blocks, i_blocks, near.nearest_within(radius, bands, not_own)))
-    settled = two.filter(F.col(wanted).isNotNull())
+    reach = radius + (2 if even and radius % 2 == 0 else 1)
+    cells = near.cells_of_bands(bands, n, m, tasks)
+    two = checkpointed(_met_by_keys(frames, near.two_of_each(index), bands, *cells, near.nearest_within(reach, bands, not_own)))
+    sure_best = best <= radius
+    done = {"second_id": second <= radius, "best_id": sure_best & second.isNotNull(),
+            "second_distance": second.isNotNull() & (sure_best | (second == best)), "best_distance": best.isNotNull()}[need]
+    settled = two.filter(done)
     left = checkpointed(frames.join(settled, "frame_id", "left_anti"))
     k = left.count()
     if float(k) * m <= few or k > n // 2 * 1.9:  # a radius that settles next to none is no help
         return settled.unionByName(_of_all(left, index, k, m, block_entries, not_own))
-    return settled.unionByName(_by_bands(left, index, k, m, block_entries, not_own, few))
+    return settled.unionByName(_by_bands(left, index, k, m, block_entries, not_own, few, need, even, length, True))
 
 
 def _of_all(frames: DataFrame, index: DataFrame, n: int, m: int, block_entries: int, not_own: bool) -> DataFrame:
@@ -94,6 +123,10 @@ def _met(frames: DataFrame, index: DataFrame, f_blocks: int, i_blocks: int, near
 
     f = cells(frames.select("frame_id", "hi", "lo"), "frame_id", f_blocks, i_blocks, F.col("own") * i_blocks + F.col("other"))
     i = cells(index, "ord", i_blocks, f_blocks, F.col("other") * i_blocks + F.col("own"))
+    return _best_of_cells(frames, index, f, i, nearest)
+
+
+def _best_of_cells(frames: DataFrame, index: DataFrame, f, i, nearest) -> DataFrame:
     of = {c: df.schema[c].dataType for df, c in ((frames, "frame_id"), (index, "group_id"), (index, "ord"))}
     met = f.cogroup(i).applyInArrow(nearest, StructType([StructField(c, t) for c, t in (of | {"d": IntegerType()}).items()]))
     found = met.groupBy("frame_id").agg(F.array_sort(F.collect_list(F.struct("d", "ord", "group_id"))).alias("found"))
@@ -101,6 +134,33 @@ def _met(frames: DataFrame, index: DataFrame, f_blocks: int, i_blocks: int, near
     return frames.select("frame_id").join(both, "frame_id", "left")
 
 
+def _met_by_keys(frames: DataFrame, index: DataFrame, bands: list[tuple[int, int, int]], f_blocks: list[int], i_blocks: int, nearest) -> DataFrame:
+    """As _met, but each band's frames are dealt by ranges of its keys, so that a task meets few keys and many frames of each.
+
+    Ranges are told by how many frames share a key's first bits; frames of many copies, which share all, are dealt to more than one.
+    """
+    n = sum(f_blocks) * i_blocks
+    spark, ordered = frames.sparkSession, Window.partitionBy("band").orderBy("prefix")
+    apart = F.lit(apart_keys(spark, n)).cast("array<bigint>") if n <= MOST_APART else None
+    at = lambda cell: cell if apart is None else F.get(apart, cell)
+    bits = F.shiftleft("hi", 32).bitwiseOR(F.col("lo")).alias("bits")
+    first = [F.shiftrightunsigned(F.shiftleft("bits", start), 64 - min(width, PREFIX)) for start, width, _ in bands]
+    keyed = frames.filter("hi is not null and lo is not null").select("frame_id", bits).select(
+        "*", F.explode(F.array(*[F.struct(F.lit(k).alias("band"), x.alias("prefix")) for k, x in enumerate(first)])).alias("key")
+    ).select("frame_id", "bits", "key.*")
+    counts = keyed.groupBy("band", "prefix").agg(F.count("*").alias("n")).select("*", (F.sum("n").over(ordered) - F.col("n")).alias("before"))
+    counts = counts.select("*", F.sum("n").over(Window.partitionBy("band")).alias("all"))
+    part, of = F.pmod(F.xxhash64("frame_id"), F.lit(1 << 20)) / (1 << 20), F.get(F.lit(f_blocks), F.col("band"))
+    block = F.least(F.floor((F.col("before") + F.col("n") * part) / F.col("all") * of), of - 1).cast("int")
+    base = F.get(F.lit([sum(f_blocks[:k]) for k in range(len(bands))]), F.col("band"))
+    f = keyed.join(F.broadcast(counts), ["band", "prefix"]).select("frame_id", "bits", "band", (base + block).alias("own"))
+    f = f.select("frame_id", "bits", "band", F.explode(F.transform(F.sequence(F.lit(0), F.lit(i_blocks - 1)), lambda j: at(F.col("own") * i_blocks + j))).alias("cell"))
+    own = F.pmod(F.xxhash64("ord"), F.lit(i_blocks)).cast("int")
+    i = index.select("group_id", "ord", "ord_2", bits, own.alias("own"))
+    i = i.select("group_id", "ord", "ord_2", "bits", F.explode(F.transform(F.sequence(F.lit(0), F.lit(sum(f_blocks) - 1)), lambda j: at(j * i_blocks + F.col("own")))).alias("cell"))
+    return _best_of_cells(frames, index, *(df.repartition(n, "cell").groupBy("cell") for df in (f, i)), nearest)
+
+
 def apart_keys(spark: SparkSession, n: int) -> list[int]:
     """n keys that repartition deals to n partitions, one to each; of any n keys, a third of the partitions would get none."""
     keys = spark.range(n * 64).groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("at")).agg(F.min("id").alias("key")).collect()

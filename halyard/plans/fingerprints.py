@@ -18,13 +18,13 @@ def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def best_second(spark: SparkSession, sf_dir: str) -> DataFrame:
+def best_second(spark: SparkSession, sf_dir: str, need: str = "second_id") -> DataFrame:
     index = _index(spark, sf_dir)
-    return matching.best_two(index.withColumnRenamed("ord", "frame_id"), index, not_own=True)
+    return matching.best_two(index.withColumnRenamed("ord", "frame_id"), index, not_own=True, need=need)
 
 
-def decisions(spark: SparkSession, sf_dir: str, preset=APP) -> DataFrame:
-    return matching.decide(best_second(spark, sf_dir), preset)
+def decisions(spark: SparkSession, sf_dir: str, preset=APP, need: str = "second_id") -> DataFrame:
+    return matching.decide(best_second(spark, sf_dir, need), preset)
 
 
 def q01(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +41,7 @@ def q02(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q03(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return telemetry.distance_histogram(best_second(spark, sf_dir))
+    return telemetry.distance_histogram(best_second(spark, sf_dir, "best_distance"))
 
 
 def q04(spark: SparkSession, sf_dir: str) -> DataFrame:

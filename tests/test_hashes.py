@@ -282,3 +282,44 @@ def test_made_images_go_on_in_pieces(spark):
     rows = spark.range(3000, numPartitions=1).select("id", F.lit(4).alias("h"), F.when(F.col("id") % 7 > 0, F.expr("unhex(repeat(lpad(hex(id % 251), 2, '0'), 64))")).alias("d"))
     got = rows.select("id", made("h", "h", "d").alias("x")).collect()
     assert all((r["x"] is None) == (r["id"] % 7 == 0) and (r["x"] is None or bytes(r["x"]) == out[r["id"]]) for r in got) and len(got) == 3000
+
+
+@pytest.mark.parametrize("need", ["second_id", "best_id", "second_distance", "best_distance"])
+@pytest.mark.parametrize("even", [True, False])
+def test_needs_by_bands_against_all_pairs(spark, monkeypatch, need, even):
+    rng = np.random.default_rng(7)
+    bases = [int(x) for x in rng.integers(0, 2**62, 30)]
+    values = [(bases[rng.integers(30)] ^ sum(1 << int(b) for b in rng.choice(60, rng.integers(0, 6), replace=False))) << 1 for _ in range(200)] + [bases[0] << 1] * 40
+    values = [v ^ (v.bit_count() % 2 << 63) if even else v for v in values]
+    index = spark.createDataFrame([(int(rng.integers(4)), o, v >> 32, v & 0xFFFFFFFF) for o, v in enumerate(values)], "group_id int, ord long, hi long, lo long")
+    frames = index.select(F.col("ord").alias("frame_id"), "hi", "lo")
+    assert matching._even_and_length(frames, index) == (even, 63)
+    for name, value in (("ROUND", 0.0), ("CALL", 0.0), ("LOOKED_UP", 0.0), ("KEPT", 100), ("CELL_ROWS", 150)):
+        monkeypatch.setattr(near, name, value)
+    made = []
+    monkeypatch.setattr(near, "nearest_within", lambda *how, true=near.nearest_within: made.append(how) or true(*how))
+    out = matching.best_two(frames, index, not_own=True, few=100, need=need)
+    columns = matching.NEEDED[need]
+    assert made and out.columns == ["frame_id", *columns] and all(start + width <= 63 for _, bands, _ in made for start, width, _ in bands)
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, matching.best_two(frames, index, not_own=True).select("frame_id", *columns).collect()))
+
+
+def test_frames_of_near_keys_meet_in_one_cell(spark):
+    rng = np.random.default_rng(2)
+    values = [int(x) for x in rng.integers(0, 2**63, 3000)] + [5] * 1500
+    index = spark.createDataFrame([(0, o, v >> 32, v & 0xFFFFFFFF, None) for o, v in enumerate(values)], "group_id int, ord long, hi long, lo long, ord_2 long")
+    bands = [(0, 20, 1), (20, 44, 2)]
+
+    def seen(frames, entries):
+        x = frames["bits"].to_numpy().view(np.uint64)
+        k = set(near.keys_of(x, *bands[frames["band"][0].as_py()][:2]).tolist())
+        return pa.table({"frame_id": [frames["band"][0].as_py() * 100 + pyspark.TaskContext.get().partitionId()], "group_id": pa.array([len(k)], pa.int32()), "ord": [len(x)], "d": pa.array([len(entries)], pa.int32())})
+
+    f, rows = index.select(F.col("ord").alias("frame_id"), "hi", "lo"), []
+    monkey = pytest.MonkeyPatch()
+    monkey.setattr(matching, "_first_and_rival", lambda found: rows.append(1) or F.struct(F.get(found, F.lit(0)).alias("m")))
+    met = matching._met_by_keys(f, index, bands, [3, 3], 2, seen)
+    monkey.undo()
+    cells = [r["m"] for r in met.filter("m is not null").collect()]
+    assert len(cells) == 12 and sum(c["ord"] for c in cells) == 2 * 2 * 4500 and sum(c["d"] for c in cells) == 2 * 3 * 4500
+    assert max(c["ord"] for c in cells) < 1.2 * 1500 and sum(c["group_id"] for c in cells) < 2 * 2 * 3100
